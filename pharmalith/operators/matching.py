@@ -47,6 +47,9 @@ def match_contains(
     ``%`` and ``_`` in a term act as wildcards. All columns of both sides are kept.
     ``strategy`` is ``auto``, ``broadcast`` or ``grams``.
     """
+    shared = set(requests.columns) & set(rows.columns)
+    if shared:
+        raise ValueError(f"columns on both sides: {sorted(shared)}")
     fold = F.lower if ignore_case else (lambda c: c)
     asked = requests.filter(F.col(term).isNotNull()).withColumn("_term", fold(F.col(term)))
     asked = asked.withColumn("_wild", is_like_pattern(F.col("_term")))
@@ -61,7 +64,7 @@ def match_contains(
             asked.select("_term", "_wild").distinct(), texts.select("_text").distinct(), hit
         )
         joined = texts.join(pairs, "_text").join(asked.drop("_wild"), "_term")
-    return joined.select(*[requests_col for requests_col in requests.columns], *rows.columns)
+    return joined.select(*requests.columns, *rows.columns)
 
 
 def _grams(text: Column, size: Column | int) -> Column:

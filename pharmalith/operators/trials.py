@@ -33,9 +33,8 @@ def _match(requests: DataFrame, term: str, rows: DataFrame, text: str, match: st
     if match == "exact":
         asked = requests.select("request_id", F.lower(term).alias("_term"))
         return rows.select(STUDY, F.lower(text).alias("_term")).join(asked, "_term").select("request_id", STUDY)
-    return match_contains(requests.select("request_id", term), term, rows.select(STUDY, text), text).select(
-        "request_id", STUDY
-    )
+    asked, texts = requests.select("request_id", term), rows.select(STUDY, F.col(text).alias("_value"))
+    return match_contains(asked, term, texts, "_value").select("request_id", STUDY)
 
 
 def matching_studies(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pharmalith.functions.text import present
 from pharmalith.operators.matching import match_contains
@@ -38,7 +39,7 @@ def unified_view(
     """
     spark = packs.sparkSession
     if shortages is None:
-        shortages = spark.createDataFrame([], SHORTAGES)
+        shortages = _no_rows(spark, SHORTAGES)
         class_column = "classe_di_rimborsabilità"
     joined = _with_shortages(packs, shortages, class_column).join(_listings(packs, class_a, class_h), KEY, "left")
     in_a, in_h = (F.coalesce(F.col(n), F.lit(0)) for n in ("_in_a", "_in_h"))
@@ -60,6 +61,12 @@ def unified_view(
     return _repeat(view, "_copies")
 
 
+def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty relation that the optimizer can see through."""
+    columns = ", ".join(f"cast(null as {f.dataType.simpleString()}) as `{f.name}`" for f in StructType.fromDDL(schema))
+    return spark.sql(f"select {columns} where false")
+
+
 def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -> DataFrame:
     """Left join to the shortage list, in two halves.
 
@@ -87,7 +94,7 @@ def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -
 def _listings(packs: DataFrame, class_a: DataFrame | None, class_h: DataFrame | None) -> DataFrame:
     """How often each pack is on the two class lists: one row per pack, one shuffle."""
     spark = packs.sparkSession
-    empty = spark.createDataFrame([], f"{KEY} bigint")
+    empty = _no_rows(spark, f"{KEY} bigint")
     tagged = [
         (empty if df is None else df).select(KEY, F.lit(tag).alias("_list"))
         for tag, df in (("a", class_a), ("h", class_h))

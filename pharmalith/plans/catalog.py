@@ -1,4 +1,10 @@
 """All registered queries in one place."""
 
-from pharmalith.plans import queries_drugs, queries_packs, queries_quality, queries_trials  # noqa: F401
+from pharmalith.plans import (  # noqa: F401
+    queries_drugs,
+    queries_files,
+    queries_packs,
+    queries_quality,
+    queries_trials,
+)
 from pharmalith.plans.registry import ORACLES, QUERIES  # noqa: F401

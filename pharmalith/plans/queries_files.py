@@ -100,14 +100,14 @@ def src_csv_header_repair(t):
 @query(
     oracle="""
     select l_partkey as codice_aic, cast(cast(l_shipdate as date) as varchar) as data_inizio,
-           concat('reason ', l_linestatus) as motivazioni,
+           concat('perché ', l_linestatus) as motivazioni,
            case when l_returnflag = 'R' then null else l_returnflag end as classe_di_rimborsabilità
     from lineitem where l_quantity >= 49"""
 )
 def src_csv_preamble(t):
     """The shortage list: two lines above the header, missing values as text."""
     lines = t.sql(
-        """select concat_ws(';', l_partkey, cast(l_shipdate as date), concat('reason ', l_linestatus),
+        """select concat_ws(';', l_partkey, cast(l_shipdate as date), concat('perché ', l_linestatus),
                             case when l_returnflag = 'R' then 'N/A' else l_returnflag end) as line
            from {lineitem} where l_quantity >= 49"""
     )

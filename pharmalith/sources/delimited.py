@@ -59,37 +59,54 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def detect_charsets(spark: SparkSession, path, threshold: float | None = CONFIDENCE) -> DataFrame:
-    """Charset of each file, from all of its bytes.
-
-    Text that is valid UTF-8 gains confidence with every character beyond ASCII; up to
-    ``threshold`` the file is taken as single-byte. None accepts any valid UTF-8.
-    """
+def file_evidence(spark: SparkSession, path) -> DataFrame:
+    """Per file: lines, whether all bytes are valid UTF-8, characters beyond ASCII."""
     value = F.col("value")
     beyond = F.when(
         F.octet_length(value) != F.length(value), F.length(F.regexp_replace(value, r"[\x00-\x7F]+", ""))
     ).otherwise(0)
     valid = F.is_valid_utf8(value)
-    seen = read_lines(spark, path).groupBy("file").agg(
+    return read_lines(spark, path).groupBy("file").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.bool_and(valid).alias("_valid"),
+        F.bool_and(valid).alias("valid"),
         F.sum(F.when(valid, beyond).otherwise(0)).cast("bigint").alias("n_beyond_ascii"),
     )
-    n = F.col("n_beyond_ascii")
-    # One more character halves the doubt of 0.99, down to 0.01.
-    trust = F.when(n == 0, F.lit(1.0)).when(n < 6, 1 - 0.99 * F.pow(F.lit(0.5), n)).otherwise(F.lit(0.99))
-    seen = seen.withColumn("confidence", F.when(F.col("_valid"), trust).otherwise(F.lit(0.73)))
-    enough = F.lit(True) if threshold is None else (n == 0) | (F.col("confidence") > threshold)
-    charset = F.when(F.col("_valid") & enough, F.lit(UTF8)).otherwise(F.lit(SINGLE_BYTE))
-    return seen.withColumn("charset", charset).drop("_valid")
+
+
+def _trust(n):
+    """Confidence in UTF-8 after ``n`` characters beyond ASCII, for a number or a column."""
+    # Each character halves the doubt of 0.99, down to 0.01.
+    if isinstance(n, Column):
+        return F.when(n == 0, F.lit(1.0)).when(n < 6, 1 - 0.99 * F.pow(F.lit(0.5), n)).otherwise(F.lit(0.99))
+    return 1.0 if n == 0 else 1 - 0.99 * 0.5**n if n < 6 else 0.99
+
+
+def detect_charsets(spark: SparkSession, path, threshold: float | None = CONFIDENCE) -> DataFrame:
+    """Charset of each file, from all of its bytes.
+
+    Text that is valid UTF-8 gains confidence with every character beyond ASCII; up to
+    ``threshold`` the file is taken as single-byte. None accepts any valid UTF-8.
+    """
+    seen = file_evidence(spark, path).withColumn(
+        "confidence", F.when(F.col("valid"), _trust(F.col("n_beyond_ascii"))).otherwise(F.lit(0.73))
+    )
+    enough = F.lit(True) if threshold is None else F.col("confidence") > threshold
+    charset = F.when(F.col("valid") & enough, F.lit(UTF8)).otherwise(F.lit(SINGLE_BYTE))
+    return seen.withColumn("charset", charset)
 
 
 def single_byte_files(spark: SparkSession, path, layout: Layout) -> list[str] | None:
-    """Files to decode as single-byte text; None stands for all. One name per file."""
+    """Files to decode as single-byte text; None stands for all. One row per file is read.
+
+    The files of one table share their evidence, as some may hold few characters beyond
+    ASCII or none.
+    """
     if layout.charset != "auto":
         return [] if layout.charset.upper() == UTF8 else None
-    found = detect_charsets(spark, path, layout.threshold).filter(F.col("charset") != UTF8)
-    return [r.file for r in found.select("file").collect()]
+    seen = file_evidence(spark, path).filter("not valid or n_beyond_ascii > 0").drop("n_lines").collect()
+    total = sum(r.n_beyond_ascii for r in seen if r.valid)
+    trusted = layout.threshold is None or _trust(total) > layout.threshold
+    return [r.file for r in seen if not (r.valid and trusted)]
 
 
 def decode_line(value: Column, file: Column, single_byte: list[str] | None) -> Column:
@@ -136,14 +153,18 @@ def text_head(spark: SparkSession, path, n: int = 50) -> DataFrame:
 
 
 def _first_lines(spark: SparkSession, path, layout: Layout, single_byte: list[str] | None) -> list[str]:
-    """Preamble, header and first data line, from the first file that has them; the schema
-    depends on them."""
+    """Preamble, header and first data line, from the first files: the schema depends on
+    them. Later files may repeat what stands above the data."""
     text = decode_line(F.col("value"), F.col("file"), single_byte)
+    above, found = layout.preamble + 1, []
     for file in sorted(spark.read.text(path).inputFiles()):
-        head = read_lines(spark, file).limit(layout.preamble + 2).select(text).collect()
-        if len(head) > layout.preamble:
-            return [r[0] for r in head]
-    raise ValueError(f"no header line in {path}")
+        head = [r[0] for r in read_lines(spark, file).limit(above + 1).select(text).collect()]
+        found += [line for line in head if line not in found[:above]] if len(found) >= above else head
+        if len(found) > above:
+            break
+    if len(found) < above:
+        raise ValueError(f"no header line in {path}")
+    return found[: above + 1]
 
 
 def read_delimited(spark: SparkSession, path, layout: Layout = Layout()) -> Landed:

@@ -1,10 +1,16 @@
 """Substring search of many terms in many texts.
 
-The match is not an equality, so Spark can only run it as a nested loop. That is fine
-for a few terms, which are then broadcast after their number has been checked. For more
-terms the match becomes an equi-join: a text that contains a term also contains every
-short substring (gram) of it, so each term is looked up by its rarest gram and the
-candidates are verified. Both ways give the same rows.
+The match is not an equality, so Spark can only run it as a nested loop. How it is done
+depends on the number of distinct terms, which is counted first:
+
+``scan``   few terms are broadcast and tried on every row as it is read;
+``pairs``  more terms are broadcast and tried once per distinct text, and the pairs found
+           are joined back to the rows;
+``grams``  any number of terms: a text that contains a term also contains every short
+           substring (gram) of it, so each term is looked up by its rarest gram in an
+           equi-join, and the candidates are verified.
+
+All three give the same rows.
 """
 
 from __future__ import annotations
@@ -14,24 +20,24 @@ from pyspark.sql import functions as F
 
 from pharmalith.functions.text import found_in, is_like_pattern
 
-BROADCAST_TERMS = 256
-BROADCAST_BYTES = 1 << 20
+SCAN_TERMS = 16
+PAIR_TERMS = 256
+TERM_BYTES = 1 << 20
 GRAM = 3
 SALTS = 16
 
 
-def fits_broadcast(df: DataFrame, term: str, max_rows: int = BROADCAST_TERMS) -> bool:
-    """Whether a request table is small enough to send to every executor.
-
-    Reads at most ``max_rows + 1`` rows of the request side.
-    """
-    rows, size = (
-        df.select(F.octet_length(term).alias("n"))
-        .limit(max_rows + 1)
+def choose_strategy(terms: DataFrame, term: str = "_term") -> str:
+    """Pick by the size of the distinct terms; reads at most one more than may be broadcast."""
+    n, size = (
+        terms.select(F.octet_length(term).alias("n"))
+        .limit(PAIR_TERMS + 1)
         .agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)))
         .first()
     )
-    return rows <= max_rows and size <= BROADCAST_BYTES
+    if n > PAIR_TERMS or size > TERM_BYTES:
+        return "grams"
+    return "scan" if n <= SCAN_TERMS else "pairs"
 
 
 def match_contains(
@@ -45,26 +51,31 @@ def match_contains(
     """Join every request to the rows whose ``text`` contains its ``term``.
 
     ``%`` and ``_`` in a term act as wildcards. All columns of both sides are kept.
-    ``strategy`` is ``auto``, ``broadcast`` or ``grams``.
     """
     shared = set(requests.columns) & set(rows.columns)
     if shared:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
     fold = F.lower if ignore_case else (lambda c: c)
     asked = requests.filter(F.col(term).isNotNull()).withColumn("_term", fold(F.col(term)))
-    asked = asked.withColumn("_wild", is_like_pattern(F.col("_term")))
     texts = rows.filter(F.col(text).isNotNull()).withColumn("_text", fold(F.col(text)))
+    terms = asked.select("_term").distinct().withColumn("_wild", is_like_pattern(F.col("_term")))
     if strategy == "auto":
-        strategy = "broadcast" if fits_broadcast(asked, "_term") else "grams"
+        strategy = choose_strategy(terms)
     hit = found_in(F.col("_text"), F.col("_term"), F.col("_wild"))
-    if strategy == "broadcast":
-        joined = texts.join(F.broadcast(asked), hit, "inner")
+    if strategy == "scan":
+        found = texts.join(F.broadcast(terms), hit)
+    elif strategy == "pairs":
+        found = texts.join(_pair(terms, texts, hit), "_text")
+    elif strategy == "grams":
+        found = texts.join(_pair_by_gram(terms, texts, hit), "_text")
     else:
-        pairs = _match_by_gram(
-            asked.select("_term", "_wild").distinct(), texts.select("_text").distinct(), hit
-        )
-        joined = texts.join(pairs, "_text").join(asked.drop("_wild"), "_term")
-    return joined.select(*requests.columns, *rows.columns)
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return found.join(asked, "_term").select(*requests.columns, *rows.columns)
+
+
+def _pair(terms: DataFrame, texts: DataFrame, hit: Column) -> DataFrame:
+    """Pairs of terms and distinct texts; the terms have been counted."""
+    return texts.select("_text").distinct().join(F.broadcast(terms), hit).select("_term", "_text")
 
 
 def _grams(text: Column, size: Column | int) -> Column:
@@ -77,8 +88,8 @@ def _grams(text: Column, size: Column | int) -> Column:
     )
 
 
-def _match_by_gram(terms: DataFrame, texts: DataFrame, hit: Column) -> DataFrame:
-    """Pairs of distinct terms and distinct texts, found by equality on one gram."""
+def _pair_by_gram(terms: DataFrame, texts: DataFrame, hit: Column) -> DataFrame:
+    """Pairs of terms and distinct texts, found by equality on one gram."""
     pieces = F.when(F.col("_wild"), F.split("_term", "[%_]")).otherwise(F.array("_term"))
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))
     terms = (
@@ -90,7 +101,7 @@ def _match_by_gram(terms: DataFrame, texts: DataFrame, hit: Column) -> DataFrame
     sizes = sorted(r[0] for r in terms.select("_size").distinct().collect())
     if not sizes:
         sizes = [GRAM]
-    text_grams = texts.select(
+    text_grams = texts.select("_text").distinct().select(
         "_text", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in sizes])).alias("_gram")
     )
     how_many = text_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))

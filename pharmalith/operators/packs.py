@@ -18,6 +18,7 @@ from pharmalith.schemas import (
     STATUS_PARTIAL,
     STATUS_WITHDRAWN,
 )
+from pharmalith.session import through_storage
 
 KEY = "codice_aic"
 _CHUNK = 4096
@@ -212,7 +213,8 @@ def generics(
     ordered: bool = True,
 ) -> DataFrame:
     """Equivalent drugs for a brand or an ingredient, cheapest first, unknown prices last."""
-    asked = ingredient_to_search(requests, packs, ingredients, term)
+    # Stored, because the second search first counts its terms and then uses them.
+    asked = through_storage(ingredient_to_search(requests, packs, ingredients, term), "ingredients-asked")
     offers = equivalents.select(
         KEY,
         F.col("farmaco").alias("denominazione_farmaco"),

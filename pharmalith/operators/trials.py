@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pharmalith.functions.text import present
+from pharmalith.functions.text import found_in, is_like_pattern, present
 from pharmalith.operators.matching import match_contains
 from pharmalith.schemas import (
     COUNTRY,
@@ -28,13 +28,19 @@ def study_url(nct_id: Column) -> Column:
     return F.concat(F.lit(STUDY_URL), nct_id)
 
 
-def _match(requests: DataFrame, term: str, rows: DataFrame, text: str, match: str) -> DataFrame:
-    """(request_id, nct_id) where ``text`` contains, or with ``exact`` equals, the term."""
-    if match == "exact":
-        asked = requests.select("request_id", F.lower(term).alias("_term"))
-        return rows.select(STUDY, F.lower(text).alias("_term")).join(asked, "_term").select("request_id", STUDY)
-    asked, texts = requests.select("request_id", term), rows.select(STUDY, F.col(text).alias("_value"))
-    return match_contains(asked, term, texts, "_value").select("request_id", STUDY)
+def _search(requests: DataFrame, term: str, rows: DataFrame, text: str, match: str) -> DataFrame:
+    """Requests joined to the rows whose ``text`` contains, or with ``exact`` equals, the term."""
+    texts = rows.select(STUDY, F.col(text).alias("_value"))
+    if match == "contains":
+        return match_contains(requests, term, texts, "_value")
+    same = F.lower("_value") == F.lower(F.col(f"_asked.{term}"))
+    return requests.alias("_asked").join(texts, same)
+
+
+def _confirm(term: str, text: str, match: str) -> Column:
+    """The same test on a row that already holds both."""
+    asked, value = F.lower(term), F.lower(text)
+    return value == asked if match == "exact" else found_in(value, asked, is_like_pattern(asked))
 
 
 def matching_studies(
@@ -61,32 +67,29 @@ def matching_studies(
     usable = usable.select(STUDY)
     if sites is not None:
         usable = usable.join(sites.filter(F.col("country") == country).select(STUDY), STUDY, "left_semi")
+    treated = interventions.join(usable, STUDY, "left_semi")
+    studied = conditions.join(usable, STUDY, "left_semi")
     asked = requests.select(
         "request_id",
-        F.nullif("intervention", F.lit("")).alias("intervention"),
-        F.nullif("condition", F.lit("")).alias("condition"),
+        F.nullif("intervention", F.lit("")).alias("_drug"),
+        F.nullif("condition", F.lit("")).alias("_illness"),
     )
-    hits = [
-        _match(asked.filter(F.col(side).isNotNull()), side, rows.join(usable, STUDY, "left_semi"), side, match).select(
-            "request_id", STUDY, F.lit(side).alias("_side")
-        )
-        for side, rows in (("intervention", interventions), ("condition", conditions))
-    ]
-    # One grouping does both the "and" and the removal of repeated matches.
-    sides = hits[0].union(hits[1]).groupBy("request_id", STUDY).agg(
-        F.bool_or(F.col("_side") == "intervention").alias("_int"),
-        F.bool_or(F.col("_side") == "condition").alias("_con"),
+    by_drug = _search(asked.filter("_drug is not null"), "_drug", treated, "intervention", match).select(
+        "request_id", STUDY, "_illness"
     )
-    needed = asked.select(
-        "request_id",
-        F.col("intervention").isNotNull().alias("_need_int"),
-        F.col("condition").isNotNull().alias("_need_con"),
-    )
-    return (
-        sides.join(needed, "request_id")
-        .filter("(_int or not _need_int) and (_con or not _need_con)")
+    by_illness = _search(
+        asked.filter("_drug is null and _illness is not null"), "_illness", studied, "condition", match
+    ).select("request_id", STUDY)
+    # The second half of a question for both is asked of the studies the first half found.
+    both = (
+        by_drug.filter("_illness is not null")
+        .distinct()
+        .join(studied.select(STUDY, "condition"), STUDY)
+        .filter(_confirm("_illness", "condition", match))
         .select("request_id", STUDY)
     )
+    one = by_drug.filter("_illness is null").select("request_id", STUDY)
+    return one.union(both).union(by_illness).distinct()
 
 
 def latest(hits: DataFrame, studies: DataFrame, n: int = 3) -> DataFrame:

@@ -165,13 +165,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     def view(self, name: str) -> DataFrame:
-        sql = BINDINGS[name]
-        return self.spark.sql(sql, **{t: self.table(t) for t in _tables_in(sql)})
+        return self.sql(BINDINGS[name])
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{t: self.table(t) for t in _tables_in(text)})

@@ -23,7 +23,8 @@ from pharmalith.functions.text import found_in, is_like_pattern
 SCAN_TERMS = 16
 PAIR_TERMS = 256
 TERM_BYTES = 1 << 20
-GRAM = 3
+# A term is looked up by a gram of the largest of these sizes that fits into it.
+GRAM_SIZES = (0, 1, 2, 3, 6, 12)
 SALTS = 16
 
 
@@ -92,15 +93,14 @@ def _pair_by_gram(terms: DataFrame, texts: DataFrame, hit: Column) -> DataFrame:
     """Pairs of terms and distinct texts, found by equality on one gram."""
     pieces = F.when(F.col("_wild"), F.split("_term", "[%_]")).otherwise(F.array("_term"))
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))
+    fitting = F.filter(F.array(*map(F.lit, GRAM_SIZES)), lambda g: g <= F.col("_longest.n"))
     terms = (
         terms.withColumn("_longest", longest)
-        .withColumn("_size", F.least(F.col("_longest.n"), F.lit(GRAM)))
+        .withColumn("_size", F.array_max(fitting))
         .select("_term", "_wild", "_size", F.col("_longest.piece").alias("_piece"))
     )
-    # At most GRAM + 1 values: which gram sizes the texts have to be cut into.
-    sizes = sorted(r[0] for r in terms.select("_size").distinct().collect())
-    if not sizes:
-        sizes = [GRAM]
+    # At most one row per gram size: which sizes the texts have to be cut into.
+    sizes = sorted(r[0] for r in terms.select("_size").distinct().collect()) or [GRAM_SIZES[-1]]
     text_grams = texts.select("_text").distinct().select(
         "_text", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in sizes])).alias("_gram")
     )

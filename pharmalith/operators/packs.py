@@ -69,10 +69,11 @@ def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -> DataFrame:
-    """Left join to the shortage list, in two halves.
+    """Left join to the shortage list, in parts.
 
     One pack may own a third of all shortage rows. A left join cannot be split on its
-    right side, an inner join can, so packs with and without shortages go apart.
+    right side, an inner join can, so packs with and without shortages go apart; both
+    halves read the same shuffle of the packs. Packs without a key are not shuffled.
     """
     entries = shortages.select(
         KEY,
@@ -81,8 +82,10 @@ def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -
         F.col("data_inizio").alias("data_inizio_carenza"),
         F.col("motivazioni").alias("motivazioni_carenza"),
     )
-    short = packs.join(entries, KEY)
-    rest = packs.join(shortages.select(KEY).distinct(), KEY, "left_anti").select(
+    keyed = packs.filter(F.col(KEY).isNotNull())
+    short = keyed.join(entries, KEY)
+    rest = keyed.join(shortages.select(KEY).distinct(), KEY, "left_anti")
+    rest = rest.unionByName(packs.filter(F.col(KEY).isNull())).select(
         "*",
         F.lit(None).cast("string").alias("_own_class"),
         F.lit(False).alias("is_carente"),

@@ -50,15 +50,11 @@ def unit_counts(ingredients: DataFrame) -> DataFrame:
 def unit_inconsistency(ingredients: DataFrame) -> DataFrame:
     """Unit counts of the ingredients that are written with more than one unit.
 
-    Whether there is a second unit is one bit per ingredient, found by a grouping that is
-    combined before its shuffle; no group of units is brought together.
+    The units of an ingredient are counted, never brought together in one group.
     """
     counts = unit_counts(ingredients)
     mixed = (
-        counts.groupBy("principio_attivo")
-        .agg((F.min("unita_misura") < F.max("unita_misura")).alias("_mixed"))
-        .filter("_mixed")
-        .select("principio_attivo")
+        counts.groupBy("principio_attivo").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("principio_attivo")
     )
     return counts.join(mixed, "principio_attivo", "left_semi")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pharmalith.plans.bindings import Tables, with_views
+from pharmalith.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,7 @@ def query(oracle: str | None = None, name: str | None = None):
         key = name or fn.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables(tune(spark), sf_dir))
 
         run.__name__ = key
         run.__doc__ = fn.__doc__

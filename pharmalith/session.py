@@ -17,6 +17,9 @@ SESSION_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# Settings the operators count on, also in a session someone else has built.
+RUNTIME_CONF = {k: v for k, v in SESSION_CONF.items() if k.startswith("spark.sql.adaptive.")}
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -29,6 +32,13 @@ def build_session(app: str = "pharmalith", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Turn on the adaptive settings that split skewed joins."""
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder in ``spark.checkpoint.dir``.
 

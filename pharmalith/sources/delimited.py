@@ -118,7 +118,7 @@ def decode_line(value: Column, file: Column, single_byte: list[str] | None) -> C
 
 def count_fields(line: Column, sep: str) -> Column:
     """Fields of a line; separators inside quotes do not count."""
-    bare = F.regexp_replace(line, '"[^"]*"', "")
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1
 
 

@@ -33,6 +33,7 @@ def test_header_names():
     [
         ("€ 1,50", 1.5), ("\u0080 1,50", 1.5), ("1.234,50", None), ("  ", None), ("n.d.", None), ("1.5", 1.5),
         ("-3", -3.0), ("1e2", 100.0), ("1d", None), ("1,2,3", None), (" 2,0\t", 2.0), (None, None), ("12€", 12.0),
+        ("1.5F", None), ("0x1p3", None), ("NaN", None), ("-inf", float("-inf")), ("", None),
     ],
 )
 def test_price(spark, text, value):

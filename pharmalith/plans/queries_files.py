@@ -13,7 +13,7 @@ from pharmalith.operators import adverse, trials
 from pharmalith.operators.drugs import dedup_drugs
 from pharmalith.plans.queries_trials import ADVERSE_ORACLE, adverse_requests, reports
 from pharmalith.plans.registry import query
-from pharmalith.session import scratch_path
+from pharmalith.session import scratch_path, through_storage
 from pharmalith.sources import delimited, drug_xml, landed_json, tables
 from pharmalith.sources.delimited import Layout, TableSpec
 
@@ -357,7 +357,8 @@ def json_trials_recruiting(t):
            from {orders} group by o_orderpriority"""
     )
     hits = trials.matching_studies(asked, s.studies, s.conditions, s.interventions, s.sites)
-    top = trials.latest(hits, s.studies, 3)
+    # A few rows per request that took a whole search: stored, as two steps read them.
+    top = through_storage(trials.latest(hits, s.studies, 3), "latest-studies")
     cities = trials.recruiting_cities(top, s.sites)
     return top.join(cities, ["request_id", "nct_id"], "left").select(
         "request_id", "rank", "nct_id", "title", "url", "city"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pharmalith.operators import adverse, trials
 from pharmalith.plans.registry import query
+from pharmalith.session import through_storage
 
 # Fixed value: the country of the bound tables.
 HOME = "NATION_19"
@@ -84,7 +85,8 @@ def trials_matching(t):
 )
 def trials_recruiting_cities(t):
     """Cities with a recruiting site for those studies."""
-    return trials.recruiting_cities(trials.latest(_hits(t), _studies(t), 3), t.view("v_study_locations"), HOME)
+    top = through_storage(trials.latest(_hits(t), _studies(t), 3), "latest-studies")
+    return trials.recruiting_cities(top, t.view("v_study_locations"), HOME)
 
 
 @query(

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pharmalith.operators.packs import unified_view
-from pharmalith.sources.delimited import read_register
+from pharmalith.operators.quality import profile_columns
+from pharmalith.sources.delimited import Layout, exists, read_delimited, read_register
 from pharmalith.sources.drug_xml import NESTED_PATHS, drug_relations, read_records
 from pharmalith.sources.tables import create_view, write_relations
 
@@ -34,6 +37,18 @@ def build_register(
     return counts
 
 
+def build_profile(
+    spark: SparkSession, paths: Mapping[str, str], folder: str, layout: Layout = Layout(threshold=None)
+) -> dict[str, int]:
+    """Profile every delivered file as it is, before cleaning; rows written."""
+    profiles = [
+        profile_columns(read_delimited(spark, path, layout).rows).select(F.lit(name).alias("file"), "*")
+        for name, path in paths.items()
+        if exists(spark, path)
+    ]
+    return write_relations({"profile": reduce(DataFrame.union, profiles)}, folder)
+
+
 def build_drugs(
     spark: SparkSession, path: str, folder: str, nested_paths: tuple[str, ...] = NESTED_PATHS
 ) -> dict[str, int]:

@@ -176,27 +176,33 @@ def pack_search_cs(t):
     return packs.search(asked, view.select("codice_aic", "denominazione"), ignore_case=False)
 
 
+_MANY_TERMS = """
+    select min(c_custkey) as request_id, concat(lower(c_mktsegment), '%') as query
+    from {customer} group by c_mktsegment
+    union all
+    select 1000000000000 + min(c_custkey), concat('_i', substr(c_mktsegment, 1, 1))
+    from {customer} group by substr(c_mktsegment, 1, 1)
+    union all
+    select 2000000000000 + min(p_partkey), substr(p_name, 3, 9) from {part} group by substr(p_name, 3, 9)
+    union all
+    select 3000000000000 + min(p_partkey), concat(p_name, ' ', p_type) from {part} group by p_name, p_type
+    union all
+    select 4000000000000 + min(s_suppkey), s_name from {supplier} group by s_name"""
+
+
 @query(
-    oracle="""
-    select r.c_custkey as request_id, r.query, v.codice_aic, v.denominazione
-    from (select c_custkey, concat(lower(c_mktsegment), '%') as query from customer
-          union all
-          select c_custkey + 1000000000000, concat('_i', substr(c_mktsegment, 1, 1)) from customer
-          union all
-          select p_partkey + 2000000000000, substr(p_name, 3, 9) from part) r
+    oracle=f"""
+    select r.request_id, r.query, v.codice_aic, v.denominazione
+    from ({_MANY_TERMS.format(customer="customer", part="part", supplier="supplier")}) r
     join v_farmaci_anagrafica v on lower(v.denominazione) like concat('%', lower(r.query), '%')"""
 )
 def pack_search_many(t):
-    """Part-of-name search for as many terms as there are rows, wildcards among them."""
-    asked = t.sql(
-        """select c_custkey as request_id, concat(lower(c_mktsegment), '%') as query from {customer}
-           union all
-           select c_custkey + 1000000000000, concat('_i', substr(c_mktsegment, 1, 1)) from {customer}
-           union all
-           select p_partkey + 2000000000000, substr(p_name, 3, 9) from {part}"""
-    )
+    """Part-of-name search for several hundred different terms, wildcards among them.
+
+    Equal terms are one request: their answers would be the same rows again.
+    """
     view = t.view("v_farmaci_anagrafica").select("codice_aic", "denominazione")
-    return packs.search(asked, view, term="query")
+    return packs.search(t.sql(_MANY_TERMS), view, term="query")
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pharmalith.operators.matching import match_contains
+from pharmalith.operators.matching import choose_strategy, match_contains
 
 KEY = "codice_aic"
 
@@ -144,7 +144,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     lines = F.array(
         *[
             F.struct(
-                F.lit(i).cast("bigint").alias("position"),
+                F.lit(i).alias("position"),
                 F.lit(field.name).alias("column_name"),
                 F.lit(field.dataType.simpleString()).alias("data_type"),
                 F.col("_n").alias("n_rows"),
@@ -165,9 +165,12 @@ def relation_counts(relations: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-def _contains_counts(requests: DataFrame, names: DataFrame, ignore_case: bool, alias: str) -> DataFrame:
+def _contains_counts(
+    requests: DataFrame, names: DataFrame, alias: str, ignore_case: bool = True, strategy: str = "auto"
+) -> DataFrame:
     """Rows whose text contains the query, counted over distinct texts."""
-    found = match_contains(requests.select("request_id", "query"), "query", names, "text", ignore_case=ignore_case)
+    asked = requests.select("request_id", "query")
+    found = match_contains(asked, "query", names, "text", ignore_case=ignore_case, strategy=strategy)
     return found.groupBy("request_id").agg(F.sum("n").alias(alias))
 
 
@@ -196,12 +199,14 @@ def search_ladder(requests: DataFrame, view: DataFrame, fragment: int = 5) -> Da
     """
     names = _texts(view, "denominazione")
     start = requests.withColumn("query", F.substring("query", 1, fragment))
+    # Neither lower case nor a shorter term adds distinct terms: one count is enough.
+    strategy = choose_strategy(requests.select("query").distinct(), "query")
     return _ladder(
         requests,
         [
-            _contains_counts(requests, names, True, "n_contains"),
-            _contains_counts(requests, names, False, "n_contains_case"),
-            _contains_counts(start, names, True, "n_fragment"),
+            _contains_counts(requests, names, "n_contains", strategy=strategy),
+            _contains_counts(requests, names, "n_contains_case", ignore_case=False, strategy=strategy),
+            _contains_counts(start, names, "n_fragment", strategy=strategy),
             _equal_counts(requests, names, "n_equal"),
         ],
     )
@@ -215,7 +220,7 @@ def name_ladder(requests: DataFrame, drugs: DataFrame, synonyms: DataFrame) -> D
         [
             _equal_counts(requests, known, "n_name"),
             _equal_counts(requests, others, "n_synonym"),
-            _contains_counts(requests, others, True, "n_synonym_part"),
+            _contains_counts(requests, others, "n_synonym_part"),
         ],
     )
 

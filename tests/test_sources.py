@@ -264,3 +264,23 @@ def test_report_documents(spark, tmp_path):
     }
     put(tmp_path, "r.json", json.dumps({"results": [report]}) + "\n" + json.dumps({"error": {"message": "no"}}) + "\n")
     assert landed_json.read_reports(spark, str(tmp_path)).collect() == [("7", ["ASPIRIN"], ["Nausea", "Rash"])]
+
+
+def test_relations_in_the_catalog(spark, tmp_path):
+    df = spark.createDataFrame([("DB1", "x")], "drugbank_id string, synonym string")
+    try:
+        assert tables.write_relations({"test_synonyms": df}, str(tmp_path), "default") == {"test_synonyms": 1}
+        assert tables.write_relations({"test_synonyms": df.union(df)}, str(tmp_path), "default") == {"test_synonyms": 2}
+        assert ("test_synonyms", "EXTERNAL") in tables.list_tables(spark, "default")
+        stored = tables.read_table(spark, "default.test_synonyms")
+        assert tables.describe(stored) == [("drugbank_id", "string"), ("synonym", "string")]
+        assert stored.count() == 2
+    finally:
+        spark.sql("drop table if exists default.test_synonyms")
+
+
+def test_missing_relations_are_an_error(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        tables.read_drug_relations(spark, str(tmp_path / "nothing"))

@@ -21,6 +21,7 @@ from pharmalith.schemas import (
 from pharmalith.session import through_storage
 
 KEY = "codice_aic"
+NARROW_ROWS = 100_000
 _CHUNK = 4096
 
 
@@ -143,11 +144,26 @@ def status_packs(
     The name filter runs first, so the joins only see packs someone asked for. The list
     of a request stays in long form (one row per pack), as it has no size bound.
     """
-    found = match_contains(requests, term, packs, "denominazione")
-    view = unified_view(found, class_a, class_h, shortages, **view_options)
+    # Stored, as the parts of the view each read it.
+    found = through_storage(match_contains(requests, term, packs, "denominazione"), "packs-found")
+    lists = _narrow([class_a, class_h, shortages], found)
+    view = unified_view(found, *lists, **view_options)
     return view.withColumnRenamed("denominazione", "denominazione_completa")
 
 
+def _narrow(tables: list[DataFrame | None], found: DataFrame) -> list[DataFrame | None]:
+    """The tables cut down to the packs found, if these are few.
+
+    ``found`` is stored, so its rows are counted from the file footers. Up to the bound
+    its keys are broadcast and spare the tables a shuffle; beyond it, the joins that
+    follow do the same work without this step.
+    """
+    if found.count() > NARROW_ROWS:
+        return tables
+    keys = F.broadcast(found.select(KEY).distinct())
+    return [None if t is None else t.join(keys, KEY, "left_semi") for t in tables]
+
+
 def status_label(available: Column, short: Column) -> Column:
     return (
         F.when((available == 0) & (short > 0), F.lit(STATUS_WITHDRAWN))
@@ -192,10 +208,14 @@ def ingredient_to_search(
     A term that finds no pack with an ingredient is taken as an ingredient itself.
     ``request_id`` must be unique.
     """
-    first_of_pack = known_ingredients(ingredients).groupBy(KEY).agg(F.min("principio_attivo").alias("_first"))
-    found = match_contains(
-        requests.select("request_id", term), term, packs.select(KEY, "denominazione"), "denominazione"
+    found = through_storage(
+        match_contains(
+            requests.select("request_id", term), term, packs.select(KEY, "denominazione"), "denominazione"
+        ).select("request_id", KEY),
+        "packs-found",
     )
+    (own,) = _narrow([known_ingredients(ingredients)], found)
+    first_of_pack = own.groupBy(KEY).agg(F.min("principio_attivo").alias("_first"))
     first = (
         found.select("request_id", KEY)
         .join(first_of_pack, KEY)

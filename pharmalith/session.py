@@ -46,14 +46,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     machines could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        app = spark.sparkContext.applicationId
         if app not in _local_scratch:
             _local_scratch[app] = tempfile.mkdtemp(prefix="pharmalith-")
         base = _local_scratch[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    # One folder per application, so that it can be removed when the application is over.
+    return f"{base.rstrip('/')}/pharmalith-{app}/{name}-{uuid.uuid4().hex}"
 
 
 def through_storage(df, name: str):

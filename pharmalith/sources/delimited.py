@@ -96,17 +96,21 @@ def detect_charsets(spark: SparkSession, path, threshold: float | None = CONFIDE
 
 
 def single_byte_files(spark: SparkSession, path, layout: Layout) -> list[str] | None:
-    """Files to decode as single-byte text; None stands for all. One row per file is read.
+    """Files to decode as single-byte text; None stands for all of them.
 
     The files of one table share their evidence, as some may hold few characters beyond
-    ASCII or none.
+    ASCII or none. Names are only listed for a folder with files of both kinds.
     """
     if layout.charset != "auto":
         return [] if layout.charset.upper() == UTF8 else None
-    seen = file_evidence(spark, path).filter("not valid or n_beyond_ascii > 0").drop("n_lines").collect()
-    total = sum(r.n_beyond_ascii for r in seen if r.valid)
-    trusted = layout.threshold is None or _trust(total) > layout.threshold
-    return [r.file for r in seen if not (r.valid and trusted)]
+    seen = file_evidence(spark, path)
+    n_single, n_beyond = seen.agg(F.count_if(~F.col("valid")), F.coalesce(F.sum("n_beyond_ascii"), F.lit(0))).first()
+    trusted = layout.threshold is None or _trust(n_beyond) > layout.threshold
+    if n_single == 0:
+        return [] if trusted else None
+    if n_beyond == 0 or not trusted:
+        return None
+    return [r.file for r in seen.filter("not valid").select("file").collect()]
 
 
 def decode_line(value: Column, file: Column, single_byte: list[str] | None) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pharmalith.functions.text import present
+from pharmalith.operators.quality import sample_rows
 
 ID = "drugbank_id"
 INFO = (ID, "name", "type", "state")
@@ -147,7 +148,10 @@ def _coded_drugs(atc_codes: DataFrame, drugs: DataFrame) -> DataFrame:
 
 def atc_bridge(atc_codes: DataFrame, drugs: DataFrame, packs: DataFrame) -> DataFrame:
     """Register packs next to the drugs that share their ATC code (many to many)."""
-    coded, named = _coded_drugs(atc_codes, drugs), _named_packs(packs)
+    return _bridge(_coded_drugs(atc_codes, drugs), _named_packs(packs))
+
+
+def _bridge(coded: DataFrame, named: DataFrame) -> DataFrame:
     return coded.join(named, coded.atc_code == named.codice_atc).select(
         "atc_code",
         F.col("denominazione").alias("nome_farmaco_aifa"),
@@ -155,6 +159,19 @@ def atc_bridge(atc_codes: DataFrame, drugs: DataFrame, packs: DataFrame) -> Data
     )
 
 
+def atc_bridge_sample(atc_codes: DataFrame, drugs: DataFrame, packs: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
+    """``n`` rows of the bridge, the same ones on every run, without building it.
+
+    Rows are drawn by a ticket of their code and then by name, so no code needs more than
+    its first ``n`` drugs and its first ``n`` packs.
+    """
+    by_drug = Window.partitionBy("atc_code").orderBy("name", ID)
+    by_pack = Window.partitionBy("codice_atc").orderBy("denominazione")
+    coded = _coded_drugs(atc_codes, drugs).withColumn("_rank", F.row_number().over(by_drug)).filter(F.col("_rank") <= n)
+    named = _named_packs(packs).withColumn("_rank", F.row_number().over(by_pack)).filter(F.col("_rank") <= n)
+    return sample_rows(_bridge(coded, named), "atc_code", n, seed)
+
+
 def atc_bridge_counts(atc_codes: DataFrame, drugs: DataFrame, packs: DataFrame) -> DataFrame:
     """Size of the bridge per ATC code, multiplied from group sizes, not from pairs."""
     n_drugs = _coded_drugs(atc_codes, drugs).groupBy("atc_code").agg(F.count(F.lit(1)).alias("n_farmaci"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pharmalith.functions.text import present
+from pharmalith.operators.joins import left_join
 from pharmalith.operators.matching import match_contains
 from pharmalith.schemas import (
     CLASS_A,
@@ -70,12 +71,7 @@ def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -> DataFrame:
-    """Left join to the shortage list, in parts.
-
-    One pack may own a third of all shortage rows. A left join cannot be split on its
-    right side, an inner join can, so packs with and without shortages go apart; both
-    halves read the same shuffle of the packs. Packs without a key are not shuffled.
-    """
+    """Packs with their shortage rows; one pack may own a third of all of these."""
     entries = shortages.select(
         KEY,
         F.col(class_column).alias("_own_class"),
@@ -83,17 +79,8 @@ def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -
         F.col("data_inizio").alias("data_inizio_carenza"),
         F.col("motivazioni").alias("motivazioni_carenza"),
     )
-    keyed = packs.filter(F.col(KEY).isNotNull())
-    short = keyed.join(entries, KEY)
-    rest = keyed.join(shortages.select(KEY).distinct(), KEY, "left_anti")
-    rest = rest.unionByName(packs.filter(F.col(KEY).isNull())).select(
-        "*",
-        F.lit(None).cast("string").alias("_own_class"),
-        F.lit(False).alias("is_carente"),
-        F.lit(None).cast("string").alias("data_inizio_carenza"),
-        F.lit(None).cast("string").alias("motivazioni_carenza"),
-    )
-    return short.unionByName(rest)
+    joined = left_join(packs, entries, KEY)
+    return joined.withColumn("is_carente", F.coalesce("is_carente", F.lit(False)))
 
 
 def _listings(packs: DataFrame, class_a: DataFrame | None, class_h: DataFrame | None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pharmalith.operators.joins import left_join
 from pharmalith.operators.matching import choose_strategy, match_contains
 
 KEY = "codice_aic"
@@ -108,23 +109,13 @@ def reconcile(source: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
     another value. Rows without a key are left out.
     """
     columns = [c for c in source.columns if c != key and c in loaded.columns]
-    left = source.filter(F.col(key).isNotNull()).alias("s")
-    right = loaded.withColumn("_loaded", F.lit(True)).alias("l")
-    joined = left.join(right, F.col(f"s.{key}") == F.col(f"l.{key}"), "left")
-    found = F.coalesce("l._loaded", F.lit(False))
-    differs = F.array_compact(
-        F.array(
-            F.lit(None).cast("string"),
-            *[F.when(found & ~F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")), F.lit(c)) for c in columns],
-        )
-    )
-    return joined.select(
-        F.col(f"s.{key}").alias(key),
-        *[F.col(f"s.{c}").alias(f"source_{c}") for c in columns],
-        *[F.col(f"l.{c}").alias(f"loaded_{c}") for c in columns],
-        found.alias("found"),
-        F.array_join(differs, "|").alias("differs"),
-    )
+    ours = source.filter(F.col(key).isNotNull()).select(key, *[F.col(c).alias(f"source_{c}") for c in columns])
+    theirs = loaded.select(key, *[F.col(c).alias(f"loaded_{c}") for c in columns], F.lit(True).alias("found"))
+    joined = left_join(ours, theirs, key).withColumn("found", F.coalesce("found", F.lit(False)))
+    other = [
+        F.when(F.col("found") & ~F.col(f"source_{c}").eqNullSafe(F.col(f"loaded_{c}")), F.lit(c)) for c in columns
+    ]
+    return joined.withColumn("differs", F.concat_ws("|", *other))
 
 
 def missing_keys(source: DataFrame, loaded: DataFrame, key: str) -> DataFrame:

@@ -145,7 +145,7 @@ def atc_bridge_counts(t):
 )
 def atc_bridge_sample(t):
     """Five matches, the same ones on every run."""
-    return quality.sample_rows(drugs.atc_bridge(t.atc_codes, t.drugs, t.view("v_farmaci_anagrafica")), "atc_code", 5, 5)
+    return drugs.atc_bridge_sample(t.atc_codes, t.drugs, t.view("v_farmaci_anagrafica"), 5, 5)
 
 
 @query(

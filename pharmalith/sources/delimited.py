@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import logging
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -122,7 +123,9 @@ def decode_line(value: Column, file: Column, single_byte: list[str] | None) -> C
 
 def count_fields(line: Column, sep: str) -> Column:
     """Fields of a line; separators inside quotes do not count."""
-    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
+    # A quote opens a field only at its start; inside, two quotes stand for one.
+    quoted = rf'(^|{re.escape(sep)})"[^"]*(?:""[^"]*)*"'
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, quoted, "$1")).otherwise(line)
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1
 
 

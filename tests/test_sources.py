@@ -284,3 +284,26 @@ def test_missing_relations_are_an_error(spark, tmp_path):
 
     with pytest.raises(AnalysisException):
         tables.read_drug_relations(spark, str(tmp_path / "nothing"))
+
+
+def test_random_lines_parse_like_the_csv_module(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    random.seed(11)
+
+    def value():
+        text = "".join(random.choices('ab è,.;"\'|\\', k=random.randint(0, 6)))
+        if ";" in text or text.startswith('"') or random.random() < 0.2:
+            return '"' + text.replace('"', '""') + '"'
+        return text
+
+    lines = [";".join(value() for _ in range(random.randint(1, 5))) for _ in range(1500)]
+    lines = [line for line in lines if line.strip()]
+    path = put(tmp_path, "r.csv", "\n".join(["x;y;z", *lines]) + "\n")
+    landed = delimited.read_delimited(spark, path)
+    parsed = [next(csv.reader(io.StringIO(line), delimiter=";")) for line in lines]
+    want = [tuple((v or None) for v in (r + [None] * 3)[:3]) for r in parsed if len(r) <= 3]
+    assert rows(landed.rows) == sorted(want, key=lambda r: [(v is not None, str(v)) for v in r])
+    assert landed.rejects.count() == sum(len(r) > 3 for r in parsed)

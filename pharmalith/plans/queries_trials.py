@@ -138,11 +138,10 @@ def trials_site_cities(t):
 
 # One report per event: its substance, the family of that substance, and its reactions.
 _REPORTS = """
-    select event_id as report_id, concat('Substance ', get_json_object(props, '$.k')) as substance,
-           concat('family ', substr(get_json_object(props, '$.k'), 1, 1)) as family,
-           event_type as reaction, case when value > 50 then concat('severe ', event_type) else event_type end
-               as second_reaction
-    from {events}"""
+    select event_id as report_id, concat('Substance ', k) as substance,
+           concat('family ', substr(k, 1, 1)) as family, event_type as reaction,
+           case when value > 50 then concat('severe ', event_type) else event_type end as second_reaction
+    from (select event_id, event_type, value, get_json_object(props, '$.k') as k from {events}) as e"""
 
 
 def reports(t):

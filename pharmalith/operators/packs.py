@@ -112,29 +112,38 @@ def _repeat(df: DataFrame, copies: str) -> DataFrame:
     )
 
 
-def search(requests: DataFrame, view: DataFrame, term: str = "name", ignore_case: bool = True) -> DataFrame:
-    """Rows of the view whose name contains the search term of a request."""
-    return match_contains(requests, term, view, "denominazione", ignore_case=ignore_case)
+def search(requests: DataFrame, named: DataFrame, term: str = "name", ignore_case: bool = True) -> DataFrame:
+    """Rows of a table whose ``denominazione`` contains the search term of a request."""
+    return match_contains(requests, term, named, "denominazione", ignore_case=ignore_case)
 
 
-def status_packs(
+def search_view(
     requests: DataFrame,
     packs: DataFrame,
     class_a: DataFrame | None = None,
     class_h: DataFrame | None = None,
     shortages: DataFrame | None = None,
     term: str = "name",
+    ignore_case: bool = True,
     **view_options,
 ) -> DataFrame:
-    """All packs found for each request, with class and shortage columns.
+    """Rows of the unified view whose name contains the search term of a request.
 
-    The name filter runs first, so the joins only see packs someone asked for. The list
-    of a request stays in long form (one row per pack), as it has no size bound.
+    The name filter runs first, so the joins only see packs someone asked for.
     """
     # Stored, as the parts of the view each read it.
-    found = through_storage(match_contains(requests, term, packs, "denominazione"), "packs-found")
+    found = through_storage(search(requests, packs, term, ignore_case), "packs-found")
     lists = _narrow([class_a, class_h, shortages], found)
-    view = unified_view(found, *lists, **view_options)
+    return unified_view(found, *lists, **view_options)
+
+
+def status_packs(requests: DataFrame, packs: DataFrame, *lists: DataFrame | None, **options) -> DataFrame:
+    """All packs found for each request, with class and shortage columns.
+
+    Arguments as for ``search_view``. The list of a request stays in long form (one row
+    per pack), as it has no size bound.
+    """
+    view = search_view(requests, packs, *lists, **options)
     return view.withColumnRenamed("denominazione", "denominazione_completa")
 
 

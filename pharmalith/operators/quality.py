@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pharmalith.operators.joins import left_join
 from pharmalith.operators.matching import choose_strategy, match_contains
+from pharmalith.session import through_storage
 
 KEY = "codice_aic"
 
@@ -188,7 +189,8 @@ def search_ladder(requests: DataFrame, view: DataFrame, fragment: int = 5) -> Da
     Contains in any case, contains in the given case, contains the first ``fragment``
     characters, equality in any case.
     """
-    names = _texts(view, "denominazione")
+    # Stored: four steps read the distinct names, and the view behind them is a large join.
+    names = through_storage(_texts(view, "denominazione"), "ladder-names")
     start = requests.withColumn("query", F.substring("query", 1, fragment))
     # Neither lower case nor a shorter term adds distinct terms: one count is enough.
     strategy = choose_strategy(requests.select("query").distinct(), "query")
@@ -205,7 +207,7 @@ def search_ladder(requests: DataFrame, view: DataFrame, fragment: int = 5) -> Da
 
 def name_ladder(requests: DataFrame, drugs: DataFrame, synonyms: DataFrame) -> DataFrame:
     """The same for drug names: equal name, equal synonym, part of a synonym."""
-    known, others = _texts(drugs, "name"), _texts(synonyms, "synonym")
+    known, others = _texts(drugs, "name"), through_storage(_texts(synonyms, "synonym"), "ladder-synonyms")
     return _ladder(
         requests,
         [

@@ -34,6 +34,9 @@ def _parts(t):
     return (t.view("v_farmaci_anagrafica"), t.view("v_classe_a"), t.view("v_classe_h"), t.view("v_farmaci_carenti"))
 
 
+_NAMED = ("request_id", "name", "codice_aic", "denominazione")
+
+
 def _brands(t):
     return t.view("r_brands").withColumnRenamed("name", "nome_ricercato")
 
@@ -154,8 +157,7 @@ def pack_generics(t):
 )
 def pack_search(t):
     """Rows of the unified view by part of the name, in any letter case."""
-    view = packs.unified_view(*_parts(t), class_column=OWN_CLASS)
-    return packs.search(t.view("r_brands"), view.select("codice_aic", "denominazione"))
+    return packs.search_view(t.view("r_brands"), *_parts(t), class_column=OWN_CLASS).select(*_NAMED)
 
 
 _BRAND_CASES = """
@@ -172,8 +174,7 @@ def pack_search_cs(t):
     """The same with the letter case as given; each brand is asked as it is and in capitals."""
     brands = t.view("r_brands")
     asked = brands.union(brands.select(F.col("request_id") + 1000000000000, F.upper("name")))
-    view = packs.unified_view(*_parts(t), class_column=OWN_CLASS)
-    return packs.search(asked, view.select("codice_aic", "denominazione"), ignore_case=False)
+    return packs.search_view(asked, *_parts(t), ignore_case=False, class_column=OWN_CLASS).select(*_NAMED)
 
 
 _MANY_TERMS = """

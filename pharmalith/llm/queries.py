@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from pharmalith.llm import quality_rules, simhash_vp
+from pyspark.sql import functions as F
+
+from pharmalith.llm import decontaminate, language, mixing, pii, quality_rules, sharding, simhash_vp, site_quality, token_rollups, warc_zstd
+from pharmalith.session import scratch_path, through_storage
+
+# Vocabulary files of public tokenizers; the folder may be set by the environment.
+TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+TOKENIZERS = {"byte_bpe_50k": f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +30,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document; the source is the host, the language section its path."""
+    scored = site_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "host_mean", "path_mean", "posterior")], "kept")
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
+    model = language.learn(docs.filter("not held_out"))
+    return language.identify(docs, model, ["doc_id", "held_out"]).withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    path = scratch_path(spark, "warc")
+    warc_zstd.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc_zstd.read_archives(spark, path)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op3_warc"] = warc_zstd.ORACLE_SQL
+
+
+@query
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target of the source and words taken per document."""
+    drawn = mixing.decisions(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op4_mix"] = mixing.ORACLE_SQL
+
+
+@query
+def op5_token_totals(spark: SparkSession, sf_dir: str, tokenizers: dict[str, str] | None = None) -> DataFrame:
+    """Totals by source, language and tokenizer version after all documents came in, copies went and lines were
+    revised; the second batch is sent twice."""
+    store = token_rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    changes = token_rollups.crawl_changes(table(spark, sf_dir, "documents"), tokenizers or TOKENIZERS, through_storage)
+    for name in ("crawl", "copies", "copies", "lines"):
+        store.commit(name, changes[name])
+    store.compact()
+    store.commit("copies", changes["copies"])
+    return store.totals()
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the checks."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "common", "n_words", "answer", "verbatim", F.round("cosine", 3).alias("cosine"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the robust outlier rule per document."""
@@ -30,8 +96,42 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of even row counts."""
+    dealt = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=8)
+    text = F.col("text")
+    return dealt.select(
+        "doc_id",
+        sharding.row_size(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_vp.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", simhash_vp.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.spell(F.col("base")), 256).alias("base_sha256"),
+        pii.spell(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -36,17 +36,18 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD_PATTERN))).cast("long")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, hashed: list[str], once: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose (id, hash of ``hashed``) is in ``kept`` (columns ``k_id``, ``k_hash``).
+def keep_rows(docs: DataFrame, marked: DataFrame, id_col: str, hashed: list[str], once: bool = False, drop: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose (id, hash of ``hashed``) is in ``marked`` (columns ``k_id``, ``k_hash``), or is not (``drop``).
 
     The shuffle is by id and hash, which is even unless one whole row repeats; such a partition is split
-    by adaptive execution, as the join is a left semi join. ``once`` keeps one of several equal rows.
+    by adaptive execution, as the join is a left semi or anti join. ``once`` keeps one of several equal rows. Rows travel as one struct, so
+    that no column of theirs meets one of ours.
     """
-    mark = fresh(docs, "_row_hash")
-    left = docs.withColumn(mark, row_hash(*hashed))
-    out = left.join(
-        kept.select("k_id", "k_hash"), left[id_col].eqNullSafe(F.col("k_id")) & (left[mark] == F.col("k_hash")), "left_semi"
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_row"), F.col(id_col).alias("d_id"), row_hash(*hashed).alias("d_hash")
     )
+    same = F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_hash") == F.col("k_hash"))
+    out = rows.join(marked.select("k_id", "k_hash"), same, "left_anti" if drop else "left_semi")
     if once:
-        out = out.dropDuplicates([id_col, mark])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["d_id", "d_hash"])
+    return out.select("d_row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pharmalith.llm.common import fresh, row_hash, with_columns
+from pharmalith.llm.common import keep_rows, row_hash, with_columns
 from pharmalith.session import through_storage, tune
 
 PASSAGE = 48
@@ -353,7 +353,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, seed: int = 42, block_items:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with the columns they came with."""
     hit = through_storage(matches(docs, benchmark, seed).select(F.col("doc_id").alias("k_id"), "k_hash").distinct(), "hits")
-    mark = fresh(docs, "_row_hash")
-    left = docs.withColumn(mark, row_hash("text"))
-    out = left.join(hit, left["doc_id"].eqNullSafe(F.col("k_id")) & (left[mark] == F.col("k_hash")), "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_rows(docs, hit, "doc_id", ["text"], drop=True)

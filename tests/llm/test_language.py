@@ -1,0 +1,66 @@
+import itertools
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from pharmalith.llm import language as g
+from tests.llm.conftest import edge_rows
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", g.held_out(F.col("doc_id")).alias("held_out"))
+    model = g.learn(docs.filter("not held_out"))
+    rows = g.identify(docs.filter("held_out"), model, ["doc_id", "lang"]).collect()
+    right = [r.lang_pred == r.lang for r in rows]
+    assert len(right) > 150 and np.mean(right) >= 0.98
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_mixed_text_is_cut_at_the_change(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = g.learn(docs)
+    pick = {l: docs.filter(F.col("lang") == l).filter("length(text) between 400 and 3000").orderBy("doc_id").first().text[:400] for l in ("de", "en", "es")}
+    text = pick["de"] + "\n" + pick["en"] + "\n" + pick["es"]
+    row = g.identify(spark.createDataFrame([(text,)], "text string"), model, []).first()
+    assert [s.lang for s in row.spans] == ["de", "en", "es"]
+    for s, near in zip(row.spans[1:], (401, 802)):
+        assert abs(s.start - near) <= 40
+    assert all(a.end <= b.start for a, b in zip(row.spans, row.spans[1:]))
+
+
+def test_path_against_all_paths():
+    rng = np.random.default_rng(2)
+    words = np.array([5, 1, 3, 5])
+    scores = -rng.random((words.sum(), 3)).astype(np.float32) * 4
+    label = g.best_path(scores, words, switch=1.5)
+
+    def value(path, part):
+        return sum(part[t, x] for t, x in enumerate(path)) - 1.5 * sum(a != b for a, b in zip(path, path[1:]))
+
+    at = 0
+    for n in words:
+        part = scores[at : at + n]
+        best = max(value(p, part) for p in itertools.product(range(3), repeat=int(n)))
+        assert abs(value(label[at : at + n], part) - best) < 1e-4
+        at += n
+
+
+def test_script_narrows(spark):
+    rows = [("молоко и хлеб на столе", "ru"), ("milk and bread on the table", "en"), ("milch und brot auf dem tisch", "de")] * 5
+    model = g.learn(spark.createDataFrame(rows, "text string, lang string"))
+    got = g.identify(spark.createDataFrame([("стол milk",), ("ψωμί",), ("тт",)], "text string"), model, []).collect()
+    assert {s.lang for s in got[0].spans} == {"en", "ru"} and got[1].lang_pred in ("de", "en", "ru") and got[2].lang_pred == "ru"
+
+
+def test_edge_cases(spark, edge, nothing):
+    model = g.learn(edge)
+    rows = g.identify(edge, model, ["doc_id", "text"]).collect()
+    assert len(rows) == len(edge_rows())
+    for r in rows:
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+        assert r.lang_pred == "und" or r.lang_pred in ("en", "ja")
+    assert g.identify(nothing, model, ["doc_id"]).count() == 0
+    untaught = g.identify(edge, g.learn(nothing), ["doc_id"]).collect()
+    assert {(r.lang_pred, r.score) for r in untaught} == {("und", 0.0)}

@@ -34,15 +34,15 @@ from pharmalith.session import through_storage, tune
 PASSAGE = 48
 STRIDE = 24
 BLOCK_ITEMS = 256
-INDEX_TERMS = 24
+INDEX_TERMS = 8
 OVERSAMPLING = 32
-MIN_COSINE = 0.3
+MIN_COSINE = 0.15
 VERBATIM = 0.85
 PARAPHRASE = 0.5
 ANSWER = 0.5
 ANSWER_WORDS = 8
 SHORT = 8
-# A word outside the vocabulary counts in the length of a window with this share of a mean index term.
+# A word outside the vocabulary counts in the length of a window with this share of a mean index term of the item.
 OTHER_SHARE = 0.25
 CHUNK = 400_000
 LANES = 16
@@ -174,7 +174,7 @@ def gram_times(codes: np.ndarray, piece: np.ndarray, scale: np.ndarray, x: np.nd
 
 
 def gram_product(coded: DataFrame, units: list[Unit], scale: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """``A'A x`` over the passages of all documents and items."""
+    """``A'A x`` over the passages of all documents and, as rows of greater weight, the items."""
     terms, rank = x.shape
     wide = -(-rank // LANES) * LANES
     spark = coded.sparkSession
@@ -200,8 +200,11 @@ def gram_product(coded: DataFrame, units: list[Unit], scale: np.ndarray, x: np.n
         total[r[0], r[1] * LANES : (r[1] + 1) * LANES] = r[2:]
     total = total[:, :rank]
     for u in units:
-        own = np.array(u.codes)
-        gram_times(own, np.zeros(len(own), np.int64), scale, x, total)
+        # No direction of the documents has more than PASSAGE: so much weight lets every item lead.
+        row = np.bincount(u.codes, minlength=terms) * scale
+        energy = row @ row
+        if energy > 0:
+            total += np.outer(row, row @ x) * (PASSAGE / energy)
     shared.unpersist()
     return total
 
@@ -224,20 +227,20 @@ def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.nd
     vectors = np.array([projected[u.codes].sum(axis=0) for u in units], np.float32)
     lengths = np.array([np.sqrt((weight[u.codes] ** 2).sum()) for u in units], np.float32)
     vectors /= np.maximum(lengths, 1e-9)[:, None]
-    other = OTHER_SHARE * float(np.mean(weight[weight > 0] ** 2)) if (weight > 0).any() else 1.0
-    squares = np.where(np.arange(len(weight)) == 0, other, weight**2)
-    shared = spark.sparkContext.broadcast((projected, vectors, squares, units))
+    other = OTHER_SHARE * np.array([np.mean(weight[[c for c in set(u.codes) if weight[c] > 0]] ** 2) for u in units], np.float32)
+    shared = spark.sparkContext.broadcast((projected, vectors, weight**2, other, units))
     fields = "doc_id long, k_hash long, item string, cosine double, common int, n_words int, answer double, verbatim boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, v, sq, asked = shared.value
-        indexed = (sq > 0) & (np.arange(len(sq)) > 0)
+        p, v, sq, extra, asked = shared.value
+        indexed = sq > 0
         patterns = [(places(u.codes), places(u.answer)) for u in asked]
         for batch, at, codes, sizes, piece, pieces in chunks(batches, STRIDE):
             n = int(pieces.sum())
             if not n:
                 continue
-            mass = np.bincount(piece, weights=sq[codes], minlength=n)
+            mass = np.bincount(piece, weights=sq[codes], minlength=n).astype(np.float32)
+            strange = np.bincount(piece[codes == 0], minlength=n).astype(np.float32)
             known = np.flatnonzero(indexed[codes])
             z = np.zeros((n, p.shape[1]), np.float32)
             if len(known):
@@ -247,10 +250,12 @@ def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.nd
             row = np.repeat(np.arange(len(sizes)), pieces)
             follows = np.flatnonzero(row[1:] == row[:-1])
             z[follows] += z[follows + 1]
-            whole = mass.copy()
+            whole, others = mass.copy(), strange.copy()
             whole[follows] += mass[follows + 1]
+            others[follows] += strange[follows + 1]
             live = np.flatnonzero(z.any(axis=1))
-            cosine = (z[live] @ v.T) / np.sqrt(np.maximum(whole[live], 1e-9))[:, None]
+            length = whole[live][:, None] + others[live][:, None] * extra
+            cosine = (z[live] @ v.T) / np.sqrt(np.maximum(length, 1e-12))
             win, unit = np.nonzero(cosine >= MIN_COSINE)
             if not len(win):
                 continue

@@ -51,9 +51,9 @@ def clean_header(name: str, dropped: str = HEADER_DROPPED, keep_ends: bool = Fal
     return name if NAMELESS in cleaned else cleaned
 
 
-def clean_headers(names: Sequence[str]) -> list[str]:
+def clean_headers(names: Sequence[str], dropped: str = HEADER_DROPPED, keep_ends: bool = False) -> list[str]:
     """Normalised names of a whole header; the pack key gets its one name."""
-    cleaned = [clean_header(n) for n in names]
+    cleaned = [clean_header(n, dropped, keep_ends) for n in names]
     cleaned = [KEY_NAME if n in KEY_SYNONYMS else n for n in cleaned]
     twice = sorted({n for n in cleaned if cleaned.count(n) > 1})
     if twice:

@@ -15,15 +15,18 @@ def top_reactions(requests: DataFrame, reports: DataFrame, k: int = 5, substance
     """
     asked = requests.withColumn("_substance", F.upper(substance)).filter("_substance is not null")
     wanted = asked.select("_substance").distinct()
-    # Unnesting happens inside the report row, so no shuffle is needed to pair the two.
-    named = reports.select(
-        F.explode(F.array_distinct(F.transform("substances", F.upper))).alias("_substance"), "reactions"
-    ).join(wanted, "_substance", "left_semi")
+    # Pairs are unnested inside the report row and counted before anything is joined, so
+    # what is shuffled is one row per substance, term and task.
     counts = (
-        named.select("_substance", F.explode(F.array_distinct("reactions")).alias("term"))
-        .filter("term is not null")
+        reports.select(
+            F.explode(F.array_distinct(F.transform("substances", F.upper))).alias("_substance"),
+            F.array_distinct("reactions").alias("reactions"),
+        )
+        .select("_substance", F.explode("reactions").alias("term"))
+        .filter("term is not null and _substance is not null")
         .groupBy("_substance", "term")
         .agg(F.count(F.lit(1)).alias("count"))
+        .join(wanted, "_substance", "left_semi")
     )
     most = Window.partitionBy("_substance").orderBy(F.desc("count"), "term")
     top = counts.withColumn("rank", F.row_number().over(most).cast("bigint")).filter(F.col("rank") <= k)

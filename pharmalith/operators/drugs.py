@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pharmalith.functions.text import present
-from pharmalith.operators.quality import sample_rows
+from pharmalith.session import through_storage
 
 ID = "drugbank_id"
 INFO = (ID, "name", "type", "state")
@@ -99,20 +101,19 @@ def interactions_among(requests: DataFrame, interactions: DataFrame, drugs: Data
         requests.select("request_id", ID).filter(f"{ID} is not null").distinct()
         .join(long_enough, "request_id", "left_semi")
     )
+    source, target = "source_drug_id", "target_drug_id"
+    # Requests multiply pairs of ids only; descriptions and names join what is left.
+    pairs = interactions.select(source, target).filter(f"{source} is not null and {target} is not null").distinct()
     ids = listed.select(ID).distinct()
-    # Both ends are checked against all lists first, so that the join below only
-    # multiplies edges that some request can use.
-    edges = interactions.join(
-        ids.withColumnRenamed(ID, "target_drug_id"), "target_drug_id", "left_semi"
-    ).join(listed.withColumnRenamed(ID, "source_drug_id"), "source_drug_id")
-    edges = edges.join(
-        listed.withColumnRenamed(ID, "target_drug_id"), ["request_id", "target_drug_id"], "left_semi"
+    asked = (
+        pairs.join(ids.withColumnRenamed(ID, target), target, "left_semi")
+        .join(listed.withColumnRenamed(ID, source), source)
+        .join(listed.withColumnRenamed(ID, target), ["request_id", target], "left_semi")
     )
     names = drugs.select(ID, "name")
-    return (
-        edges.join(names.toDF("source_drug_id", "source_name"), "source_drug_id")
-        .join(names.toDF("target_drug_id", "target_name"), "target_drug_id")
-        .select("request_id", "source_drug_id", "source_name", "target_drug_id", "target_name", "description")
+    named = asked.join(names.toDF(source, "source_name"), source).join(names.toDF(target, "target_name"), target)
+    return named.join(interactions.select(source, target, "description"), [source, target]).select(
+        "request_id", source, "source_name", target, "target_name", "description"
     )
 
 
@@ -152,6 +153,7 @@ def atc_bridge(atc_codes: DataFrame, drugs: DataFrame, packs: DataFrame) -> Data
 
 
 def _bridge(coded: DataFrame, named: DataFrame) -> DataFrame:
+    # The names of the columns.
     return coded.join(named, coded.atc_code == named.codice_atc).select(
         "atc_code",
         F.col("denominazione").alias("nome_farmaco_aifa"),
@@ -159,17 +161,57 @@ def _bridge(coded: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
+def drawn_numbers(total: int, n: int, seed: int) -> list[int]:
+    """``n`` different numbers below ``total`` (all of them if there are no more), fixed by the seed.
+
+    Number ``i`` is the md5 of ``seed:i``, its first 15 hex digits, modulo ``total``; repeats are passed over.
+    """
+    if total <= n:
+        return list(range(total))
+    found: list[int] = []
+    i = 0
+    while len(found) < n:
+        k = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:15], 16) % total
+        if k not in found:
+            found.append(k)
+        i += 1
+    return found
+
+
 def atc_bridge_sample(atc_codes: DataFrame, drugs: DataFrame, packs: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
-    """``n`` rows of the bridge, the same ones on every run, without building it.
+    """``n`` rows of the bridge, each with the same chance, the same ones on every run, without building it.
 
-    Rows are drawn by a ticket of their code and then by name, so no code needs more than
-    its first ``n`` drugs and its first ``n`` packs.
+    The rows are numbered by code, then drug id, then pack; group sizes tell which code a drawn number falls
+    into, and only the drugs and packs of the drawn codes are numbered.
     """
-    by_drug = Window.partitionBy("atc_code").orderBy("name", ID)
-    by_pack = Window.partitionBy("codice_atc").orderBy("denominazione")
-    coded = _coded_drugs(atc_codes, drugs).withColumn("_rank", F.row_number().over(by_drug)).filter(F.col("_rank") <= n)
-    named = _named_packs(packs).withColumn("_rank", F.row_number().over(by_pack)).filter(F.col("_rank") <= n)
-    return sample_rows(_bridge(coded, named), "atc_code", n, seed)
+    coded, named = _coded_drugs(atc_codes, drugs), _named_packs(packs)
+    # One row per code; read for the total and for the codes of the numbers.
+    sizes = through_storage(
+        atc_bridge_counts(atc_codes, drugs, packs).withColumn("_upto", F.sum("n_coppie").over(Window.orderBy("atc_code"))),
+        "bridge-sizes",
+    )
+    total = sizes.agg(F.max("_upto")).first()[0] or 0
+    numbers = drawn_numbers(total, n, seed)
+    drawn = F.array(*map(F.lit, numbers)).cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
+    draws = drugs.sparkSession.range(1).select(F.explode(drawn).alias("_number"))
+    picked = sizes.join(
+        F.broadcast(draws), (F.col("_number") < F.col("_upto")) & (F.col("_number") >= F.col("_upto") - F.col("n_coppie"))
+    ).select(
+        F.col("atc_code").alias("_code"),
+        F.expr("(_number - _upto + n_coppie) div n_confezioni").alias("_drug"),
+        F.expr("(_number - _upto + n_coppie) % n_confezioni").alias("_pack"),
+    )
+    codes = F.broadcast(picked.select("_code").distinct())
+    by_drug = Window.partitionBy("atc_code").orderBy(ID)
+    by_pack = Window.partitionBy("codice_atc").orderBy(F.col("denominazione").asc_nulls_first())
+    coded = coded.join(codes, F.col("atc_code") == F.col("_code"), "left_semi").withColumn("_i", F.row_number().over(by_drug) - 1)
+    named = named.join(codes, F.col("codice_atc") == F.col("_code"), "left_semi").withColumn("_j", F.row_number().over(by_pack) - 1)
+    return (
+        coded.join(F.broadcast(picked), (F.col("atc_code") == F.col("_code")) & (F.col("_i") == F.col("_drug")))
+        .join(named, (F.col("codice_atc") == F.col("_code")) & (F.col("_j") == F.col("_pack")))
+        # The names of the bridge's columns.
+        .select("atc_code", F.col("denominazione").alias("nome_farmaco_aifa"), F.col("name").alias("principio_attivo_drugbank"))
+    )
 
 
 def atc_bridge_counts(atc_codes: DataFrame, drugs: DataFrame, packs: DataFrame) -> DataFrame:

@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pharmalith.functions.text import found_in, is_like_pattern
+from pharmalith.session import through_storage
 
 SCAN_TERMS = 16
 PAIR_TERMS = 256
 TERM_BYTES = 1 << 20
 # A term is looked up by a gram of the largest of these sizes that fits into it.
 GRAM_SIZES = (0, 1, 2, 3, 6, 12)
-SALTS = 16
 
 
 def choose_strategy(terms: DataFrame, term: str = "_term") -> str:
@@ -61,6 +61,8 @@ def match_contains(
     texts = rows.filter(F.col(text).isNotNull()).withColumn("_text", fold(F.col(text)))
     terms = asked.select("_term").distinct().withColumn("_wild", is_like_pattern(F.col("_term")))
     if strategy == "auto":
+        # Stored, as they are counted first and then used.
+        terms = through_storage(terms, "terms")
         strategy = choose_strategy(terms)
     hit = found_in(F.col("_text"), F.col("_term"), F.col("_wild"))
     if strategy == "scan":
@@ -101,21 +103,23 @@ def _pair_by_gram(terms: DataFrame, texts: DataFrame, hit: Column) -> DataFrame:
     )
     # At most one row per gram size: which sizes the texts have to be cut into.
     sizes = sorted(r[0] for r in terms.select("_size").distinct().collect()) or [GRAM_SIZES[-1]]
-    text_grams = texts.select("_text").distinct().select(
-        "_text", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in sizes])).alias("_gram")
+    hashed = lambda c: F.xxhash64(c)
+    asked = terms.select("_term", "_wild", F.explode(F.transform(_grams(F.col("_piece"), F.col("_size")), hashed)).alias("_gram"))
+    # Texts and grams travel as hashes: texts join again where the candidates are verified, so equal hashes do no harm.
+    # Only grams of some term leave the task that cut them.
+    held = (
+        texts.select("_text").distinct()
+        .select(F.xxhash64("_text").alias("_id"), F.explode(F.transform(F.concat(*[_grams(F.col("_text"), n) for n in sizes]), hashed)).alias("_gram"))
+        .join(asked.select("_gram").distinct(), "_gram", "left_semi")
     )
-    how_many = text_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    how_many = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
-        terms.select("_term", "_wild", F.explode(_grams(F.col("_piece"), F.col("_size"))).alias("_gram"))
-        .join(how_many, "_gram", "left")
+        asked.join(how_many, "_gram")
         .groupBy("_term", "_wild")
-        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best"))
-        .filter(F.col("_best.n") > 0)
+        .agg(F.min(F.struct(F.col("_n").alias("n"), F.col("_gram").alias("gram"))).alias("_best"))
+        .select("_term", "_wild", F.col("_best.gram").alias("_gram"))
     )
-    # One gram may sit in a third of all texts: its texts are spread over SALTS tasks.
-    salted = rarest.select(
-        "_term", "_wild", F.col("_best.gram").alias("_gram"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-    )
-    spread = text_grams.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, ["_gram", "_salt"]).filter(hit).select("_term", "_text")
+    # Both joins are inner, so adaptive execution splits a gram that sits in a third of all texts.
+    candidates = held.join(rarest, "_gram").select("_id", "_term", "_wild").distinct()
+    known = texts.select("_text").distinct().withColumn("_id", F.xxhash64("_text"))
+    return known.join(candidates, "_id").filter(hit).select("_term", "_text")

@@ -100,6 +100,20 @@ def _listings(packs: DataFrame, class_a: DataFrame | None, class_h: DataFrame |
     )
 
 
+def pack_copies(
+    packs: DataFrame,
+    class_a: DataFrame | None = None,
+    class_h: DataFrame | None = None,
+    shortages: DataFrame | None = None,
+) -> DataFrame:
+    """Rows of the packs with ``n``, how often each comes out of the unified view, from the sizes of the lists alone."""
+    empty = _no_rows(packs.sparkSession, f"{KEY} bigint")
+    short = (empty if shortages is None else shortages).filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("_short"))
+    times = [F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)) for c in ("_in_a", "_in_h", "_short")]
+    joined = packs.join(_listings(packs, class_a, class_h), KEY, "left").join(short, KEY, "left")
+    return joined.select(*packs.columns, (times[0] * times[1] * times[2]).alias("n"))
+
+
 def _repeat(df: DataFrame, copies: str) -> DataFrame:
     """Emit each row as often as ``copies`` says, never holding more than short arrays."""
     columns = [c for c in df.columns if c != copies]
@@ -229,9 +243,8 @@ def generics(
     ingredients: DataFrame,
     equivalents: DataFrame,
     term: str = "name",
-    ordered: bool = True,
 ) -> DataFrame:
-    """Equivalent drugs for a brand or an ingredient, cheapest first, unknown prices last."""
+    """Equivalent drugs for a brand or an ingredient, in no order; ``cheapest_first`` sorts the answer to one request."""
     # Stored, because the second search first counts its terms and then uses them.
     asked = through_storage(ingredient_to_search(requests, packs, ingredients, term), "ingredients-asked")
     offers = equivalents.select(
@@ -241,7 +254,9 @@ def generics(
         F.col("prezzo_riferimento_ssn").alias("prezzo_pubblico"),
         "principio_attivo",
     )
-    result = match_contains(asked, "cercato", offers, "principio_attivo").drop("principio_attivo")
-    if ordered:
-        result = result.orderBy("request_id", F.col("prezzo_pubblico").asc_nulls_last(), KEY)
-    return result
+    return match_contains(asked, "cercato", offers, "principio_attivo").drop("principio_attivo")
+
+
+def cheapest_first(offers: DataFrame) -> DataFrame:
+    """Offers of one request by price, unknown prices last."""
+    return offers.orderBy(F.col("prezzo_pubblico").asc_nulls_last(), KEY)

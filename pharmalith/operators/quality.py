@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pharmalith.functions.text import found_in, is_like_pattern
 from pharmalith.operators.joins import left_join
-from pharmalith.operators.matching import choose_strategy, match_contains
-from pharmalith.session import through_storage
+from pharmalith.operators.matching import match_contains
 
 KEY = "codice_aic"
 
@@ -39,6 +40,11 @@ def multi_ingredient_top(ingredients: DataFrame, n: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("num_principi_attivi"), KEY).limit(n)
 
 
+def most_ingredients_first(counts: DataFrame) -> DataFrame:
+    """Packs by their number of ingredients, largest first."""
+    return counts.orderBy(F.desc("num_principi_attivi"), KEY)
+
+
 def unit_counts(ingredients: DataFrame) -> DataFrame:
     """Uses of each unit per ingredient, for units used more than once."""
     return (
@@ -78,6 +84,31 @@ def not_null(*columns: str) -> dict[str, Column]:
     return {f"{c} present": F.col(c).isNotNull() for c in columns}
 
 
+# The columns that every row of a result has to fill.
+REQUIRED = {
+    "pack": ("codice_aic", "denominazione_completa", "is_carente"),
+    "status": ("nome_ricercato", "stato_generale"),
+    "equivalent": ("codice_aic", "denominazione_farmaco", "azienda"),
+    "drug": ("drugbank_id", "name"),
+    "interaction": ("source_drug_id", "source_name", "target_drug_id", "target_name", "description"),
+    "reaction": ("term", "count"),
+    "study": ("nct_id", "title", "status", "url"),
+}
+
+
+def result_rules(model: str) -> dict[str, Column]:
+    """The rules of one kind of result."""
+    return not_null(*REQUIRED[model])
+
+
+def check_results(results: Mapping[str, DataFrame]) -> DataFrame:
+    """``model, rule, n_pass, n_fail`` of several results by the rules of their kinds."""
+    parts = [
+        check_rules(require_columns(df, REQUIRED[m], m), result_rules(m)).select(F.lit(m).alias("model"), "*") for m, df in results.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def check_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Rows that pass and fail each rule, counted in one pass."""
     passed = [F.count_if(rule).alias(f"_{i}") for i, rule in enumerate(rules.values())]
@@ -130,15 +161,40 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).orderBy(ticket, *[F.col(c) for c in df.columns]).limit(n)
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """Rows, filled values and type of each column, in one pass."""
-    totals = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(df.columns)])
+def _type_of(n: Column, counts: dict[str, Column]) -> Column:
+    """Narrowest type that holds all values of a text column; ``string`` if none does or it has no value."""
+    result = F.lit("string")
+    for name, fitting in reversed(counts.items()):
+        result = F.when((n > 0) & (fitting == n), F.lit(name)).otherwise(result)
+    return result
+
+
+def profile_columns(df: DataFrame, infer: bool = False) -> DataFrame:
+    """Rows, filled values and type of each column, in one pass.
+
+    ``infer``: text columns get the narrowest type that all their values can be read as.
+    """
+    kinds = ("bigint", "double", "date", "boolean")
+    texts = [f.dataType.simpleString() == "string" for f in df.schema.fields]
+    measures = [F.count(F.lit(1)).alias("_n")]
+    for i, field in enumerate(df.schema.fields):
+        c = F.col(f"`{field.name}`")
+        measures.append(F.count(c).alias(f"_{i}"))
+        if infer and texts[i]:
+            measures += [F.count(F.trim(c).try_cast(k)).alias(f"_{i}_{k}") for k in kinds]
+    totals = df.agg(*measures)
+
+    def kind(i: int, field) -> Column:
+        if infer and texts[i]:
+            return _type_of(F.col(f"_{i}"), {k: F.col(f"_{i}_{k}") for k in kinds})
+        return F.lit(field.dataType.simpleString())
+
     lines = F.array(
         *[
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
+                kind(i, field).alias("data_type"),
                 F.col("_n").alias("n_rows"),
                 F.col(f"_{i}").alias("n_filled"),
             )
@@ -148,6 +204,11 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return totals.select(F.inline(lines))
 
 
+def head_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows as one JSON text each."""
+    return df.limit(n).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+
+
 def relation_counts(relations: Mapping[str, DataFrame]) -> DataFrame:
     """Row count of each relation."""
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("relation"), "n_rows") for n, df in relations.items()]
@@ -157,18 +218,10 @@ def relation_counts(relations: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-def _contains_counts(
-    requests: DataFrame, names: DataFrame, alias: str, ignore_case: bool = True, strategy: str = "auto"
-) -> DataFrame:
-    """Rows whose text contains the query, counted over distinct texts."""
-    asked = requests.select("request_id", "query")
-    found = match_contains(asked, "query", names, "text", ignore_case=ignore_case, strategy=strategy)
-    return found.groupBy("request_id").agg(F.sum("n").alias(alias))
-
-
-def _texts(df: DataFrame, text: str) -> DataFrame:
+def _texts(df: DataFrame, text: str, weight: str | None = None) -> DataFrame:
     """Distinct texts with the number of rows that carry them."""
-    return df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(n.alias("n"))
 
 
 def _equal_counts(requests: DataFrame, names: DataFrame, alias: str) -> DataFrame:
@@ -183,39 +236,46 @@ def _ladder(requests: DataFrame, steps: list[DataFrame]) -> DataFrame:
     return result.na.fill(0, [c for c in result.columns if c not in requests.columns])
 
 
-def search_ladder(requests: DataFrame, view: DataFrame, fragment: int = 5) -> DataFrame:
+def _has(text: Column, term: Column) -> Column:
+    return found_in(text, term, is_like_pattern(term))
+
+
+def search_ladder(requests: DataFrame, view: DataFrame, fragment: int = 5, weight: str | None = None) -> DataFrame:
     """Why a brand search finds what it finds: rows per search strategy and request.
 
     Contains in any case, contains in the given case, contains the first ``fragment``
-    characters, equality in any case.
+    characters, equality in any case. The fragment finds whatever the others find, so there is one search for it, and
+    the others are counted among its pairs. ``weight``: a column that says how many rows a row of ``view`` stands for.
     """
-    # Stored: four steps read the distinct names, and the view behind them is a large join.
-    names = through_storage(_texts(view, "denominazione"), "ladder-names")
-    start = requests.withColumn("query", F.substring("query", 1, fragment))
-    # Neither lower case nor a shorter term adds distinct terms: one count is enough.
-    strategy = choose_strategy(requests.select("query").distinct(), "query")
-    return _ladder(
-        requests,
-        [
-            _contains_counts(requests, names, "n_contains", strategy=strategy),
-            _contains_counts(requests, names, "n_contains_case", ignore_case=False, strategy=strategy),
-            _contains_counts(start, names, "n_fragment", strategy=strategy),
-            _equal_counts(requests, names, "n_equal"),
-        ],
+    asked = requests.select("request_id", "query", F.substring("query", 1, fragment).alias("_start"))
+    pairs = match_contains(asked, "_start", _texts(view, "denominazione", weight), "text")
+    text, term = F.col("text"), F.col("query")
+    same = F.lower(text) == F.lower(term)
+    counts = pairs.groupBy("request_id").agg(
+        *[
+            F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(name)
+            for name, hit in (
+                ("n_contains", _has(F.lower(text), F.lower(term))),
+                ("n_contains_case", _has(text, term)),
+                ("n_fragment", F.lit(True)),
+                ("n_equal", same),
+            )
+        ]
     )
+    return _ladder(requests, [counts])
 
 
 def name_ladder(requests: DataFrame, drugs: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """The same for drug names: equal name, equal synonym, part of a synonym."""
-    known, others = _texts(drugs, "name"), through_storage(_texts(synonyms, "synonym"), "ladder-synonyms")
-    return _ladder(
-        requests,
-        [
-            _equal_counts(requests, known, "n_name"),
-            _equal_counts(requests, others, "n_synonym"),
-            _contains_counts(requests, others, "n_synonym_part"),
-        ],
+    """The same for drug names: equal name, equal synonym, part of a synonym.
+
+    An equal synonym also has the term as a part, so one search serves both.
+    """
+    pairs = match_contains(requests.select("request_id", "query"), "query", _texts(synonyms, "synonym"), "text")
+    same = F.lower("text") == F.lower("query")
+    parts = pairs.groupBy("request_id").agg(
+        F.sum(F.when(same, F.col("n")).otherwise(0)).alias("n_synonym"), F.sum("n").alias("n_synonym_part")
     )
+    return _ladder(requests, [_equal_counts(requests, _texts(drugs, "name"), "n_name"), parts])
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

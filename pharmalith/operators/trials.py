@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pharmalith.functions.text import found_in, is_like_pattern, present
+from pharmalith.functions.text import present
 from pharmalith.operators.matching import match_contains
 from pharmalith.schemas import (
     COUNTRY,
@@ -16,6 +16,7 @@ from pharmalith.schemas import (
     RECRUITING,
     STUDY_URL,
 )
+from pharmalith.session import through_storage
 
 STUDY = "nct_id"
 
@@ -28,19 +29,17 @@ def study_url(nct_id: Column) -> Column:
     return F.concat(F.lit(STUDY_URL), nct_id)
 
 
-def _search(requests: DataFrame, term: str, rows: DataFrame, text: str, match: str) -> DataFrame:
-    """Requests joined to the rows whose ``text`` contains, or with ``exact`` equals, the term."""
-    texts = rows.select(STUDY, F.col(text).alias("_value"))
-    if match == "contains":
-        return match_contains(requests, term, texts, "_value")
-    same = F.lower("_value") == F.lower(F.col(f"_asked.{term}"))
-    return requests.alias("_asked").join(texts, same)
-
+def _pairs(terms: DataFrame, values: DataFrame, match: str) -> DataFrame:
+    """(term, value) of distinct terms and values where the value contains, or with ``exact`` equals, the term.
 
-def _confirm(term: str, text: str, match: str) -> Column:
-    """The same test on a row that already holds both."""
-    asked, value = F.lower(term), F.lower(text)
-    return value == asked if match == "exact" else found_in(value, asked, is_like_pattern(asked))
+    Stored: every question that names the term reads it from here.
+    """
+    terms, values = terms.toDF("term").distinct(), values.toDF("value").distinct()
+    if match == "contains":
+        found = match_contains(terms, "term", values, "value")
+    else:
+        found = terms.join(values, F.lower("term") == F.lower("value"))
+    return through_storage(found, "term-pairs")
 
 
 def matching_studies(
@@ -67,25 +66,39 @@ def matching_studies(
     usable = usable.select(STUDY)
     if sites is not None:
         usable = usable.join(sites.filter(F.col("country") == country).select(STUDY), STUDY, "left_semi")
-    treated = interventions.join(usable, STUDY, "left_semi")
-    studied = conditions.join(usable, STUDY, "left_semi")
+    usable = through_storage(usable.distinct(), "usable-studies")
+    # Each relation is read once and kept as distinct pairs of usable studies.
+    treated = through_storage(
+        interventions.select(STUDY, F.col("intervention").alias("value")).join(usable, STUDY, "left_semi").distinct(), "treated"
+    )
+    studied = through_storage(
+        conditions.select(STUDY, F.col("condition").alias("value")).join(usable, STUDY, "left_semi").distinct(), "studied"
+    )
     asked = requests.select(
         "request_id",
         F.nullif("intervention", F.lit("")).alias("_drug"),
         F.nullif("condition", F.lit("")).alias("_illness"),
+    ).filter("_drug is not null or _illness is not null")
+    drug_pairs = _pairs(asked.select("_drug").filter("_drug is not null"), treated.select("value"), match)
+    illness_pairs = _pairs(asked.select("_illness").filter("_illness is not null"), studied.select("value"), match)
+    by_drug = (
+        asked.filter("_drug is not null")
+        .join(drug_pairs.withColumnRenamed("term", "_drug"), "_drug")
+        .join(treated, "value")
+        .select("request_id", "_illness", STUDY)
+        .distinct()
     )
-    by_drug = _search(asked.filter("_drug is not null"), "_drug", treated, "intervention", match).select(
-        "request_id", STUDY, "_illness"
+    by_illness = (
+        asked.filter("_drug is null")
+        .join(illness_pairs.withColumnRenamed("term", "_illness"), "_illness")
+        .join(studied, "value")
+        .select("request_id", STUDY)
     )
-    by_illness = _search(
-        asked.filter("_drug is null and _illness is not null"), "_illness", studied, "condition", match
-    ).select("request_id", STUDY)
     # The second half of a question for both is asked of the studies the first half found.
     both = (
         by_drug.filter("_illness is not null")
-        .distinct()
-        .join(studied.select(STUDY, "condition"), STUDY)
-        .filter(_confirm("_illness", "condition", match))
+        .join(studied, STUDY)
+        .join(illness_pairs.withColumnRenamed("term", "_illness"), ["_illness", "value"], "left_semi")
         .select("request_id", STUDY)
     )
     one = by_drug.filter("_illness is null").select("request_id", STUDY)
@@ -131,16 +144,17 @@ def site_status(studies: DataFrame, sites: DataFrame, country: str = COUNTRY) ->
 
 
 def site_status_text(studies: DataFrame, sites: DataFrame, country: str = COUNTRY) -> DataFrame:
-    """One line per study such as ``3 COMPLETED, 1 RECRUITING``, sorted by status.
+    """One line per study such as ``3 COMPLETED, 1 RECRUITING``, sorted by status; empty with 0 sites
+    for a study without a site in the country.
 
     Only counts per status reach a group, and a register knows a handful of statuses.
     """
     pairs = F.array_sort(F.collect_list(F.struct("site_status", "n_sites")))
     line = F.array_join(F.transform(pairs, lambda p: F.concat_ws(" ", p.n_sites, p.site_status)), ", ")
-    return (
-        site_status(studies, sites, country)
-        .groupBy(STUDY)
-        .agg(F.sum("n_sites").alias("n_sites"), line.alias("summary"))
+    lines = site_status(studies, sites, country).groupBy(STUDY).agg(F.sum("n_sites").alias("n_sites"), line.alias("summary"))
+    known = studies.filter(F.col(STUDY).isNotNull()).select(STUDY).distinct()
+    return known.join(lines, STUDY, "left").select(
+        STUDY, F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.coalesce("summary", F.lit("")).alias("summary")
     )
 
 

@@ -18,7 +18,7 @@ BINDINGS = {
     "v_farmaci_anagrafica": """
         select p_partkey as codice_aic, upper(concat(p_name, ' ', p_type)) as denominazione,
                p_brand as ragione_sociale,
-               concat(substr(p_type, 1, 1), lpad(cast(p_size as string), 2, '0')) as codice_atc
+               concat(substr(p_type, 1, 1), cast(p_size as string)) as codice_atc
         from {part}""",
     "v_classe_a": "select p_partkey as codice_aic from {part} where p_size <= 15",
     "v_classe_h": "select p_partkey as codice_aic from {part} where p_size between 12 and 25",
@@ -27,55 +27,55 @@ BINDINGS = {
                concat('reason ', l_linestatus) as motivazioni,
                case when l_returnflag = 'R' then 'Cnn' when l_returnflag = 'A' then 'A' end
                    as classe_di_rimborsabilita
-        from {lineitem} where l_quantity >= 49 and l_discount >= 0.07""",
+        from {lineitem} join {part} on l_partkey = p_partkey where p_type = 'PROMO' or p_size > 40""",
     "v_principi_attivi": """
         select l_partkey as codice_aic,
                case when l_suppkey % 17 = 0 then null when l_suppkey % 10 = 3 then 'n.d.' else s_name end
                    as principio_attivo,
                l_quantity as quantita, case when l_linenumber = 1 then null else l_returnflag end as unita_misura
-        from {lineitem} join {supplier} on l_suppkey = s_suppkey where l_quantity >= 46""",
+        from {lineitem} join {supplier} on l_suppkey = s_suppkey""",
     "v_farmaci_equivalenti": """
         select l_partkey as codice_aic, s_name as principio_attivo, upper(p_name) as farmaco, p_brand as ditta,
                case when l_linenumber = 1 then null else l_extendedprice end as prezzo_riferimento_ssn
         from {lineitem} join {part} on l_partkey = p_partkey join {supplier} on l_suppkey = s_suppkey""",
     "v_drugs_raw": """
-        select concat('DB', lpad(cast(c_custkey as string), 5, '0')) as drugbank_id, c_name as name,
+        select concat('DB', cast(c_custkey as string)) as drugbank_id, c_name as name,
                case when c_mktsegment = 'HOUSEHOLD' then 'biotech' else 'small molecule' end as type,
                case when c_nationkey % 3 = 0 then null else 'solid' end as state,
                case when c_acctbal > 0 then concat('C', cast(c_nationkey as string)) end as smiles
         from {customer}
         union all
-        select concat('DB', lpad(cast(o_custkey * 2 as string), 5, '0')), concat('stub ', o_orderpriority),
+        select concat('DB', cast(o_custkey * 2 as string)), concat('stub ', o_orderpriority),
                cast(null as string), cast(null as string), cast(null as string)
         from {orders} where o_orderstatus = 'P'""",
     "v_interactions_raw": """
-        select concat('DB', lpad(cast(o_custkey % 50 as string), 5, '0')) as source_drug_id,
-               concat('DB', lpad(cast(o_orderkey % 60 as string), 5, '0')) as target_drug_id,
+        select concat('DB', cast(o_custkey as string)) as source_drug_id,
+               concat('DB', cast(l_suppkey as string)) as target_drug_id,
                concat('risk ', o_orderpriority) as description
-        from {orders}""",
+        from {orders} join {lineitem} on l_orderkey = o_orderkey""",
     "v_synonyms_raw": """
-        select concat('DB', lpad(cast(p_partkey % 1000 as string), 5, '0')) as drugbank_id,
+        select concat('DB', cast(p_partkey as string)) as drugbank_id,
                case when p_size = 50 then null when p_size = 49 then '' else p_name end as synonym
         from {part}""",
     "v_atc_codes_raw": """
-        select concat('DB', lpad(cast(p_partkey % 1000 as string), 5, '0')) as drugbank_id,
-               concat(substr(p_type, 1, 1), lpad(cast(p_size as string), 2, '0')) as atc_code
-        from {part} where p_size % 2 = 0""",
+        select concat('DB', cast(p_partkey as string)) as drugbank_id,
+               concat(substr(p_type, 1, 1), cast(p_size as string)) as atc_code
+        from {part}""",
     "v_studies": """
-        select concat('NCT', lpad(cast(o_orderkey as string), 8, '0')) as nct_id,
+        select concat('NCT', cast(o_orderkey as string)) as nct_id,
                concat('Study ', cast(o_orderkey as string)) as brief_title,
                case o_orderstatus when 'O' then 'RECRUITING' when 'F' then 'COMPLETED'
                    else 'ACTIVE_NOT_RECRUITING' end as overall_status,
                o_orderpriority as condition_name, o_orderdate as last_update
         from {orders}""",
     "v_study_locations": """
-        select concat('NCT', lpad(cast(l_orderkey as string), 8, '0')) as nct_id, s_name as city,
+        select concat('NCT', cast(l_orderkey as string)) as nct_id, s_name as city,
                n_name as country,
                case when l_returnflag = 'N' then null when l_linestatus = 'O' then 'RECRUITING'
                    else 'COMPLETED' end as status
         from {lineitem} join {supplier} on l_suppkey = s_suppkey join {nation} on s_nationkey = n_nationkey""",
     "v_study_interventions": """
-        select concat('NCT', lpad(cast(l_orderkey as string), 8, '0')) as nct_id, p_name as intervention
+        select concat('NCT', cast(l_orderkey as string)) as nct_id, p_name as intervention
         from {lineitem} join {part} on l_partkey = p_partkey""",
     # Requests: one row per question a user would ask one at a time.
     "r_brands": "select min(p_partkey) as request_id, p_name as name from {part} group by p_name",
@@ -90,11 +90,13 @@ BINDINGS = {
         select concat('priority ', o_orderpriority), concat('STUB ', o_orderpriority)
         from {orders} group by o_orderpriority""",
     "r_atc": """
-        select p_partkey as request_id, lower(concat(substr(p_type, 1, 1), lpad(cast(p_size as string), 2, '0')))
+        select p_partkey as request_id, lower(concat(substr(p_type, 1, 1), cast(p_size as string)))
             as query
-        from {part}""",
+        from {part}
+        union all
+        select -1 - r_regionkey, r_name from {region}""",
     "r_drug_lists": """
-        select c_nationkey as request_id, concat('DB', lpad(cast(c_custkey as string), 5, '0')) as drugbank_id
+        select c_nationkey as request_id, concat('DB', cast(c_custkey as string)) as drugbank_id
         from {customer}""",
     "r_conditions": """
         select concat('condition ', o_orderpriority) as request_id, cast(null as string) as intervention,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from functools import reduce
 
@@ -9,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pharmalith.operators.packs import unified_view
-from pharmalith.operators.quality import profile_columns
+from pharmalith.operators.quality import head_rows, profile_columns
 from pharmalith.sources.delimited import Layout, exists, read_delimited, read_register
 from pharmalith.sources.drug_xml import NESTED_PATHS, drug_relations, read_records
 from pharmalith.sources.tables import create_view, write_relations
 
 VIEW = "farmaci_completi"
+REJECTS = "_rejects"
+
+log = logging.getLogger(__name__)
 
 
 def register_view(tables: Mapping[str, DataFrame], name: str = VIEW) -> DataFrame:
@@ -28,30 +32,47 @@ def register_view(tables: Mapping[str, DataFrame], name: str = VIEW) -> DataFram
 def build_register(
     spark: SparkSession, paths: Mapping[str, str], folder: str, database: str | None = None
 ) -> dict[str, int]:
-    """Load all delivered files, replace the tables and the view; rows written per table."""
+    """Load all delivered files, replace the tables and the view; rows written per table.
+
+    Rejected lines go to ``<table>_rejects``, with their file and number of fields; a table that lost lines is logged.
+    """
     register = read_register(spark, paths)
     counts = write_relations(register.tables, folder, database)
+    rejected = write_relations({f"{n}{REJECTS}": df for n, df in register.rejects.items()}, folder)
+    _warn(rejected)
+    counts |= rejected
     stored = {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet") for n in register.tables}
     if "farmaci_anagrafica" in stored:
         register_view(stored)
     return counts
 
 
+def _warn(rejected: Mapping[str, int]) -> None:
+    for name, n in rejected.items():
+        if n:
+            log.warning("%s: %d lines left out", name, n)
+
+
 def build_profile(
     spark: SparkSession, paths: Mapping[str, str], folder: str, layout: Layout = Layout(threshold=None)
 ) -> dict[str, int]:
-    """Profile every delivered file as it is, before cleaning; rows written."""
-    profiles = [
-        profile_columns(read_delimited(spark, path, layout).rows).select(F.lit(name).alias("file"), "*")
-        for name, path in paths.items()
-        if exists(spark, path)
-    ]
-    return write_relations({"profile": reduce(DataFrame.union, profiles)}, folder)
+    """Profile every delivered file as it is, before cleaning: columns with their types (``profile``) and first rows (``head``);
+    rows written."""
+    landed = {name: read_delimited(spark, path, layout).rows for name, path in paths.items() if exists(spark, path)}
+    profiles = [profile_columns(df, infer=True).select(F.lit(name).alias("file"), "*") for name, df in landed.items()]
+    heads = [head_rows(df).select(F.lit(name).alias("file"), "*") for name, df in landed.items()]
+    return write_relations({"profile": reduce(DataFrame.union, profiles), "head": reduce(DataFrame.union, heads)}, folder)
 
 
 def build_drugs(
     spark: SparkSession, path: str, folder: str, nested_paths: tuple[str, ...] = NESTED_PATHS
 ) -> dict[str, int]:
-    """Parse the drug document and replace its four relations; rows written per relation."""
+    """Parse the drug document and replace its four relations; rows written per relation.
+
+    Malformed records go to ``records_rejects``.
+    """
     parsed = read_records(spark, path, nested_paths)
-    return write_relations(drug_relations(parsed), folder)
+    counts = write_relations(drug_relations(parsed), folder)
+    rejected = write_relations({f"records{REJECTS}": parsed.rejects}, folder)
+    _warn(rejected)
+    return counts | rejected

@@ -6,5 +6,6 @@ from pharmalith.plans import (  # noqa: F401
     queries_packs,
     queries_quality,
     queries_trials,
+    queries_tools,
 )
 from pharmalith.plans.registry import ORACLES, QUERIES  # noqa: F401

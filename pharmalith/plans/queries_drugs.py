@@ -100,12 +100,12 @@ def drug_interactions(t):
     select i.source_drug_id, a.name as source_name, i.target_drug_id, b.name as target_name, i.description
     from v_interactions_raw i join drugs a on a.drugbank_id = i.source_drug_id
     join drugs b on b.drugbank_id = i.target_drug_id
-    where i.source_drug_id in ('DB00001', 'DB00002', 'DB00003')
-      and i.target_drug_id in ('DB00001', 'DB00002', 'DB00003')"""
+    where i.source_drug_id in ('DB1', 'DB2', 'DB3', 'DB4', 'DB5', 'DB6')
+      and i.target_drug_id in ('DB1', 'DB2', 'DB3', 'DB4', 'DB5', 'DB6')"""
 )
 def drug_interactions_one_list(t):
     """Known interactions within one list, before full-row dedup."""
-    return drugs.interactions_of_list(["DB00001", "DB00002", "DB00003"], t.view("v_interactions_raw"), t.drugs)
+    return drugs.interactions_of_list(["DB1", "DB2", "DB3", "DB4", "DB5", "DB6"], t.view("v_interactions_raw"), t.drugs)
 
 
 @query(oracle="select drugbank_id, synonym from synonyms where regexp_matches(lower(synonym), 'red|s.a')")
@@ -138,13 +138,26 @@ def atc_bridge_counts(t):
     )
 
 
+# Rows of the bridge by number; the numbers are drawn by md5 as the operator does.
+_NUMBERED = """
+    select c.atc_code, p.denominazione as nome_farmaco_aifa, d.name as principio_attivo_drugbank,
+           row_number() over (order by c.atc_code, c.drugbank_id, p.denominazione nulls first) - 1 as k
+    from atc_codes c join drugs d on c.drugbank_id = d.drugbank_id
+    join (select distinct codice_atc, denominazione from v_farmaci_anagrafica where codice_atc is not null) p
+      on c.atc_code = p.codice_atc"""
+
+
 @query(
     oracle=f"""
-    select * from ({_BRIDGE})
-    order by md5(concat('5:', atc_code)), atc_code, nome_farmaco_aifa, principio_attivo_drugbank limit 5"""
+    with b as ({_NUMBERED}),
+         t as (select count(*) as n from b),
+         d as (select i, cast(concat('0x', substr(md5(concat('5:', i)), 1, 15)) as bigint) % n as k
+               from t, range(200) r(i)),
+         f as (select k, min(i) as i from d group by k order by i limit 5)
+    select atc_code, nome_farmaco_aifa, principio_attivo_drugbank from b join f on b.k = f.k"""
 )
 def atc_bridge_sample(t):
-    """Five matches, the same ones on every run."""
+    """Five matches of equal chance, the same ones on every run."""
     return drugs.atc_bridge_sample(t.atc_codes, t.drugs, t.view("v_farmaci_anagrafica"), 5, 5)
 
 

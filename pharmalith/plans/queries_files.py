@@ -35,7 +35,7 @@ def land(t, lines: DataFrame, head: list[str], folder: str, tail: list[str] = ()
 # Packs as a register file: rows of size 50 have two fields too many, rows of size 1 stop
 # after the name, and every name is quoted because of the separator in it.
 _PACK_LINES = '''
-    select concat_ws(';', lpad(cast(p_partkey as string), 9, '0'),
+    select concat_ws(';', concat('00', cast(p_partkey as string)),
                      concat('"', p_name, '; ""', p_type, '"""'),
                      case when p_size > 1 then p_brand end,
                      case when p_size > 1 then concat('tè ', p_size) end,
@@ -102,14 +102,14 @@ def src_csv_header_repair(t):
     select l_partkey as codice_aic, cast(cast(l_shipdate as date) as varchar) as data_inizio,
            concat('perché ', l_linestatus) as motivazioni,
            case when l_returnflag = 'R' then null else l_returnflag end as classe_di_rimborsabilità
-    from lineitem where l_quantity >= 49"""
+    from lineitem"""
 )
 def src_csv_preamble(t):
     """The shortage list: two lines above the header, missing values as text."""
     lines = t.sql(
         """select concat_ws(';', l_partkey, cast(l_shipdate as date), concat('perché ', l_linestatus),
                             case when l_returnflag = 'R' then 'N/A' else l_returnflag end) as line
-           from {lineitem} where l_quantity >= 49"""
+           from {lineitem}"""
     )
     head = ["Elenco dei medicinali carenti;;;", "", "AIC;Data inizio;Motivazioni;Classe di rimborsabilità"]
     path = land(t, lines, head, "elenco_carenti")
@@ -198,9 +198,12 @@ _XML_HEAD = ['<?xml version="1.0" encoding="UTF-8"?>', '<drugbank xmlns="http://
 _XML_GOOD = "orders where o_orderkey <> 3"
 
 
+def _xml_file(t) -> str:
+    return land(t, t.sql(_XML_LINES), _XML_HEAD, "full", tail=["</drugbank>"])
+
+
 def _records(t):
-    path = land(t, t.sql(_XML_LINES), _XML_HEAD, "full", tail=["</drugbank>"])
-    return drug_xml.read_records(t.spark, path)
+    return drug_xml.read_records(t.spark, _xml_file(t))
 
 
 _XML_DRUGS = f"""
@@ -311,10 +314,14 @@ _STUDY_DOCS = """
     from {orders}"""
 
 
-def _study_files(t):
+def _study_pages(t) -> str:
     path = scratch_path(t.spark, "studies")
     t.sql(_STUDY_DOCS).select("page.*").write.json(path)
-    return landed_json.read_studies(t.spark, path)
+    return path
+
+
+def _study_files(t):
+    return landed_json.read_studies(t.spark, _study_pages(t))
 
 
 @query(

@@ -227,4 +227,4 @@ def search_ladder(t):
         (F.col("request_id") + 1000000000000).alias("request_id"), F.col("denominazione").alias("query")
     )
     asked = brands.withColumnRenamed("name", "query").union(full)
-    return quality.search_ladder(asked, packs.unified_view(*_parts(t), class_column=OWN_CLASS))
+    return quality.search_ladder(asked, packs.pack_copies(*_parts(t)), weight="n")

@@ -133,11 +133,11 @@ def required_fields_rejects(t):
 @query(
     oracle="""
     select p_partkey as codice_aic from part
-    where p_partkey not in (select codice_aic from v_principi_attivi)"""
+    where p_partkey not in (select codice_aic from v_classe_a)"""
 )
 def reconcile_missing(t):
-    """Packs of the register without a row in the ingredient table."""
-    return quality.missing_keys(t.view("v_farmaci_anagrafica"), t.view("v_principi_attivi"), "codice_aic")
+    """Packs of the register that are not on the list of class A."""
+    return quality.missing_keys(t.view("v_farmaci_anagrafica"), t.view("v_classe_a"), "codice_aic")
 
 
 def _stock(t):
@@ -148,7 +148,7 @@ def _sold(t):
     return t.sql(
         """select l_partkey as codice_aic, upper(p_name) as farmaco,
                   case when l_returnflag = 'R' then null else p_brand end as ditta
-           from {lineitem} join {part} on l_partkey = p_partkey where l_quantity >= 46"""
+           from {lineitem} join {part} on l_partkey = p_partkey where p_size <= 30"""
     )
 
 
@@ -161,7 +161,7 @@ _RECONCILED = """
     from {source} s left join (
         select l_partkey as codice_aic, upper(p_name) as farmaco,
                case when l_returnflag = 'R' then null else p_brand end as ditta
-        from lineitem join part on l_partkey = p_partkey where l_quantity >= 46) l on s.p_partkey = l.codice_aic"""
+        from lineitem join part on l_partkey = p_partkey where p_size <= 30) l on s.p_partkey = l.codice_aic"""
 
 
 @query(oracle=_RECONCILED.format(source="part"))

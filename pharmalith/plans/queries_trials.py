@@ -107,9 +107,11 @@ _SITES = """
 
 @query(
     oracle=f"""
-    select nct_id, cast(sum(n_sites) as bigint) as n_sites,
-           string_agg(concat(n_sites, ' ', site_status), ', ' order by site_status) as summary
-    from ({_SITES}) group by nct_id"""
+    select s.nct_id, cast(coalesce(sum(n_sites), 0) as bigint) as n_sites,
+           coalesce(string_agg(concat(n_sites, ' ', site_status), ', ' order by site_status)
+                    filter (where site_status is not null), '') as summary
+    from v_studies s left join ({_SITES}) c on c.nct_id = s.nct_id
+    where s.overall_status = 'RECRUITING' group by s.nct_id"""
 )
 def trials_site_status(t):
     """Sites per status of every recruiting study, as one line."""

@@ -75,12 +75,13 @@ class Tools:
     def find_generics(self, query: str) -> DataFrame:
         """Equivalent drugs for a brand or an ingredient, cheapest first."""
         r = self.register
-        return packs.generics(
+        found = packs.generics(
             self._ask(name=(query, "string")),
             r["farmaci_anagrafica"],
             r["principi_attivi"],
             r["farmaci_equivalenti"],
-        ).select("codice_aic", "denominazione_farmaco", "azienda", "prezzo_pubblico")
+        )
+        return packs.cheapest_first(found).select("codice_aic", "denominazione_farmaco", "azienda", "prezzo_pubblico")
 
     def get_active_ingredients_by_aic(self, codice_aic: int) -> DataFrame:
         """Ingredients of one pack; the key is filtered in the scan."""

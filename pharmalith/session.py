@@ -20,7 +20,8 @@ SESSION_CONF = {
 # Settings the operators count on, also in a session someone else has built.
 RUNTIME_CONF = {k: v for k, v in SESSION_CONF.items() if k.startswith("spark.sql.adaptive.")}
 
-_local_scratch: dict[str, str] = {}
+# Folder of each application.
+_scratch: dict[str, str] = {}
 
 
 def build_session(app: str = "pharmalith", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,28 +34,55 @@ def build_session(app: str = "pharmalith", master: str | None = None, **conf: st
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Turn on the adaptive settings that split skewed joins."""
+    """Turn on the adaptive settings that split skewed joins, unless the session was built with others."""
+    built_with = spark.sparkContext.getConf()
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if not built_with.contains(key) and spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
+def _folder(spark: SparkSession, path: str):
+    """A folder and its file system, as the JVM sees them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    """The folder of this application below ``spark.checkpoint.dir``; it goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app in _scratch:
+        return _scratch[app]
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
+    if not base:
+        if not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        base = tempfile.mkdtemp(prefix="pharmalith-")
+    fs, folder = _folder(spark, f"{base.rstrip('/')}/pharmalith-{app}")
+    if not local and fs.getScheme() == "file":
+        raise RuntimeError(f"spark.checkpoint.dir {base!r} is a folder of one machine; executors on others cannot read it")
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    _scratch[app] = folder.toString()
+    return _scratch[app]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder in ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder, as executors on other
     machines could not read it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        if app not in _local_scratch:
-            _local_scratch[app] = tempfile.mkdtemp(prefix="pharmalith-")
-        base = _local_scratch[app]
-    # One folder per application, so that it can be removed when the application is over.
-    return f"{base.rstrip('/')}/pharmalith-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that still read them must be done."""
+    root = _scratch.pop(spark.sparkContext.applicationId, None)
+    if root:
+        fs, folder = _folder(spark, root)
+        fs.delete(folder, True)
 
 
 def through_storage(df, name: str):

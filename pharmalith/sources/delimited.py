@@ -11,13 +11,15 @@ import logging
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pharmalith.functions.text import KEY_NAME, clean_headers, is_price_column, number, price
+from pharmalith.functions.text import HEADER_DROPPED_PLAIN, KEY_NAME, clean_headers, is_price_column, number, price
 from pharmalith.schemas import MISSING_TEXTS
+from pharmalith.session import through_storage
 
 log = logging.getLogger(__name__)
 
@@ -28,6 +30,9 @@ SINGLE_BYTE = "ISO-8859-1"
 SEPARATORS = (",", ";")
 CONFIDENCE = 0.7
 
+# Different orders of the columns that the files of one folder may have.
+MAX_ORDERS = 100
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -56,12 +61,17 @@ class Landed:
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """Undecoded lines with the file they come from."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """Undecoded lines with the file they come from and their order in it (``start``, ``place``)."""
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
 
 
 def file_evidence(spark: SparkSession, path) -> DataFrame:
-    """Per file: lines, whether all bytes are valid UTF-8, characters beyond ASCII."""
+    """Per file: lines, whether all bytes are valid UTF-8, characters beyond ASCII, first line."""
     value = F.col("value")
     beyond = F.when(
         F.octet_length(value) != F.length(value), F.length(F.regexp_replace(value, r"[\x00-\x7F]+", ""))
@@ -71,6 +81,7 @@ def file_evidence(spark: SparkSession, path) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"),
         F.bool_and(valid).alias("valid"),
         F.sum(F.when(valid, beyond).otherwise(0)).cast("bigint").alias("n_beyond_ascii"),
+        F.min_by("value", F.struct("start", "place")).alias("first_line"),
     )
 
 
@@ -96,29 +107,26 @@ def detect_charsets(spark: SparkSession, path, threshold: float | None = CONFIDE
     return seen.withColumn("charset", charset)
 
 
-def single_byte_files(spark: SparkSession, path, layout: Layout) -> list[str] | None:
-    """Files to decode as single-byte text; None stands for all of them.
+def single_byte_rule(files: DataFrame, layout: Layout) -> bool | Column:
+    """Whether all files of a table are single-byte text, or a column on ``files`` (their evidence) that tells which are.
 
     The files of one table share their evidence, as some may hold few characters beyond
-    ASCII or none. Names are only listed for a folder with files of both kinds.
+    ASCII or none.
     """
     if layout.charset != "auto":
-        return [] if layout.charset.upper() == UTF8 else None
-    seen = file_evidence(spark, path)
-    n_single, n_beyond = seen.agg(F.count_if(~F.col("valid")), F.coalesce(F.sum("n_beyond_ascii"), F.lit(0))).first()
+        return layout.charset.upper() != UTF8
+    n_single, n_beyond = files.agg(F.count_if(~F.col("valid")), F.coalesce(F.sum("n_beyond_ascii"), F.lit(0))).first()
     trusted = layout.threshold is None or _trust(n_beyond) > layout.threshold
     if n_single == 0:
-        return [] if trusted else None
-    if n_beyond == 0 or not trusted:
-        return None
-    return [r.file for r in seen.filter("not valid").select("file").collect()]
+        return not trusted
+    return True if n_beyond == 0 or not trusted else ~F.col("valid")
 
 
-def decode_line(value: Column, file: Column, single_byte: list[str] | None) -> Column:
-    if single_byte == []:
+def decode_line(value: Column, single_byte: bool | Column) -> Column:
+    if single_byte is False:
         return value
     decoded = F.decode(value.cast("binary"), SINGLE_BYTE)
-    return decoded if single_byte is None else F.when(file.isin(single_byte), decoded).otherwise(value)
+    return decoded if single_byte is True else F.when(single_byte, decoded).otherwise(value)
 
 
 def count_fields(line: Column, sep: str) -> Column:
@@ -159,50 +167,111 @@ def text_head(spark: SparkSession, path, n: int = 50) -> DataFrame:
     return spark.read.text(path).limit(n).select(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd")).alias("value"))
 
 
-def _first_lines(spark: SparkSession, path, layout: Layout, single_byte: list[str] | None) -> list[str]:
-    """Preamble, header and first data line, from the first files: the schema depends on
+def _as_column(rule: bool | Column) -> Column:
+    return F.lit(rule) if isinstance(rule, bool) else rule
+
+
+def _first_lines(spark: SparkSession, layout: Layout, files: DataFrame, rule: bool | Column) -> list[str]:
+    """Preamble, header and first data line of the first files by name: the names depend on
     them. Later files may repeat what stands above the data."""
-    text = decode_line(F.col("value"), F.col("file"), single_byte)
     above, found = layout.preamble + 1, []
-    for file in sorted(spark.read.text(path).inputFiles()):
-        head = [r[0] for r in read_lines(spark, file).limit(above + 1).select(text).collect()]
+    named = files.select("file", _as_column(rule).alias("latin")).orderBy("file")
+    for file, latin in named.toLocalIterator():
+        lines = spark.read.text(file).limit(above + 1).select(decode_line(F.col("value"), latin))
+        head = [r[0] for r in lines.collect()]
         found += [line for line in head if line not in found[:above]] if len(found) >= above else head
         if len(found) > above:
             break
     if len(found) < above:
-        raise ValueError(f"no header line in {path}")
+        raise ValueError("no header line in the files")
     return found[: above + 1]
 
 
+def _headed(line: Column, known: str, header: list[str], sep: str) -> Column:
+    """Whether a line is the known header line or holds its names in any order."""
+    plain = F.transform(F.split(F.replace(F.replace(line, F.lit("\ufeff")), F.lit('"')), re.escape(sep)), lambda x: F.trim(x))
+    names = F.array(*[F.lit(h.replace('"', "").strip()) for h in header])
+    return (line == known) | (F.array_sort(plain) == F.array_sort(names))
+
+
+def _heads(lines: DataFrame, above: list[str], header: list[str], sep: str) -> DataFrame:
+    """Per file: ``head``, its own header line (null if it has none), and ``seen``, how often each line that may stand above the
+    data occurs in it."""
+    line = F.col("line")
+    headed = _headed(line, above[-1], header, sep)
+    texts = sorted(set(above[:-1]))
+    return lines.groupBy("file").agg(
+        F.min_by("line", F.struct("start", "place")).alias("first"),
+        F.min_by(F.when(headed, line), F.when(headed, F.struct("start", "place"))).alias("head"),
+        F.count_if(headed).alias("n_headed"),
+        F.array(*[F.count_if(line == t) for t in texts]).alias("seen") if texts else F.array().cast("array<bigint>").alias("seen"),
+    )
+
+
 def read_delimited(spark: SparkSession, path, layout: Layout = Layout()) -> Landed:
     """Rows of a delivered table.
 
     Lines with more fields than the header are left out and returned as rejects, short
     lines are filled with nulls, blank lines are skipped. Preamble and header may appear in
-    every file of a folder.
+    every file of a folder, the header with its columns in another order; a file that does not begin with them is all data.
+    Only what stands at the head of a file is skipped: data lines that equal a line of the
+    head stay, as often as they occur beyond it.
     """
-    single_byte = single_byte_files(spark, path, layout)
-    lines = _first_lines(spark, path, layout, single_byte)
+    files = through_storage(file_evidence(spark, path), "files")
+    rule = single_byte_rule(files, layout)
+    lines = _first_lines(spark, layout, files, rule)
     above, data = lines[: layout.preamble + 1], lines[layout.preamble + 1 :]
     sep = layout.sep or sniff_separator(above[-1])
     header = header_fields(above[-1], sep, layout.repair_header)
-    names, width = column_names(header), len(header)
+    width = len(header)
     if layout.repair_header and data:
         width = max(width, len(header_fields(data[0], sep)))
     if layout.quoted_newlines:
-        return _read_spanning(spark, path, layout, single_byte, sep, header, width)
-    value = F.col("value")
-    body = (
-        read_lines(spark, path)
-        .select("file", decode_line(value, F.col("file"), single_byte).alias("line"))
-        .filter((F.length(F.trim("line")) > 0) & ~F.col("line").isin(above))
-        .withColumn("n_fields", count_fields(F.col("line"), sep))
-    )
+        latin = [r.file for r in files.filter(_as_column(rule)).select("file").toLocalIterator()]
+        return _read_spanning(spark, path, layout, latin, sep, header, width)
+    raw = read_lines(spark, path)
+    if not isinstance(rule, bool):
+        # One row per file; small beside the lines, so Spark sends it to them.
+        raw = raw.join(files.select("file", rule.alias("latin")), "file")
+        rule = F.col("latin")
+    decoded = raw.withColumn("line", decode_line(F.col("value"), rule)).select("file", "start", "place", "line")
+    texts = sorted(set(above[:-1]))
+    own = F.col("head").isNotNull() & (F.col("first") == (F.lit(above[0]) if layout.preamble else F.col("head")))
+    for i, text in enumerate(texts):
+        own = own & (F.col("seen")[i] >= above[:-1].count(text))
+    heads = through_storage(_heads(decoded, above, header, sep), "heads").withColumn("own", F.coalesce(own, F.lit(False)))
+    headed = _headed(F.col("line"), above[-1], header, sep)
+    candidate = headed | F.col("line").isin(texts) if texts else headed
+    plain = decoded.filter((F.length(F.trim("line")) > 0) & ~candidate).select("file", "line")
+    body = plain
+    for i, text in enumerate(texts):
+        # Blank lines are no data wherever they stand.
+        if text.strip() and text != above[-1]:
+            more = F.col("seen")[i] - F.when(F.col("own"), F.lit(above[:-1].count(text))).otherwise(0)
+            body = body.unionByName(_again(heads, more, F.lit(text)))
+    body = body.unionByName(_again(heads, F.col("n_headed") - F.when(F.col("own"), 1).otherwise(0), F.col("head")))
+    counted = body.withColumn("n_fields", count_fields(F.col("line"), sep))
     schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = body.filter(F.col("n_fields") <= width).select(
-        F.from_csv("line", schema, {"sep": sep, "quote": '"', "escape": '"'}).alias("_row")
-    )
-    return Landed(_named(parsed.select("_row.*"), names), body.filter(F.col("n_fields") > width))
+    parse = F.from_csv("line", schema, {"sep": sep, "quote": '"', "escape": '"'}).alias("_row")
+    good = counted.filter(F.col("n_fields") <= width)
+    names = column_names(header)
+    orders = [r.head for r in heads.filter("own and head is not null").select("head").distinct().limit(MAX_ORDERS + 1).collect()]
+    if len(orders) > MAX_ORDERS:
+        raise ValueError(f"more than {MAX_ORDERS} orders of columns in {path}")
+    others = [o for o in orders if header_fields(o, sep, layout.repair_header) != header]
+    if not others:
+        return Landed(_named(good.select(parse).select("_row.*"), names), counted.filter(F.col("n_fields") > width))
+    placed = good.join(heads.select("file", F.when(F.col("own"), F.col("head")).alias("head")), "file")
+    parts = [(placed.filter(F.col("head").isNull() | ~F.col("head").isin(others)), names)]
+    parts += [(placed.filter(F.col("head") == o), column_names(header_fields(o, sep, layout.repair_header))) for o in others]
+    rows = [_named(df.select(parse).select("_row.*"), own).select(*[f"`{n}`" for n in names]) for df, own in parts]
+    return Landed(reduce(DataFrame.unionByName, rows), counted.filter(F.col("n_fields") > width))
+
+
+def _again(heads: DataFrame, n: Column, line: Column) -> DataFrame:
+    """``file, line`` as often as ``n`` says."""
+    some = heads.select("file", line.alias("line"), n.alias("_n")).filter("_n > 0")
+    return some.select("file", "line", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_k")).drop("_k")
 
 
 def _named(parsed: DataFrame, names: list[str]) -> DataFrame:
@@ -211,12 +280,12 @@ def _named(parsed: DataFrame, names: list[str]) -> DataFrame:
     return parsed.select(*[F.when(~c.isin(*MISSING_TEXTS), c).alias(n) for c, n in zip(columns, names)])
 
 
-def _read_spanning(spark, path, layout: Layout, single_byte, sep: str, header: list[str], width: int) -> Landed:
+def _read_spanning(spark, path, layout: Layout, single_byte: list[str], sep: str, header: list[str], width: int) -> Landed:
     """The same for files with line breaks inside quotes; such a file is one task."""
     if layout.preamble:
         raise ValueError("a preamble is only skipped in files without quoted line breaks")
     files = sorted(spark.read.text(path).inputFiles())
-    latin = files if single_byte is None else [f for f in files if _spelled(f) in set(map(_spelled, single_byte))]
+    latin = [f for f in files if _spelled(f) in set(map(_spelled, single_byte))]
     columns = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{c} string" for c in [*columns, "_rest"])
     reader = spark.read.schema(schema).options(sep=sep, quote='"', escape='"', multiLine=True)
@@ -244,10 +313,14 @@ def _spelled(file: str) -> str:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """How one delivered file becomes a table: layout, numeric columns, own step."""
+    """How one delivered file becomes a table: layout, numeric columns, header rule, own step.
+
+    ``plain_headers``: the older rule, by which only blanks and points in names become underscores and ends are kept.
+    """
 
     layout: Layout = Layout()
     numbers: tuple[str, ...] = ()
+    plain_headers: bool = False
     transform: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -268,7 +341,8 @@ def clean_prices(df: DataFrame) -> DataFrame:
 
 def clean_table(landed: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame:
     """Normalised names, typed columns, then the table's own step."""
-    df = typed(landed.toDF(*clean_headers(landed.columns)), spec.numbers)
+    names = clean_headers(landed.columns, HEADER_DROPPED_PLAIN, keep_ends=True) if spec.plain_headers else clean_headers(landed.columns)
+    df = typed(landed.toDF(*names), spec.numbers)
     return df.transform(spec.transform) if spec.transform else df
 
 

@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pharmalith.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 
@@ -11,13 +12,13 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sf, con, name):
-    compare(spark, con, queries()[name], oracle_sql()[name], sf)
+    compare(spark, con, QUERIES[name], ORACLES[name], sf)
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_rows(spark):

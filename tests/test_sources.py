@@ -142,7 +142,8 @@ def test_register_build(spark, tmp_path):
         "classe_h": str(tmp_path / "absent.csv"),
     }
     counts = build_register(spark, paths, str(tmp_path / "out"))
-    assert counts == {"farmaci_anagrafica": 2, "farmaci_carenti": 1, "classe_a": 1}
+    tables_written = {"farmaci_anagrafica": 2, "farmaci_carenti": 1, "classe_a": 1}
+    assert counts == {**tables_written, **{f"{n}_rejects": 0 for n in tables_written}}
     assert (VIEW, "TEMPORARY") in tables.list_tables(spark)
     got = spark.sql("select codice_aic, classe_rimborsabilita, is_carente from farmaci_completi")
     assert rows(got) == [(1, "A", False), (2, "C", True)]
@@ -213,7 +214,7 @@ def test_drug_records_without_attributes(spark, tmp_path):
 def test_document_without_records_gives_typed_empty_relations(spark, tmp_path):
     path = put(tmp_path, "d.xml", XML.format(records=""))
     counts = build_drugs(spark, path, str(tmp_path / "out"))
-    assert counts == {"drugs": 0, "interactions": 0, "synonyms": 0, "atc_codes": 0}
+    assert counts == {"drugs": 0, "interactions": 0, "synonyms": 0, "atc_codes": 0, "records_rejects": 0}
     stored = tables.read_drug_relations(spark, str(tmp_path / "out"))
     assert stored["drugs"].columns == ["drugbank_id", "name", "type", "state", "smiles"]
     assert stored["drugs"].count() == 0
@@ -224,7 +225,8 @@ def test_rebuild_replaces_relations(spark, tmp_path):
     first = put(tmp_path, "1.xml", XML.format(records=FULL.format(i=1, next=2)))
     second = put(tmp_path, "2.xml", XML.format(records=BARE))
     assert build_drugs(spark, first, out)["drugs"] == 2
-    assert build_drugs(spark, second, out) == {"drugs": 1, "interactions": 0, "synonyms": 0, "atc_codes": 0}
+    counts = build_drugs(spark, second, out)
+    assert counts == {"drugs": 1, "interactions": 0, "synonyms": 0, "atc_codes": 0, "records_rejects": 0}
     assert tables.read_drug_relations(spark, out)["drugs"].count() == 1
 
 
@@ -307,3 +309,64 @@ def test_random_lines_parse_like_the_csv_module(spark, tmp_path):
     want = [tuple((v or None) for v in (r + [None] * 3)[:3]) for r in parsed if len(r) <= 3]
     assert rows(landed.rows) == sorted(want, key=lambda r: [(v is not None, str(v)) for v in r])
     assert landed.rejects.count() == sum(len(r) > 3 for r in parsed)
+
+
+def test_lines_like_the_head_are_data_elsewhere(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    put(folder, "1.csv", "titolo\n;;;\na;b;c;d\n1;2;3;4\ntitolo\n;;;\n;;;\na;b;c;d\n")
+    put(folder, "2.csv", "titolo\n;;;\na;b;c;d\n5;6;7;8\ntitolo\n")
+    put(folder, "3.csv", "9;9;9;9\n;;;\n")
+    landed = delimited.read_delimited(spark, str(folder), Layout(preamble=2))
+    assert rows(landed.rows) == sorted(
+        [("1", "2", "3", "4"), ("5", "6", "7", "8"), ("9", "9", "9", "9"), ("a", "b", "c", "d")]
+        + [("titolo", None, None, None)] * 2
+        + [(None,) * 4] * 3,
+        key=lambda r: [(v is not None, str(v)) for v in r],
+    )
+    assert landed.rejects.count() == 0
+
+
+def test_columns_in_another_order(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    put(folder, "1.csv", "aic;nome;nota\n1;x;p\n")
+    put(folder, "2.csv", '"nota";aic;nome\nq;2;y\nr;3;z;extra\n')
+    put(folder, "3.csv", "4;w;s\n")
+    landed = delimited.read_delimited(spark, str(folder))
+    assert rows(landed.rows) == [("1", "x", "p"), ("2", "y", "q"), ("4", "w", "s")]
+    assert rows(landed.rejects, "line") == [("r;3;z;extra",)]
+
+
+def test_rejects_are_written_and_counted(spark, tmp_path):
+    paths = {"farmaci_anagrafica": put(tmp_path, "p.csv", "Codice AIC;Denominazione\n1;OKI\n2;B;too;many\n")}
+    counts = build_register(spark, paths, str(tmp_path / "out"))
+    assert counts == {"farmaci_anagrafica": 1, "farmaci_anagrafica_rejects": 1}
+    kept = spark.read.parquet(str(tmp_path / "out" / "farmaci_anagrafica_rejects.parquet"))
+    assert rows(kept, "line", "n_fields") == [("2;B;too;many", 4)]
+    broken = put(tmp_path, "d.xml", XML.format(records=FULL.format(i=1, next=2) + '<drug type="x"><name></drug>\n'))
+    assert build_drugs(spark, broken, str(tmp_path / "drugs"))["records_rejects"] == 1
+
+
+def test_older_header_rule(spark, tmp_path):
+    path = put(tmp_path, "p.csv", "_Ragione. Sociale_;Prezzo (€)\nx;1\n")
+    landed = delimited.read_delimited(spark, path, Layout(charset="UTF-8")).rows
+    assert delimited.clean_table(landed).columns == ["ragione_sociale", "prezzo"]
+    assert delimited.clean_table(landed, delimited.TableSpec(plain_headers=True)).columns == ["_ragione_sociale_", "prezzo_(€)"]
+
+
+def test_scratch_folder_is_removed(spark, tmp_path, monkeypatch):
+    from pharmalith import session
+
+    # A folder of its own, as other tests still read their tables.
+    monkeypatch.setitem(session._scratch, spark.sparkContext.applicationId, str(tmp_path / "scratch"))
+    spark.range(3).write.parquet(session.scratch_path(spark, "probe"))
+    assert list((tmp_path / "scratch").iterdir())
+    session.clear_scratch(spark)
+    assert not (tmp_path / "scratch").exists()
+
+
+def test_settings_of_the_session_are_respected(spark):
+    from pharmalith.session import RUNTIME_CONF, tune
+
+    assert all(tune(spark).conf.get(k) == v for k, v in RUNTIME_CONF.items())

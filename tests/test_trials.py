@@ -79,6 +79,7 @@ def test_site_summary(spark, world):
         ("N2", 2, "1 RECRUITING, 1 UNKNOWN"),
         ("N3", 1, "1 RECRUITING"),
         ("N4", 1, "1 UNKNOWN"),
+        ("N5", 0, ""),
     ]
     assert ("N2", "N/D") in rows(trials.status_cities(studies, sites))
 

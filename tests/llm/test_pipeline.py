@@ -48,16 +48,18 @@ def test_decontamination(spark, sf, stages):
 
 
 def test_mixture(stages):
-    sizes, taken, seen = {}, {}, {}
+    sizes, taken, seen, longest = {}, {}, {}, {}
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     for r in stages[3].collect():
         sizes[r.source] = sizes.get(r.source, 0) + count(r.text)
+        longest[r.source] = max(longest.get(r.source, 0), count(r.text))
     for r in stages[4].collect():
         taken[r.source] = taken.get(r.source, 0) + count(r.text)
         seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
     assert max(seen.values()) <= 2 and set(seen) <= {r.doc_id for r in stages[3].collect()}
     for source, target in plain_targets(sizes).items():
-        assert abs(taken.get(source, 0) - target) <= max(0.05 * target, 60)
+        # A few documents per source here: short of the target by less than one of them.
+        assert 0 <= target - taken.get(source, 0) + 1e-6 < longest[source]
     again = {r.doc_id: r.copies for r in mixing.decisions(stages[3]).collect() if r.copies}
     assert again == seen
 

@@ -15,7 +15,7 @@ from pharmalith.session import scratch_path, through_storage
 
 # Vocabulary files of public tokenizers; the folder may be set by the environment.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-TOKENIZERS = {"byte_bpe_50k": f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"}
+TOKENIZERS = {n: f"{TOKENIZER_DIR}/{n}.tiktoken" for n in ("byte_bpe_50k", "byte_bpe_multi_50k")}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -81,12 +81,20 @@ def _pair(terms: DataFrame, texts: DataFrame, hit: Column) -> DataFrame:
     return texts.select("_text").distinct().join(F.broadcast(terms), hit).select("_term", "_text")
 
 
+def _cut(chars: Column, starts: Column, size: Column) -> Column:
+    # The characters are an array of one element that the inner function sees, so they are extracted once.
+    pieces = F.transform(F.array(chars), lambda c: F.transform(starts, lambda i: F.array_join(F.slice(c, i, size), "")))
+    return F.flatten(pieces)
+
+
 def _grams(text: Column, size: Column | int) -> Column:
+    """Distinct substrings of one size; cut from the array of characters, which takes time linear in the text."""
     size = F.lit(size) if isinstance(size, int) else size
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
     return (
         F.when(size == 0, F.array(F.lit("")))
-        .when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size))))
+        .when(F.length(text) >= size, F.array_distinct(_cut(chars, starts, size)))
         .otherwise(F.array().cast("array<string>"))
     )
 

@@ -43,11 +43,25 @@ def keep_rows(docs: DataFrame, marked: DataFrame, id_col: str, hashed: list[str]
     by adaptive execution, as the join is a left semi or anti join. ``once`` keeps one of several equal rows. Rows travel as one struct, so
     that no column of theirs meets one of ours.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_row"), F.col(id_col).alias("d_id"), row_hash(*hashed).alias("d_hash")
-    )
-    same = F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_hash") == F.col("k_hash"))
-    out = rows.join(marked.select("k_id", "k_hash"), same, "left_anti" if drop else "left_semi")
+
+    def keyed(who: Column, rest: Column) -> list[Column]:
+        # No key is null, so the join and ``once`` share one shuffle.
+        return [who.isNull().alias("d_none"), F.coalesce(who.cast("string"), F.lit("")).alias("d_id"), rest.alias("d_hash")]
+
+    keys = ["d_none", "d_id", "d_hash"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_row"), *keyed(F.col(id_col), row_hash(*hashed)))
+    out = rows.join(marked.select(*keyed(F.col("k_id"), F.col("k_hash"))), keys, "left_anti" if drop else "left_semi")
     if once:
-        out = out.dropDuplicates(["d_id", "d_hash"])
+        out = out.dropDuplicates(keys)
     return out.select("d_row.*")
+
+
+def bounded_sample(rows: DataFrame, key: str, count: int, most: int) -> DataFrame:
+    """At most ``most`` of ``count`` rows: those with the smallest hashes of ``key``.
+
+    Rows that cannot be among them are left out where they are, so what meets in one task is bounded as well.
+    """
+    part = min(1.0, (1.5 * most + 1000) / max(count, 1))
+    rank = F.xxhash64(F.col(key), F.lit(1))
+    near = rows if part >= 1.0 else rows.filter(F.pmod(rank, F.lit(1 << 30)) < int(part * (1 << 30)))
+    return near.orderBy(F.pmod(rank, F.lit(1 << 30)), key).limit(most)

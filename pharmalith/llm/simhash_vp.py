@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pharmalith.llm.common import keep_rows, row_hash, with_columns
+from pharmalith.llm.common import bounded_sample, keep_rows, row_hash, with_columns
 from pharmalith.session import through_storage, tune
 
 SEED = 42
@@ -193,7 +193,7 @@ def forest(nodes: DataFrame, count: int, max_bits: int, shard_size: int = SHARD_
     """Edges ``a, b`` between distinct fingerprints that connect all that are linked."""
     spark = nodes.sparkSession
     size = min(SAMPLE_MOST, max(SAMPLE_LEAST, 32 * count // shard_size))
-    sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(size).select("fp").collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in bounded_sample(nodes.select("fp"), "fp", count, size).collect()], np.int64).view(np.uint64)
     radius = max_bits // 3
     depth = max(0, int(np.ceil(np.log2(max(1, count / shard_size)))))
     trees, free = [], 0

@@ -91,8 +91,11 @@ def test_view_takes_sql_parameters(spark, tools):
 def test_profile_of_delivered_files(spark, tools):
     _, paths, folder = tools
     plain = {k: paths[k] for k in ("farmaci_anagrafica", "principi_attivi")} | {"absent": str(folder / "absent.csv")}
-    assert build_profile(spark, plain, str(folder / "profile")) == {"profile": 7}
+    assert build_profile(spark, plain, str(folder / "profile")) == {"profile": 7, "head": 6}
     got = spark.read.parquet(str(folder / "profile/profile.parquet")).filter("file = 'principi_attivi'")
     assert rows(got, "column_name", "n_rows", "n_filled") == [
         ("codice_aic", 3, 3), ("principio_attivo", 3, 3), ("quantita", 3, 2), ("unita_misura", 3, 2),
     ]
+    assert rows(got, "column_name", "data_type")[::2] == [("codice_aic", "bigint"), ("quantita", "bigint")]
+    head = spark.read.parquet(str(folder / "profile/head.parquet")).filter("file = 'principi_attivi'")
+    assert '{"codice_aic":"1","principio_attivo":"Paracetamolo","quantita":"500","unita_misura":"mg"}' in [r.row for r in head.collect()]

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pharmalith.llm.common import with_columns
+from pharmalith.llm.common import bounded_sample, with_columns
 from pharmalith.llm.quality_rules import COUNTS, FEATURES, text_statistics
 from pharmalith.session import through_storage, tune
 
@@ -93,12 +93,13 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
         "doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), *COUNTS, *FEATURES, F.log1p("n_words").alias("x_length")
     )
     marks = (
-        labels.filter("doc_id is not null and quality is not null")
+        with_columns(labels, ["doc_id", "quality"], {}).filter("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").cast("long").alias("m_id"))
         .agg(F.avg(F.col("quality").cast("double")).alias("label"))
     )
     rows = through_storage(rows.join(marks, rows["doc_id"] == marks["m_id"], "left").drop("m_id"), "evidence")
-    sample = rows.filter("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    labelled = rows.filter("label is not null")
+    sample = bounded_sample(labelled, "doc_id", labelled.count(), FIT_ROWS)
     model = fit([tuple(r) for r in sample.select(*INPUTS, F.round("label").alias("label")).collect()])
     if model is None:
         evidence, base = F.lit(0.0), 0.5

@@ -5,12 +5,14 @@
 3. A randomised SVD finds the leading right singular vectors of the passage-by-term matrix: a Gaussian sketch and a power step,
    each one job in which tasks add up their part of ``A'A X`` and Spark sums the parts; only terms-by-rank matrices reach
    the driver. Columns are scaled to length one, so that words that occur together lead, not words that occur often.
-4. Overlapping windows of all documents are projected and compared with all items by cosine.
+4. Overlapping windows of all documents are projected and compared with all items by cosine. Windows that share so many words with an
+   item that step 5 could accept them are candidates as well, whatever their cosine, so the candidate search misses no pair.
 5. Candidates are checked on the words themselves: the longest common subsequence with the item (near-verbatim copies), or a shorter one
    together with the item's answer (paraphrases).
 
 The benchmark is a stated set of queries; it is worked off in blocks of about ``BLOCK_ITEMS`` items, so what is sent to tasks
-is bounded. An item is represented in the index by its ``INDEX_TERMS`` rarest words; the checks use all its words.
+is bounded. An item is represented in the latent index by its ``INDEX_TERMS`` rarest words; the search by shared words leaves out
+its commonest words up to a share of ``LEFT_OUT``, which are taken to be shared; the checks use all its words.
 
 Defined results: null and wordless texts match nothing; an item of fewer than ``SHORT`` words must be found word for word;
 null item ids stay null; repeated documents and items are reported each; an empty benchmark flags nothing. Case and ASCII punctuation are of
@@ -20,6 +22,7 @@ the closing words of the passage are the answer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +45,8 @@ PARAPHRASE = 0.5
 ANSWER = 0.5
 ANSWER_WORDS = 8
 SHORT = 8
+# Below PARAPHRASE, so that at least one other word has to be shared.
+LEFT_OUT = 0.3
 # A word outside the vocabulary counts in the length of a window with this share of a mean index term of the item.
 OTHER_SHARE = 0.25
 CHUNK = 400_000
@@ -220,7 +225,57 @@ def singular_vectors(coded: DataFrame, units: list[Unit], scale: np.ndarray, see
     return x
 
 
-def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.ndarray) -> DataFrame:
+@dataclass
+class Shared:
+    """Units by word: those of code c are ``unit[first[c] : first[c + 1]]``; the words a window needs and its pieces on each side, per unit."""
+
+    first: np.ndarray
+    unit: np.ndarray
+    need: np.ndarray
+    side: np.ndarray
+
+
+def shared_words(units: list[Unit], df: np.ndarray) -> Shared:
+    """A common subsequence is no longer than the words left out and the others that a region shares."""
+    code, unit, need = [], [], []
+    for k, u in enumerate(units):
+        m = len(u.codes)
+        own, times = np.unique(u.codes, return_counts=True)
+        order = np.argsort(-df[own], kind="stable")
+        used = order[np.cumsum(times[order]) > LEFT_OUT * m]
+        code.append(own[used])
+        unit.append(np.full(len(used), k))
+        need.append((m if m < SHORT else math.ceil(PARAPHRASE * m)) - (m - int(times[used].sum())))
+    codes = np.concatenate(code)
+    order = np.argsort(codes, kind="stable")
+    first = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(df)))]
+    side = [-(-max(0, len(u.codes) - STRIDE) // STRIDE) for u in units]
+    return Shared(first, np.concatenate(unit)[order], np.array(need), np.array(side))
+
+
+def sharing(index: Shared, codes: np.ndarray, piece: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Windows times units plus unit, of all pairs that share the words needed; ``row`` is the document of a piece."""
+    units = len(index.need)
+    many = index.first[codes + 1] - index.first[codes]
+    at = np.flatnonzero(many)
+    many = many[at]
+    entry = np.repeat(index.first[codes[at]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    pair, times = np.unique(np.repeat(piece[at], many) * units + index.unit[entry], return_counts=True)
+    p, u = pair // units, pair % units
+    keys, counts = [], []
+    # A window is two pieces; its region takes in those on each side.
+    for k in range(-1 - int(index.side.max()), int(index.side.max()) + 1):
+        w = p + k
+        ok = np.flatnonzero((k >= -1 - index.side[u]) & (k <= index.side[u]) & (w >= 0) & (w < len(row)))
+        ok = ok[row[w[ok]] == row[p[ok]]]
+        keys.append(w[ok] * units + u[ok])
+        counts.append(times[ok])
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(key))
+    return key[total >= index.need[key % units]]
+
+
+def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.ndarray, index: Shared) -> DataFrame:
     """Checked pairs: ``doc_id, k_hash, item, cosine, common, n_words, answer, verbatim``."""
     spark = coded.sparkSession
     projected = (basis * weight[:, None]).astype(np.float32)
@@ -228,11 +283,11 @@ def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.nd
     lengths = np.array([np.sqrt((weight[u.codes] ** 2).sum()) for u in units], np.float32)
     vectors /= np.maximum(lengths, 1e-9)[:, None]
     other = OTHER_SHARE * np.array([np.mean(weight[[c for c in set(u.codes) if weight[c] > 0]] ** 2) for u in units], np.float32)
-    shared = spark.sparkContext.broadcast((projected, vectors, weight**2, other, units))
+    shared = spark.sparkContext.broadcast((projected, vectors, weight**2, other, units, index))
     fields = "doc_id long, k_hash long, item string, cosine double, common int, n_words int, answer double, verbatim boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, v, sq, extra, asked = shared.value
+        p, v, sq, extra, asked, words = shared.value
         indexed = sq > 0
         patterns = [(places(u.codes), places(u.answer)) for u in asked]
         for batch, at, codes, sizes, piece, pieces in chunks(batches, STRIDE):
@@ -257,16 +312,19 @@ def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.nd
             length = whole[live][:, None] + others[live][:, None] * extra
             cosine = (z[live] @ v.T) / np.sqrt(np.maximum(length, 1e-12))
             win, unit = np.nonzero(cosine >= MIN_COSINE)
-            if not len(win):
+            pairs = np.union1d(live[win] * len(asked) + unit, sharing(words, codes, piece, row))
+            if not len(pairs):
                 continue
+            scored = np.full(n, -1)
+            scored[live] = np.arange(len(live))
             first_piece, first_code = np.cumsum(pieces) - pieces, np.cumsum(sizes) - sizes
             best: dict[tuple, tuple] = {}
-            for w, u in zip(win.tolist(), unit.tolist()):
-                r = int(row[live[w]])
-                start = int(live[w] - first_piece[r]) * STRIDE
+            for w, u in zip((pairs // len(asked)).tolist(), (pairs % len(asked)).tolist()):
+                r = int(row[w])
+                start = int(w - first_piece[r]) * STRIDE
                 verdict = check(codes[first_code[r] : first_code[r] + sizes[r]], start, asked[u], *patterns[u])
                 if verdict:
-                    score = (float(cosine[w, u]), *verdict)
+                    score = (float(cosine[scored[w], u]) if scored[w] >= 0 else 0.0, *verdict)
                     key = (r, asked[u].item)
                     if key not in best or verdict[0] / verdict[1] > best[key][1] / best[key][2]:
                         best[key] = score
@@ -331,7 +389,7 @@ def block_matches(docs: DataFrame, items: list[tuple], seed: int) -> DataFrame |
         rare = sorted(set(u.codes), key=lambda c: (-idf[c], c))[:INDEX_TERMS]
         weight[rare] = np.maximum(idf[rare], 1e-3)
     scale = np.where(weight > 0, 1 / np.sqrt(np.maximum(square, 1)), 0.0)
-    return search(coded, units, weight, singular_vectors(coded, units, scale, seed))
+    return search(coded, units, weight, singular_vectors(coded, units, scale, seed), shared_words(units, df))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, seed: int = 42, block_items: int = BLOCK_ITEMS) -> DataFrame:

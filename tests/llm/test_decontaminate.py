@@ -76,6 +76,39 @@ def test_paraphrases_and_clean_documents(spark):
     assert got == planted
 
 
+def brute_force(docs, items):
+    """Every window of every document checked against every passage, without a candidate search."""
+    words = sorted({w for _, text in items for w in d.plain_words(text)})
+    vocabulary = {w: k + 1 for k, w in enumerate(words)}
+    units = [(u, d.places(u.codes), d.places(u.answer)) for u in d.make_units([(i, t, None) for i, t in items], vocabulary)]
+    found = set()
+    for doc, text in docs:
+        codes = np.array([vocabulary.get(w, 0) for w in d.plain_words(text)], int)
+        found |= {(doc, u.item) for u, p, a in units for at in range(0, len(codes), d.STRIDE) if d.check(codes, at, u, p, a)}
+    return found
+
+
+def test_paraphrases_without_the_rare_words(spark):
+    """All words that no other item holds are replaced, rarest first, up to 45% of the item; the closing words stay."""
+    sf = "/root/testdata/sf0.01"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    base = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(150).collect()]
+    often = {}
+    for t in [*base, *(t for _, t in items)]:
+        for w in set(d.plain_words(t)):
+            often[w] = often.get(w, 0) + 1
+    rows = [(k, t) for k, t in enumerate(base)]
+    for share in (0.2, 0.3, 0.45):
+        for _, t in items:
+            words = [w.decode() for w in d.plain_words(t)]
+            rare = sorted(range(max(0, len(words) - d.ANSWER_WORDS)), key=lambda n: often[words[n].encode()])[: int(share * len(words))]
+            rows.append((len(rows), " ".join(["lead"] * 30 + [f"new{n}" if n in rare else w for n, w in enumerate(words)] + ["tail"] * 30)))
+    expected = brute_force(rows, items)
+    assert len({k for k, _ in expected if k >= len(base)}) >= 0.9 * 3 * len(items)
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.matches(docs, benchmark).collect()} == expected
+
+
 def test_edge_cases(spark, edge, nothing):
     benchmark = spark.createDataFrame(
         [(1, WORDS), (1, WORDS), (None, WORDS), (2, None), (3, ""), (4, "same id"), (5, "fox hill")], "item_id long, text string"

@@ -8,7 +8,8 @@
 4. Overlapping windows of all documents are projected and compared with all items by cosine. Windows that share so many words with an
    item that step 5 could accept them are candidates as well, whatever their cosine, so the candidate search misses no pair.
 5. Candidates are checked on the words themselves: the longest common subsequence with the item (near-verbatim copies), or a shorter one
-   together with the item's answer (paraphrases).
+   together with the item's answer (paraphrases) or, where no answer is given, in one piece (excerpts): ``RUN`` words in a row, or a span of
+   half the passage's length of which ``VERBATIM`` is in the passage, in order.
 
 The benchmark is a stated set of queries; it is worked off in blocks of about ``BLOCK_ITEMS`` items, so what is sent to tasks
 is bounded. An item is represented in the latent index by its ``INDEX_TERMS`` rarest words; the search by shared words leaves out
@@ -17,7 +18,7 @@ its commonest words up to a share of ``LEFT_OUT``, which are taken to be shared;
 Defined results: null and wordless texts match nothing; an item of fewer than ``SHORT`` words must be found word for word;
 null item ids stay null; repeated documents and items are reported each; an empty benchmark flags nothing. Case and ASCII punctuation are of
 no account. Extra columns are not read, but for ``answer`` of the benchmark, which is used if it is there; otherwise
-the closing words of the passage are the answer.
+the closing words of the passage are the answer, and an excerpt needs none.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ PARAPHRASE = 0.5
 ANSWER = 0.5
 ANSWER_WORDS = 8
 SHORT = 8
+RUN = 13
 # Below PARAPHRASE, so that at least one other word has to be shared.
 LEFT_OUT = 0.3
 # A word outside the vocabulary counts in the length of a window with this share of a mean index term of the item.
@@ -81,11 +83,12 @@ def places(codes: list[int]) -> dict[int, int]:
 
 @dataclass
 class Unit:
-    """A passage of an item: its codes and those of its answer."""
+    """A passage of an item: its codes and those of its answer, and whether the item came with one."""
 
     item: str | None
     codes: list[int]
     answer: list[int]
+    given: bool = False
 
 
 def make_units(items: list[tuple], vocabulary: dict[bytes, int]) -> list[Unit]:
@@ -98,7 +101,7 @@ def make_units(items: list[tuple], vocabulary: dict[bytes, int]) -> list[Unit]:
         for at, end in zip(cuts, [*cuts[1:], len(codes)]):
             part = codes[at:end]
             if part:
-                units.append(Unit(item, part, given or part[-ANSWER_WORDS:]))
+                units.append(Unit(item, part, given or part[-ANSWER_WORDS:], bool(given)))
     return units
 
 
@@ -348,6 +351,20 @@ def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.nd
     return coded.select("doc_id", "k_hash", "codes").mapInArrow(run, fields)
 
 
+def excerpt(unit: Unit, pattern: dict[int, int], region: list[int]) -> bool:
+    """Whether a region holds ``RUN`` words of the passage in a row, or a span of half its length that is nearly all from it."""
+    m = len(unit.codes)
+    runs = {tuple(unit.codes[i : i + RUN]) for i in range(m - RUN + 1)}
+    if any(tuple(region[i : i + RUN]) in runs for i in range(len(region) - RUN + 1)):
+        return True
+    span = max(SHORT, math.ceil(PARAPHRASE * m))
+    need = math.ceil(VERBATIM * span)
+    upto = np.cumsum([0, *(c in pattern for c in region)])
+    return any(
+        upto[i + span] - upto[i] >= need and common_subsequence(pattern, m, region[i : i + span]) >= need for i in range(len(region) - span + 1)
+    )
+
+
 def check(codes: np.ndarray, start: int, unit: Unit, pattern: dict[int, int], answer: dict[int, int]) -> tuple | None:
     """(common words, words, answer share, near-verbatim) if the text around a window holds the passage, else None."""
     m = len(unit.codes)
@@ -360,7 +377,7 @@ def check(codes: np.ndarray, start: int, unit: Unit, pattern: dict[int, int], an
     if common < PARAPHRASE * m:
         return None
     told = common_subsequence(answer, len(unit.answer), region) / len(unit.answer)
-    if common >= VERBATIM * m or told >= ANSWER:
+    if common >= VERBATIM * m or told >= ANSWER or not unit.given and excerpt(unit, pattern, region):
         return common, m, told, common >= VERBATIM * m
     return None
 

@@ -109,6 +109,32 @@ def test_paraphrases_without_the_rare_words(spark):
     assert {(r.doc_id, r.item_id) for r in d.matches(docs, benchmark).collect()} == expected
 
 
+def test_excerpts(spark):
+    """Half of an item or more, word for word or with a changed word, from any place; words as many but scattered need the answer."""
+    item = [f"w{k}" for k in range(50)]
+    every = [w if k % 5 < 3 and k < 42 else f"x{k}" for k, w in enumerate(item)]
+    texts = {
+        1: item[:40],
+        2: item[:25],
+        3: item[5:35],
+        4: [*item[2:14], "new", *item[15:27], "and", *item[28:36]],
+        5: every,
+        6: item[:12],
+        7: item[15:45:2] + item[1:11],
+    }
+    rows = [(k, " ".join([f"a{n}" for n in range(37)] + t + [f"b{n}" for n in range(37)])) for k, t in texts.items()]
+    rows.append((8, " ".join(item[:40])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in d.matches(docs, benchmark).collect()) == [1, 2, 3, 4, 8]
+    # A given answer is still asked for.
+    given = spark.createDataFrame([(1, " ".join(item), "forty two")], "item_id long, text string, answer string")
+    assert d.matches(docs, given).count() == 0
+    short = spark.createDataFrame([(1, " ".join(item[:20]))], "item_id long, text string")
+    halves = [(1, " ".join([*item[:10], *["c"] * 30])), (2, " ".join([*item[:7], *["c"] * 30])), (3, " ".join(["c"] * 30 + item[4:14]))]
+    assert sorted(r.doc_id for r in d.matches(spark.createDataFrame(halves, "doc_id long, text string"), short).collect()) == [1, 3]
+
+
 def test_edge_cases(spark, edge, nothing):
     benchmark = spark.createDataFrame(
         [(1, WORDS), (1, WORDS), (None, WORDS), (2, None), (3, ""), (4, "same id"), (5, "fox hill")], "item_id long, text string"

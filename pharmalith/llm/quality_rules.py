@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,15 @@ from pharmalith.session import through_storage, tune
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks"]
 FEATURES = ["x_word", "x_symbol", "x_upper", "x_mark", "x_repeat", "x_line"]
-# Standard deviation that each feature has at least: a spread below it is of no meaning for the text.
-FLOORS = [0.15, 0.06, 0.08, 0.08, 0.2, 0.25]
+# Standard deviation that each feature has at least, against singular scatter: so small that every feature alone can go beyond the
+# cutoff (x_repeat is at most 0.71 where the base rule passed, the shares at most 1).
+FLOORS = [0.08, 0.06, 0.08, 0.08, 0.1, 0.12]
 MIN_WORDS = 50
 MIN_GROUP = 50
 SUBSET = 0.75
 STEPS = 3
-# Squared distance beyond which a row is an outlier: that of a normal deviate of this many sigmas.
-CUTOFF_SIGMAS = 6.0
+# A row is an outlier beyond this quantile of the chi-squared distribution, one degree per feature.
+CUTOFF_QUANTILE = 1 - 1e-5
 
 _SPACES = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -244,8 +246,9 @@ def mcd_estimates(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def cutoff() -> float:
+    """Squared distance of the quantile, by Wilson and Hilferty."""
     d = len(FEATURES)
-    return d * (1 - 2 / (9 * d) + CUTOFF_SIGMAS * math.sqrt(2 / (9 * d))) ** 3
+    return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(CUTOFF_QUANTILE) * math.sqrt(2 / (9 * d))) ** 3
 
 
 def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:

@@ -55,6 +55,33 @@ def test_estimate_withstands_outliers(spark):
     assert all(r.out for r in out if r.x_word > 5) and sum(r.out for r in out if r.x_word < 5) <= 8
 
 
+def test_each_feature_alone_rejects(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(3, 9))) for _ in range(2000)]
+
+    def words(n):
+        return [vocabulary[k] for k in rng.choice(len(vocabulary), n, replace=False)]
+
+    def lines(w):
+        return "\n".join(" ".join(w[k : k + 11]) for k in range(0, len(w), 11))
+
+    w, twice = words(120), words(29)
+    short = words(25)
+    planted = {
+        "x_word": lines([a + b for a, b in zip(words(120), words(120))]),
+        "x_symbol": lines([x + "#" * (k % 3 == 0) for k, x in enumerate(w)]),
+        "x_upper": lines([x.upper() if k % 2 else x for k, x in enumerate(w)]),
+        "x_mark": lines([x + "!" * (k % 2) for k, x in enumerate(w)]),
+        "x_repeat": lines([*twice, *w[:62], *twice]),
+        "x_line": "\n".join([*(x for _ in range(4) for x in rng.permutation(short)), *words(5)]),
+    }
+    rows = [(k, lines(words(120)), "en", "a") for k in range(300)] + [(1000 + k, planted[x], "en", "a") for k, x in enumerate(q.FEATURES)]
+    judged = {r.doc_id: r for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in judged.values())
+    assert [x for k, x in enumerate(q.FEATURES) if judged[1000 + k].kept] == []
+    assert all(judged[k].kept for k in range(300))
+
+
 def test_sparse_groups_are_pooled(spark):
     rows = [("en", "big", False)] * 60 + [("en", f"s{k}", False) for k in range(55)] + [("de", "x", False)] * 3
     pools = {(r.lang, r.source): r.pool for r in q.assign_pools(spark.createDataFrame(rows, "lang string, source string, base_failed boolean"), 50).collect()}

@@ -77,7 +77,8 @@ def _slice(rank: Column) -> Column:
 
 
 def _head(ranked: DataFrame) -> DataFrame:
-    """Per source the head of the order that fits into ``rest``: ``h_source, h_last`` (its greatest rank), ``h_words``.
+    """Per source the head of the order that fits into ``rest``: ``h_source, h_last`` (its greatest rank), ``h_words``,
+    ``h_stop`` (the rank that no longer fits; null if all do).
 
     ``ranked`` has source, size, rank and rest. Whole slices are summed; only the one that no longer fits is sorted.
     """
@@ -93,25 +94,30 @@ def _head(ranked: DataFrame) -> DataFrame:
     inside = sliced.join(edge, sliced["source"].eqNullSafe(F.col("h_source")) & (sliced["slice"] == F.col("e_slice")))
     ties = inside.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"), F.max("before").alias("before"))
     order = Window.partitionBy("source").orderBy("rank")
-    drawn = ties.withColumn("upto", F.col("before") + F.sum("words").over(order)).filter("upto <= rest")
-    last = drawn.groupBy(F.col("source").alias("d_source")).agg(F.max("rank").alias("d_last"), F.max("upto").alias("d_words"))
+    drawn = ties.withColumn("upto", F.col("before") + F.sum("words").over(order)).withColumn("fits", F.col("upto") <= F.col("rest"))
+    last = drawn.groupBy(F.col("source").alias("d_source")).agg(
+        F.max(F.when(F.col("fits"), F.col("rank"))).alias("d_last"),
+        F.max(F.when(F.col("fits"), F.col("upto"))).alias("d_words"),
+        F.min(F.when(~F.col("fits"), F.col("rank"))).alias("h_stop"),
+    )
     return edge.join(last, F.col("h_source").eqNullSafe(F.col("d_source")), "left").select(
-        "h_source", F.coalesce("d_last", "top").alias("h_last"), F.coalesce("d_words", "before").alias("h_words")
+        "h_source", F.coalesce("d_last", "top").alias("h_last"), F.coalesce("d_words", "before").alias("h_words"), "h_stop"
     )
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` with ``lasts`` and ``rooms``: in each round, documents up to that rank and size are drawn.
+    """``targets`` with ``starts``, ``lasts`` and ``rooms``: in each round, documents behind that start, up to that rank and size are drawn.
 
     ``sized`` has source, size, unit and appeal. The first round draws the head of the order. The document after it is too long for
-    what is left, so the next rounds go on behind it with the documents that fit.
+    what is left, so the next rounds go on behind it with the documents that fit; so they do behind a group of repeated rows
+    that is too long as a whole.
     """
-    state = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("lasts", F.array(F.lit(0.0)))
+    state = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("lasts", F.array(F.lit(0.0))).withColumn("starts", F.array(F.lit(0.0)))
     state = state.withColumn("rooms", F.array().cast("array<double>"))
     for _ in range(ROUNDS):
         state = through_storage(state, "round")
         # Only a part above 0 is sampled.
-        open_ = state.filter("part > 0").select(F.col("source").alias("t_source"), "part", "rest", F.element_at("lasts", -1).alias("last"))
+        open_ = state.filter("part > 0").select(F.col("source").alias("t_source"), "part", "rest", F.element_at("starts", -1).alias("last"))
         ranked = (
             sized.join(open_, sized["source"].eqNullSafe(F.col("t_source")))
             .select("source", "size", "rest", "last", pareto_rank(F.col("unit"), F.col("part"), F.col("appeal")).alias("rank"))
@@ -125,6 +131,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
             "part",
             (F.col("rest") - F.coalesce("h_words", F.lit(0))).alias("rest"),
             F.concat("lasts", F.array(F.coalesce("h_last", F.element_at("lasts", -1)))).alias("lasts"),
+            F.concat("starts", F.array(F.coalesce("h_stop", "h_last", F.element_at("starts", -1)))).alias("starts"),
             F.concat("rooms", F.array("rest")).alias("rooms"),
         )
     return state
@@ -154,7 +161,7 @@ def copies(unit: Column, appeal: Column, size: Column) -> Column:
     rank = pareto_rank(unit, F.col("part"), appeal)
     drawn = F.lit(False)
     for k in range(ROUNDS):
-        drawn = drawn | ((rank > F.col("lasts")[k]) & (rank <= F.col("lasts")[k + 1]) & (size <= F.col("rooms")[k]))
+        drawn = drawn | ((rank > F.col("starts")[k]) & (rank <= F.col("lasts")[k + 1]) & (size <= F.col("rooms")[k]))
     return F.col("whole") + F.when(F.coalesce(drawn, F.lit(False)), 1).otherwise(0)
 
 

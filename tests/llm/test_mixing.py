@@ -78,6 +78,15 @@ def test_inclusion_is_proportional(spark):
     assert abs(picked.agg(F.sum("taken")).first()[0] - 1500) <= 2
 
 
+def test_rounds_go_past_repeated_rows(spark):
+    """A third of the source is one row, wherever it falls in the order; its group is left out or drawn whole, and others fill up."""
+    rows = [(-1, "same", "a")] * 500 + [(k, f"w{k}", "a") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        taken = m.decisions(docs, weights=(1,), share=0.5, seed=seed).agg(F.sum("taken")).first()[0]
+        assert 749 <= taken <= 750
+
+
 def test_edge_cases(edge, nothing):
     rows = m.decisions(edge).collect()
     assert len(rows) == len(edge_rows())

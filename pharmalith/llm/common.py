@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # Fixed value: the characters that part words, as a class for Spark's patterns.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -65,3 +67,13 @@ def bounded_sample(rows: DataFrame, key: str, count: int, most: int) -> DataFram
     rank = F.xxhash64(F.col(key), F.lit(1))
     near = rows if part >= 1.0 else rows.filter(F.pmod(rank, F.lit(1 << 30)) < int(part * (1 << 30)))
     return near.orderBy(F.pmod(rank, F.lit(1 << 30)), key).limit(most)
+
+
+def beside(docs: DataFrame, read: str, keep: list[str], added: StructType, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Columns ``keep`` and those that ``run`` adds to each row. Its batches hold the column ``read`` first, then the kept ones; it
+    gives back the kept ones, then its own. Names are plain inside, so kept columns may be called anything."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    plain = [f"kept_{k}" for k in range(len(keep))]
+    rows = docs.select(F.col(f"`{read}`").alias("read"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, plain)])
+    schema = StructType([*[StructField(n, f.dataType) for n, f in zip(plain, kept.schema)], *added])
+    return rows.mapInArrow(run, schema).toDF(*keep, *added.names)

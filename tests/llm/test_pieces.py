@@ -1,0 +1,99 @@
+"""Piece ids against the sentencepiece library."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import sentencepiece
+
+from pharmalith.llm import pieces, queries
+
+MODEL = queries.PIECE_MODEL
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return pieces.PieceCodec(MODEL)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+def both(library, text):
+    return library.encode(text, add_bos=True, add_eos=True)
+
+
+FIXED = ["", " ", "   a  b ", "a\x00b", "▁x▁", "日本語 и слов 😀é", "<s>x</s><unk>", "<0x0A>\n\r\n", "1234 5,6", "  x", "aaaaaaaaaaaaaaa", " " * 40]
+
+
+@pytest.mark.parametrize("text", FIXED)
+def test_fixed_texts(codec, library, text):
+    ids = codec.encode(text).tolist()
+    assert ids == both(library, text)
+    assert codec.decode(ids) == library.decode(ids)
+
+
+def test_random_texts(codec, library):
+    rnd = random.Random(5)
+    alphabet = ["a", "b", "e", "n", " ", "  ", "\n", "▁", "7", "日", "語", "😀", "é", "\x00", "th", "ing", "ст", "==", "//", "   "]
+    names = list(codec.id)
+    for k in range(6000):
+        source = alphabet if k % 2 else names
+        text = "".join(rnd.choice(source) for _ in range(rnd.randint(0, 12))).replace("▁", " " if k % 4 else "▁")
+        assert codec.encode(text).tolist() == both(library, text), text
+
+
+def test_any_ids_decode(codec, library):
+    rnd = random.Random(6)
+    for _ in range(6000):
+        ids = [rnd.randrange(32000) if rnd.random() < 0.5 else rnd.randrange(260) for _ in range(rnd.randint(0, 9))]
+        assert codec.decode(ids) == library.decode(ids), ids
+
+
+def test_table_is_the_last_piece_of_every_prefix(codec, library):
+    word = "▁unbelievableness日本"
+    assert codec.prefix_table(word) == [len(codec.merged(word[: k + 1])[-1]) for k in range(len(word))]
+
+
+def test_one_word_of_a_megabyte(codec, library):
+    for text in ("a" * 1_000_000, "abcdefgh日" * 100_000):
+        assert codec.encode(text).tolist() == both(library, text)
+
+
+def test_bounded_memory(codec, library, monkeypatch):
+    monkeypatch.setattr(pieces, "WORDS", 10)
+    monkeypatch.setattr(pieces, "PAIRS", 10)
+    own = pieces.PieceCodec(MODEL)
+    text = " ".join(f"word{k} th{k}ing" for k in range(200))
+    assert own.encode(text).tolist() == both(library, text)
+    assert len(own._known) <= 10 and len(own._pairs) <= 10
+
+
+def digests(library, text):
+    ids = both(library, text or "")
+    packed = np.array(ids, "<u4").tobytes()
+    return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_query(spark, sf, documents, library):
+    want = sorted((r.doc_id, *digests(library, r.text)) for r in documents.select("doc_id", "text").collect())
+    got = queries.op13_pieces(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_edges(edge, nothing, library):
+    coded = pieces.encode(edge, MODEL, ["doc_id", "a.b"])
+    got = sorted((r.doc_id or 0, r.n_tokens, bytes(r.ids)) for r in coded.collect())
+    want = sorted((r.doc_id or 0, len(both(library, r.text or "")), np.array(both(library, r.text or ""), "<u4").tobytes()) for r in edge.collect())
+    assert got == want
+    read = pieces.decode(coded, MODEL, ["doc_id"])
+    assert sorted((r.doc_id or 0, r.decoded) for r in read.collect()) == sorted((r.doc_id or 0, r.text or "") for r in edge.collect())
+    assert pieces.decode(pieces.encode(nothing, MODEL, ["doc_id"]), MODEL, ["doc_id"]).collect() == []
+
+
+def test_null_ids_are_the_empty_text(spark):
+    rows = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
+    assert pieces.decode(rows, MODEL, ["doc_id"]).collect()[0].decoded == ""

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and the SQL that checks those that SQL can express."""
+"""Registered queries of the operators, and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
@@ -10,11 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pharmalith.llm import decontaminate, language, mixing, pii, quality_rules, sharding, simhash_vp, site_quality, token_rollups, warc_zstd
+from pharmalith.llm import (
+    burst_trie,
+    decontaminate,
+    language,
+    mixing,
+    pieces,
+    pii,
+    quality_rules,
+    runs,
+    sharding,
+    simhash_vp,
+    site_quality,
+    token_rollups,
+    warc_zstd,
+)
+from pharmalith.llm.common import WORD_PATTERN
 from pharmalith.session import scratch_path, through_storage
 
 # Vocabulary files of public tokenizers; the folder may be set by the environment.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+PIECE_MODEL = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
 TOKENIZERS = {n: f"{TOKENIZER_DIR}/{n}.tiktoken" for n in ("byte_bpe_50k", "byte_bpe_multi_50k")}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +147,63 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all documents as words; in one tenth of them, by the id's checksum, the words from some place on repeat."""
+    words = F.when(F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), 1)).otherwise(F.array())
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", words.alias("words"), h.alias("h"), F.floor(h / 10).alias("g"), F.size(words).alias("n"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    rebuilt = F.expr("transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)]))")
+    return rows.select("doc_id", F.array_join(F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), rebuilt).otherwise(F.col("words")), " ").alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document: their number, the longest, digests of all and of the text without repeats."""
+    found = runs.detect(periodic(table(spark, sf_dir, "documents")), ["doc_id"])
+    best = runs.longest(F.col("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best.start.alias("start"),
+        best.length.alias("length"),
+        best.period.alias("period"),
+        F.floor(1000 * best.length / best.period).alias("exponent_milli"),
+        F.sha2(runs.spelled(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_shared_starts(held: DataFrame) -> DataFrame:
+    """Conversations rebuilt: the first turns, up to three by the id's checksum, are those of the conversation whose id is the next lower multiple of 20."""
+    shared = F.crc32(F.col("conv_id").cast("string")) % 4
+    first = held.filter(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("start"))
+    rows = held.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(first, "base", "left").withColumn("h", shared.cast("int"))
+    start = F.coalesce(F.expr("slice(start, 1, h)"), F.expr("slice(turns, 1, 0)"))
+    own = F.expr("slice(turns, h + 1, size(turns))")
+    return rows.select("conv_id", F.concat(start, own).alias("turns"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    held = through_storage(burst_trie.sequences(table(spark, sf_dir, "conversations")), "sequences")
+    return burst_trie.nodes(with_shared_starts(held))
+
+
+ORACLES["op12_conversation_trie"] = burst_trie.ORACLE_SQL
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every document as ids of a SentencePiece model, and read back from them."""
+    coded = pieces.encode(table(spark, sf_dir, "documents"), model or PIECE_MODEL, ["doc_id"])
+    coded = coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    read = pieces.decode(coded, model or PIECE_MODEL, ["doc_id", "n_tokens", "ids_sha256"])
+    return read.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline over the documents."""

@@ -11,7 +11,6 @@ import logging
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pharmalith.functions.text import HEADER_DROPPED_PLAIN, KEY_NAME, clean_headers, is_price_column, number, price
 from pharmalith.schemas import MISSING_TEXTS
 from pharmalith.session import through_storage
+from pharmalith.sources import spanning
 
 log = logging.getLogger(__name__)
 
@@ -30,9 +30,6 @@ SINGLE_BYTE = "ISO-8859-1"
 SEPARATORS = (",", ";")
 CONFIDENCE = 0.7
 
-# Different orders of the columns that the files of one folder may have.
-MAX_ORDERS = 100
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -41,7 +38,7 @@ class Layout:
     ``sep`` None: the separator that cuts the header into the most names. ``preamble``:
     lines above the header. ``repair_header``: the header line is split as it stands,
     quotes are dropped, and rows are cut to its width. ``charset`` 'auto': per file, from
-    its bytes. ``quoted_newlines``: values may span lines, so a file cannot be split.
+    its bytes. ``quoted_newlines``: values may span lines; the lines of a record are put together over the splits of a file.
     """
 
     sep: str | None = ";"
@@ -167,6 +164,39 @@ def text_head(spark: SparkSession, path, n: int = 50) -> DataFrame:
     return spark.read.text(path).limit(n).select(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd")).alias("value"))
 
 
+def _quoted(sep: str) -> tuple[str, str]:
+    """Patterns of a quoted value that ends in the text, and of a quote that opens a value."""
+    opens = rf"(^\ufeff?|{re.escape(sep)})\""
+    return opens + r'[^"]*+(?:""[^"]*+)*+"(?!")', opens
+
+
+def ends_open(line: Column, sep: str) -> Column:
+    """Whether a quote that the line opens is still open at its end."""
+    whole, opens = _quoted(sep)
+    return F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, whole, "$1").rlike(opens)).otherwise(F.lit(False))
+
+
+def whole_records(lines: DataFrame, sep: str) -> DataFrame:
+    """Lines (``file, start, place, line``) put together to records where a line break stands inside quotes, and ``complete``."""
+    # A line that begins inside quotes is one that begins with a quote.
+    inside = F.when(F.contains("line", F.lit('"')), ends_open(F.concat(F.lit('"'), "line"), sep)).otherwise(F.lit(True))
+    pieces = lines.select("file", "start", "place", "line", ends_open(F.col("line"), sep).cast("bigint").alias("a"), inside.cast("bigint").alias("b"))
+    return spanning.joined(pieces, spanning.QUOTES, "\n")
+
+
+def _joined_head(lines: list[str], sep: str) -> list[str]:
+    """The same for the first lines of a file; an unfinished last record is left out."""
+    whole, opens = _quoted(sep)
+    records, held = [], []
+    for line in lines:
+        held.append(line)
+        text = "\n".join(held)
+        if not re.search(opens, re.sub(whole, r"\1", text)):
+            records.append(text)
+            held = []
+    return records
+
+
 def _as_column(rule: bool | Column) -> Column:
     return F.lit(rule) if isinstance(rule, bool) else rule
 
@@ -177,8 +207,10 @@ def _first_lines(spark: SparkSession, layout: Layout, files: DataFrame, rule: bo
     above, found = layout.preamble + 1, []
     named = files.select("file", _as_column(rule).alias("latin")).orderBy("file")
     for file, latin in named.toLocalIterator():
-        lines = spark.read.text(file).limit(above + 1).select(decode_line(F.col("value"), latin))
-        head = [r[0] for r in lines.collect()]
+        decoded = spark.read.text(file).select(decode_line(F.col("value"), latin))
+        head = [r[0] for r in decoded.limit(above + 1).collect()]
+        if layout.quoted_newlines:
+            head = _first_records(decoded, head, layout, above + 1)
         found += [line for line in head if line not in found[:above]] if len(found) >= above else head
         if len(found) > above:
             break
@@ -187,6 +219,20 @@ def _first_lines(spark: SparkSession, layout: Layout, files: DataFrame, rule: bo
     return found[: above + 1]
 
 
+def _first_records(decoded: DataFrame, lines: list[str], layout: Layout, n: int) -> list[str]:
+    """The first ``n`` records of a file; twice as many lines are read until they hold them."""
+    while True:
+        sep = layout.sep or sniff_separator(lines[layout.preamble] if len(lines) > layout.preamble else "")
+        records = _joined_head(lines, sep)
+        if len(records) >= n:
+            return records[:n]
+        wanted = 2 * max(len(lines), n)
+        more = [r[0] for r in decoded.limit(wanted).collect()]
+        if len(more) < wanted:
+            return _joined_head(more, sep)[:n]
+        lines = more
+
+
 def _headed(line: Column, known: str, header: list[str], sep: str) -> Column:
     """Whether a line is the known header line or holds its names in any order."""
     plain = F.transform(F.split(F.replace(F.replace(line, F.lit("\ufeff")), F.lit('"')), re.escape(sep)), lambda x: F.trim(x))
@@ -226,15 +272,17 @@ def read_delimited(spark: SparkSession, path, layout: Layout = Layout()) -> Land
     width = len(header)
     if layout.repair_header and data:
         width = max(width, len(header_fields(data[0], sep)))
-    if layout.quoted_newlines:
-        latin = [r.file for r in files.filter(_as_column(rule)).select("file").toLocalIterator()]
-        return _read_spanning(spark, path, layout, latin, sep, header, width)
     raw = read_lines(spark, path)
     if not isinstance(rule, bool):
         # One row per file; small beside the lines, so Spark sends it to them.
         raw = raw.join(files.select("file", rule.alias("latin")), "file")
         rule = F.col("latin")
     decoded = raw.withColumn("line", decode_line(F.col("value"), rule)).select("file", "start", "place", "line")
+    unfinished = None
+    if layout.quoted_newlines:
+        records = whole_records(decoded, sep)
+        unfinished = records.filter("not complete").select("file", "line", F.lit(None).cast("int").alias("n_fields"))
+        decoded = records.filter("complete").drop("complete")
     texts = sorted(set(above[:-1]))
     own = F.col("head").isNotNull() & (F.col("first") == (F.lit(above[0]) if layout.preamble else F.col("head")))
     for i, text in enumerate(texts):
@@ -251,21 +299,36 @@ def read_delimited(spark: SparkSession, path, layout: Layout = Layout()) -> Land
             body = body.unionByName(_again(heads, more, F.lit(text)))
     body = body.unionByName(_again(heads, F.col("n_headed") - F.when(F.col("own"), 1).otherwise(0), F.col("head")))
     counted = body.withColumn("n_fields", count_fields(F.col("line"), sep))
+    rejects = counted.filter(F.col("n_fields") > width)
+    if unfinished is not None:
+        rejects = rejects.unionByName(unfinished)
     schema = ", ".join(f"c{i} string" for i in range(width))
     parse = F.from_csv("line", schema, {"sep": sep, "quote": '"', "escape": '"'}).alias("_row")
     good = counted.filter(F.col("n_fields") <= width)
     names = column_names(header)
-    orders = [r.head for r in heads.filter("own and head is not null").select("head").distinct().limit(MAX_ORDERS + 1).collect()]
-    if len(orders) > MAX_ORDERS:
-        raise ValueError(f"more than {MAX_ORDERS} orders of columns in {path}")
-    others = [o for o in orders if header_fields(o, sep, layout.repair_header) != header]
-    if not others:
-        return Landed(_named(good.select(parse).select("_row.*"), names), counted.filter(F.col("n_fields") > width))
-    placed = good.join(heads.select("file", F.when(F.col("own"), F.col("head")).alias("head")), "file")
-    parts = [(placed.filter(F.col("head").isNull() | ~F.col("head").isin(others)), names)]
-    parts += [(placed.filter(F.col("head") == o), column_names(header_fields(o, sep, layout.repair_header))) for o in others]
-    rows = [_named(df.select(parse).select("_row.*"), own).select(*[f"`{n}`" for n in names]) for df, own in parts]
-    return Landed(reduce(DataFrame.unionByName, rows), counted.filter(F.col("n_fields") > width))
+    moved = heads.filter(F.col("own") & F.col("head").isNotNull()).select("file", _places(F.col("head"), header, sep).alias("places"))
+    moved = moved.filter(~F.forall(F.arrays_zip("places", F.sequence(F.lit(1), F.size("places")).alias("n")), lambda x: x.places == x.n))
+    if moved.isEmpty():
+        return Landed(_named(good.select(parse).select("_row.*"), names), rejects)
+    # One row per file; fields are picked by the places their names have in the file's own header.
+    placed = good.join(moved, "file", "left").select(parse, "places")
+    fields = F.array(*[F.col(f"_row.c{i}") for i in range(width)])
+    picked = [F.coalesce(F.col("places")[i], F.lit(i + 1)) if i < len(header) else F.lit(i + 1) for i in range(width)]
+    rows = placed.select(fields.alias("_fields"), *[p.alias(f"p{i}") for i, p in enumerate(picked)])
+    return Landed(_named(rows.select(*[F.element_at("_fields", F.col(f"p{i}")).alias(f"c{i}") for i in range(width)]), names), rejects)
+
+
+def _places(head: Column, header: list[str], sep: str) -> Column:
+    """Where the names of the header stand in another header line with the same names; of equal names the first is the first."""
+    plain = F.transform(F.split(F.replace(F.replace(head, F.lit("\ufeff")), F.lit('"')), re.escape(sep)), lambda x: F.trim(x))
+    numbered = F.transform(plain, lambda x, i: F.struct(x.alias("name"), F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda y: y == x)).alias("n")))
+    seen: dict[str, int] = {}
+    wanted = []
+    for h in header:
+        name = h.replace('"', "").strip()
+        seen[name] = seen.get(name, 0) + 1
+        wanted.append(F.struct(F.lit(name).alias("name"), F.lit(seen[name]).alias("n")))
+    return F.transform(F.array(*wanted), lambda w: F.array_position(numbered, w).cast("int"))
 
 
 def _again(heads: DataFrame, n: Column, line: Column) -> DataFrame:
@@ -280,37 +343,6 @@ def _named(parsed: DataFrame, names: list[str]) -> DataFrame:
     return parsed.select(*[F.when(~c.isin(*MISSING_TEXTS), c).alias(n) for c, n in zip(columns, names)])
 
 
-def _read_spanning(spark, path, layout: Layout, single_byte: list[str], sep: str, header: list[str], width: int) -> Landed:
-    """The same for files with line breaks inside quotes; such a file is one task."""
-    if layout.preamble:
-        raise ValueError("a preamble is only skipped in files without quoted line breaks")
-    files = sorted(spark.read.text(path).inputFiles())
-    latin = [f for f in files if _spelled(f) in set(map(_spelled, single_byte))]
-    columns = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{c} string" for c in [*columns, "_rest"])
-    reader = spark.read.schema(schema).options(sep=sep, quote='"', escape='"', multiLine=True)
-    parts = [
-        reader.option("encoding", charset).csv(chosen)
-        for charset, chosen in ((UTF8, [f for f in files if f not in latin]), (SINGLE_BYTE, latin))
-        if chosen
-    ]
-    raw = parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
-    same = [F.trim(F.col(c)).eqNullSafe(F.lit(n.strip() or None)) for c, n in zip(columns, header)]
-    body = raw.filter(~F.forall(F.array(*same), lambda s: s))
-    over = F.col("_rest").isNotNull()
-    rejects = body.filter(over).select(
-        F.lit(None).cast("string").alias("file"),
-        F.concat_ws(sep, *columns, "_rest").alias("line"),
-        F.lit(width + 1).alias("n_fields"),
-    )
-    return Landed(_named(body.filter(~over).select(*columns), column_names(header)), rejects)
-
-
-def _spelled(file: str) -> str:
-    """One spelling of ``file:/x`` and ``file:///x``."""
-    return file.replace(":///", ":/")
-
-
 @dataclass(frozen=True)
 class TableSpec:
     """How one delivered file becomes a table: layout, numeric columns, header rule, own step.

@@ -69,9 +69,9 @@ def build_drugs(
 ) -> dict[str, int]:
     """Parse the drug document and replace its four relations; rows written per relation.
 
-    Malformed records go to ``records_rejects``.
+    Malformed records go to ``records_rejects``; their sound elements are kept, as ``recovered`` says there.
     """
-    parsed = read_records(spark, path, nested_paths)
+    parsed = read_records(spark, path, nested_paths, recover=True)
     counts = write_relations(drug_relations(parsed), folder)
     rejected = write_relations({f"records{REJECTS}": parsed.rejects}, folder)
     _warn(rejected)

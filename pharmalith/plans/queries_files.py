@@ -6,6 +6,8 @@ have to cope with, and land in the shared folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,6 +174,31 @@ def clean_prices(t):
     return delimited.clean_table(delimited.read_delimited(t.spark, path, spec.layout).rows, spec)
 
 
+# Orders as a register file with notes of several lines, quotes and separators inside; every ninth row has a field too many.
+@query(
+    oracle="""
+    select o_orderkey as codice_aic,
+           concat('order ', o_orderkey, chr(10), 'by "', o_orderpriority, '"; paid',
+                  case when o_orderstatus = 'O' then concat(chr(10), chr(10), 'open') else '' end) as nota,
+           o_orderstatus as stato
+    from orders where o_orderkey % 9 <> 0
+    union all select -count(*), 'rejects', null from orders where o_orderkey % 9 = 0"""
+)
+def src_csv_spanning(t):
+    """Values with line breaks, quotes and separators in them, read by split; and the number of lines left out."""
+    note = """concat('order ', o_orderkey, chr(10), 'by ""', o_orderpriority, '""; paid',
+                     case when o_orderstatus = 'O' then concat(chr(10), chr(10), 'open') else '' end)"""
+    lines = t.sql(
+        f"""select concat_ws(';', o_orderkey, concat('"', {note}, '"'), o_orderstatus, case when o_orderkey % 9 = 0 then 'x' end) as line
+            from {{orders}}"""
+    )
+    path = land(t, lines, ['AIC;"Nota";Stato'], "note")
+    landed = delimited.read_delimited(t.spark, path, Layout(quoted_newlines=True))
+    rows = delimited.clean_table(landed.rows)
+    lost = landed.rejects.agg((-F.count(F.lit(1))).alias("codice_aic"))
+    return rows.unionByName(lost.select("codice_aic", F.lit("rejects").alias("nota"), F.lit(None).cast("string").alias("stato")))
+
+
 # One record per order. Orders of one customer share an id, so records repeat; the nested
 # drug names another customer; status P has no primary mark, status F no calculated values.
 _XML_LINES = """
@@ -263,6 +290,66 @@ def xml_rejects(t):
     return _records(t).rejects.agg(F.count(F.lit(1)).alias("n_rejects"))
 
 
+# The same document without any attribute: a record is told from a nested drug by its depth alone.
+_XML_PLAIN_LINES = """
+    select concat(
+        '<drug>', chr(10), '<drugbank-id>DB', o_custkey, '</drugbank-id><drugbank-id>ALT', o_orderkey, '</drugbank-id>',
+        '<name>Drug &amp; ', o_custkey, '</name><state>', o_orderstatus, '</state>',
+        '<pathways><pathway><drugs><drug><drugbank-id>DB', o_custkey + 1, '</drugbank-id><name>stub</name></drug>', chr(10),
+        '<drug/></drugs></pathway></pathways>',
+        '<drug-interactions><drug-interaction><drugbank-id>DB', o_orderkey, '</drugbank-id></drug-interaction></drug-interactions>',
+        '</drug>') as line
+    from {orders}"""
+_XML_PLAIN_HEAD = ['<?xml version="1.0" encoding="UTF-8"?>', '<drugbank version="5.1">']
+
+
+@query(
+    oracle="""
+    select concat('DB', o_custkey) as drugbank_id, concat('Drug & ', o_custkey) as name, null::varchar as type,
+           o_orderstatus as state, null::varchar as smiles from orders
+    union all select concat('DB', o_custkey + 1), 'stub', null, null, null from orders"""
+)
+def xml_records_plain(t):
+    """All drug elements of a document whose tags carry no attributes."""
+    path = land(t, t.sql(_XML_PLAIN_LINES), _XML_PLAIN_HEAD, "plain", tail=["</drugbank>"])
+    return drug_xml.drug_rows(drug_xml.read_records(t.spark, path))
+
+
+# Records that are damaged by the last digit of the order: an end tag too many, one too few, a stray sign, a torn record.
+_XML_DAMAGED_LINES = """
+    select concat(
+        '<drug type="small molecule"><drugbank-id primary="true">DB', o_orderkey, '</drugbank-id>',
+        case o_orderkey % 10 when 1 then '</broken>' when 2 then '<note>' else '' end,
+        '<name>Drug ', case when o_orderkey % 10 = 3 then 'A & B < C' else 'A &amp; B &lt; C' end, '</name>',
+        '<synonyms><synonym>', o_orderpriority, '</synonym><synonym>second</synonym></synonyms>',
+        case when o_orderkey % 10 = 4 then '<atc-codes><atc-code code="' else concat('<atc-codes><atc-code code="', o_orderstatus, '"/></atc-codes>') end,
+        '</drug>') as line
+    from {orders}"""
+
+
+@query(
+    oracle="""
+    select 'drug' as kind, concat('DB', o_orderkey) as drugbank_id, 'Drug A & B < C' as value from orders
+    union all select 'synonym', concat('DB', o_orderkey), o_orderpriority from orders
+    union all select 'synonym', concat('DB', o_orderkey), 'second' from orders
+    union all select 'atc', concat('DB', o_orderkey), o_orderstatus from orders where o_orderkey % 10 <> 4
+    union all select 'reject', null, case o_orderkey % 10 when 1 then 'unexpected </broken>' when 2 then 'unclosed <note>'
+        when 3 then 'stray &; broken tag' else 'broken tag; unclosed <atc-codes>' end
+        from orders where o_orderkey % 10 between 1 and 4"""
+)
+def xml_recovered(t):
+    """The sound elements of a document with damaged records, and what is wrong with each."""
+    path = land(t, t.sql(_XML_DAMAGED_LINES), _XML_HEAD, "damaged", tail=["</drugbank>"])
+    found = drug_xml.read_records(t.spark, path, recover=True)
+    parts = (
+        drug_xml.drug_rows(found).select(F.lit("drug").alias("kind"), "drugbank_id", F.col("name").alias("value")),
+        drug_xml.synonym_rows(found).select(F.lit("synonym"), "drugbank_id", "synonym"),
+        drug_xml.atc_rows(found).select(F.lit("atc"), "drugbank_id", "atc_code"),
+        found.rejects.filter("recovered").select(F.lit("reject"), F.lit(None).cast("string"), "damage"),
+    )
+    return reduce(DataFrame.union, parts)
+
+
 @query(
     oracle="""
     select 'drugs' as relation, count(*) as n_rows, count(*) as n_written from drugs
@@ -372,6 +459,38 @@ def json_trials_recruiting(t):
     )
 
 
+@query(
+    oracle="""
+    select state, cast(count(*) as bigint) as n_pages, cast(sum(n) as bigint) as n_entries, cast(sum(reject) as bigint) as n_rejects from (
+        select case when o_orderkey % 10 = 1 then 'damaged' when o_orderkey % 10 = 2 then 'error' when o_orderkey % 10 = 3 then 'empty'
+                    when o_orderkey % 10 = 4 then 'partial' else 'rows' end as state,
+               case when o_orderkey % 10 between 1 and 3 then 0 when o_orderkey % 10 = 4 then 1 else 2 end as n,
+               case when o_orderkey % 10 in (1, 2, 4) then 1 else 0 end as reject from orders) group by state
+    union all select 'studies', count(*), count(*), 0 from (
+        select 1 from orders where o_orderkey % 10 in (0, 4, 5, 6, 7, 8, 9)
+        union all select 1 from orders where o_orderkey % 10 in (0, 5, 6, 7, 8, 9))"""
+)
+def json_rejects(t):
+    """Landed pages by what they held: torn, error, empty and ill-formed pages beside whole ones; and the studies they gave."""
+    pages = t.sql(
+        """with s as (select o_orderkey, concat('{{"protocolSection":{{"identificationModule":{{"nctId":"N', o_orderkey, '"}}}}}}') as study from {orders})
+           select case o_orderkey % 10
+                  when 1 then concat('{{"studies":[', study, ',{{"protoc')
+                  when 2 then concat('{{"error":{{"code":"E', o_orderkey, '"}}}}')
+                  when 3 then '{{"studies":[]}}'
+                  when 4 then concat('{{"studies":[', study, '],"protocolSection":"text"}}')
+                  else concat('{{"studies":[', study, ',', study, ']}}') end as line from s"""
+    )
+    path = f"{scratch_path(t.spark, 'pages')}/studies"
+    pages.write.text(path)
+    read = landed_json.read_studies(t.spark, path)
+    by_state = read.pages.groupBy("state").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_entries").alias("n_entries"))
+    lost = read.rejects.filter("length(page) > 0").groupBy("state").agg(F.count(F.lit(1)).alias("n_rejects"))
+    states = by_state.join(lost, "state", "left").select("state", "n_pages", "n_entries", F.coalesce("n_rejects", F.lit(0)).cast("bigint").alias("n_rejects"))
+    total = F.count(F.lit(1))
+    return states.unionByName(read.studies.agg(total.alias("n_pages"), total.alias("n_entries")).select(F.lit("studies").alias("state"), "*", F.lit(0).cast("bigint").alias("n_rejects")))
+
+
 @query(oracle=ADVERSE_ORACLE)
 def json_adverse_topk(t):
     """Most reported reactions from landed report pages, error pages among them."""

@@ -2,7 +2,8 @@
 
 The text reader cuts the document at the start of each record, wherever its splits fall,
 so parsing runs in as many tasks as the document has splits. Records keep their nested
-``drug`` elements, which carry no attributes and so are no cut points.
+``drug`` elements, which carry no attributes and so are no cut points. Where records carry none either, the document is
+cut at every ``drug`` element and the pieces of a record are put together by the depth they stand at.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from pharmalith.functions.text import present
 from pharmalith.operators.drugs import dedup_drugs
 from pharmalith.session import through_storage
+from pharmalith.sources import spanning
+from pharmalith.sources.xml_repair import repaired
 
 START, END = "<drug ", "</drug>"
+ANY_START = "<drug"
 NESTED_PATHS = ("pathways.pathway.drugs.drug",)
 SMILES = "SMILES"
 
@@ -53,7 +57,8 @@ def record_schema(nested_paths: tuple[str, ...] = NESTED_PATHS) -> str:
 
 @dataclass(frozen=True)
 class DrugRecords:
-    """Parsed records, and the text of those that are not well-formed."""
+    """Parsed records, and the text of those that are not well-formed: with ``damage``, what is wrong, and ``recovered``, whether
+    their sound elements are among the records."""
 
     records: DataFrame
     rejects: DataFrame
@@ -61,37 +66,68 @@ class DrugRecords:
 
 
 def read_records(
-    spark: SparkSession, path: str, nested_paths: tuple[str, ...] = NESTED_PATHS, stored: bool = True
+    spark: SparkSession, path: str, nested_paths: tuple[str, ...] = NESTED_PATHS, stored: bool = True, recover: bool = False
 ) -> DrugRecords:
     """Parse the document once; with ``stored`` the parsed records go through the shared
-    folder, so that the relations read only their own columns."""
+    folder, so that the relations read only their own columns.
+
+    With ``recover`` the sound elements of a damaged record are kept, else it is left out whole.
+    """
     schema = record_schema(nested_paths)
-    if not _has_attributes(spark, path):
-        reader = spark.read.format("xml").options(rowTag="drug", **_OPTIONS)
-        return _split(reader.schema(schema).load(path), nested_paths, stored)
-    lines = spark.read.option("lineSep", START).text(path)
+    texts = _attributed(spark, path) if _has_attributes(spark, path) else _nested(spark, path)
+    parsed = texts.select(F.from_xml("text", schema, _OPTIONS).alias("d")).select("d.*")
+    if stored:
+        parsed = through_storage(parsed, "drug-records")
+    good = parsed.filter(F.col(_BAD).isNull()).drop(_BAD)
+    bad = parsed.filter(F.col(_BAD).isNotNull())
+    if not recover:
+        rejects = bad.select(F.col(_BAD).alias("record"), F.lit(None).cast("string").alias("damage"), F.lit(False).alias("recovered"))
+        return DrugRecords(good, rejects, nested_paths)
+    again = repaired(bad, _BAD).withColumn("d", F.from_xml("fixed", schema, _OPTIONS))
+    # Few beside the records; written once, as records and rejects both read them.
+    again = through_storage(again.select("record", "damage", "d"), "recovered")
+    sound = F.col(f"d.{_BAD}").isNull()
+    good = good.unionByName(again.filter(sound).select("d.*").drop(_BAD))
+    return DrugRecords(good, again.select("record", "damage", sound.alias("recovered")), nested_paths)
+
+
+def _up_to_end(start: str, value: Column) -> Column:
+    """A record without what follows its last end tag."""
+    tail = F.when(F.contains(value, F.lit(END)), F.length(F.substring_index(value, END, -1))).otherwise(0)
+    return F.concat(F.lit(start), F.left(value, F.length(value) - tail)).alias("text")
+
+
+def _attributed(spark: SparkSession, path: str) -> DataFrame:
+    """Records whose tags carry attributes, which nested drugs do not."""
+    pieces = spark.read.option("lineSep", START).text(path)
+    return pieces.filter(F.contains("value", F.lit(END))).select(_up_to_end(START, F.col("value")))
+
+
+def _nested(spark: SparkSession, path: str) -> DataFrame:
+    """Records of any tags: a drug element is a record if no other is open where it begins."""
     value = F.col("value")
-    tail = F.length(F.substring_index(value, END, -1))
-    text = F.concat(F.lit(START), F.left(value, F.length(value) - tail))
-    parsed = lines.filter(F.contains(value, F.lit(END))).select(F.from_xml(text, schema, _OPTIONS).alias("d"))
-    return _split(parsed.select("d.*"), nested_paths, stored)
+    pieces = spark.read.option("lineSep", ANY_START).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+        value.alias("line"),
+        # The rest of the tag; names that go on, such as that of the root, open no drug.
+        value.rlike(r"^(?:\s[^<>]*)?>").alias("opens"),
+        value.rlike(r"^(?:\s[^<>]*)?/>").alias("empty"),
+        F.regexp_count(value, F.lit(r"</drug\s*>")).alias("closes"),
+    )
+    opened = F.when(F.col("opens") & ~F.col("empty"), 1).otherwise(0)
+    is_drug = (F.col("opens") | F.col("empty")).cast("bigint")
+    changed = pieces.select("file", "start", "place", "line", (opened - F.col("closes")).cast("bigint").alias("a"), is_drug.alias("b"))
+    return spanning.joined(changed, spanning.DEPTH, ANY_START).select(_up_to_end(ANY_START, F.col("line")))
 
 
 def _has_attributes(spark: SparkSession, path: str) -> bool:
-    """Whether record tags carry attributes; reads up to the first one. Without them a
-    record cannot be told from a nested drug by its tag, and the XML reader takes over."""
+    """Whether record tags carry attributes; reads up to the first one."""
     tags = spark.read.option("lineSep", ">").text(path)
     return not tags.filter(F.contains("value", F.lit(START))).isEmpty()
 
 
-def _split(parsed: DataFrame, nested_paths, stored: bool) -> DrugRecords:
-    if stored:
-        parsed = through_storage(parsed, "drug-records")
-    good = parsed.filter(F.col(_BAD).isNull()).drop(_BAD)
-    bad = parsed.filter(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("record"))
-    return DrugRecords(good, bad, nested_paths)
-
-
 def _first_text(values: Column) -> Column:
     return F.try_element_at(values, F.lit(1))
 

@@ -54,8 +54,8 @@ def test_any_ids_decode(codec, library):
 
 
 def test_table_is_the_last_piece_of_every_prefix(codec, library):
-    word = "▁unbelievableness日本"
-    assert codec.prefix_table(word) == [len(codec.merged(word[: k + 1])[-1]) for k in range(len(word))]
+    word = "▁unbelievableness日本\U0001f600"
+    assert [codec.text_of(k) for k in codec.prefix_table(word)] == [codec.merged(word[: k + 1])[-1] for k in range(len(word))]
 
 
 def test_one_word_of_a_megabyte(codec, library):
@@ -69,7 +69,7 @@ def test_bounded_memory(codec, library, monkeypatch):
     own = pieces.PieceCodec(MODEL)
     text = " ".join(f"word{k} th{k}ing" for k in range(200))
     assert own.encode(text).tolist() == both(library, text)
-    assert len(own._known) <= 10 and len(own._pairs) <= 10
+    assert len(own._known) <= 10 and len(own._known.older) <= 10 and len(own._pairs) <= 10
 
 
 def digests(library, text):

@@ -7,7 +7,7 @@ once, and the rounds run over those few counts. The posteriors then train the fi
 span's own form, neighbours and context), by one grouped sum. Candidates that it accepts and that touch no base
 span are added; base spans always stay.
 
-Texts are read once and whole; what is stored is one narrow row per document with its spans. The tables that reach the
+Texts are read once and whole, in time n log n of their matches; what is stored is one narrow row per document with its spans. The tables that reach the
 driver are bounded: at most 4 * 3^5 patterns of votes and 4 * 6 * 64 feature counts.
 
 Defined results: a null text is empty; documents without spans come back with empty lists; repeated rows are judged alike;
@@ -18,6 +18,7 @@ Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ LABELERS = ("pattern", "check", "gazetteer", "context", "form")
 FEATURES = ("digits", "length", "shape", "before", "after", "words")
 BUCKETS = 64
 CONTEXT = 40
+# Code points of a piece of a text.
+PIECE = 256
 ROUNDS = 25
 ACCEPT = 0.5
 
@@ -77,20 +80,95 @@ def luhn(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each element combined with all before it. Round k takes in the element 2^k places before, so an array of n elements takes
+    log2(n) rounds of whole-array steps; adding to an array element by element would copy it each time."""
+
+    def round_of(x: Column, reach: Column) -> Column:
+        earlier = F.concat(F.array_repeat(F.lit(None).cast("int"), reach), F.slice(x, F.lit(1), F.size(x) - reach))
+        return F.zip_with(x, earlier, lambda a, b: F.when(b.isNull(), a).otherwise(combine(a, b)))
+
+    def rounds(x: Column) -> Column:
+        reaches = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(x))).cast("int") - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.when(F.size(x) > 1, F.aggregate(reaches, x, round_of)).otherwise(x)
+
+    return bind(values, rounds)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches with places: array of (s, e, t). The text between matches gives the places, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    kind = "array<struct<s:int,e:int,t:string>>"
-    steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("t"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["t"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["t"].alias("t")))).alias("out"))
+    def places(x: Column) -> Column:
+        advance = F.zip_with(F.slice(x["gap"], F.lit(1), F.size(x["t"])), x["t"], lambda gap, t: gap + F.length(t))
+        ends = running(advance, lambda a, b: a + b)
+        return F.zip_with(ends, x["t"], lambda e, t: F.struct((e - F.length(t)).alias("s"), e.alias("e"), t.alias("t")))
+
+    some = bind(F.struct(between.alias("gap"), found.alias("t")), places)
+    return F.when(text.rlike(pattern), some).otherwise(F.array().cast("array<struct<s:int,e:int,t:string>>"))
+
+
+def cut_text(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` code points, so that a place is found without counting from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part_of(pieces: Column, start: Column, count: Column) -> Column:
+    """At most ``PIECE`` code points from a place."""
+    first = F.floor(start / PIECE).cast("int")
+    near = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+    return F.substring(near, start % PIECE + 1, count)
+
+
+def _answers(events: Column, value: Callable[[Column], Column]) -> Column:
+    """Values of the events that belong to a candidate, in the order of candidates."""
+    return F.transform(F.sort_array(F.filter(F.transform(events, lambda x: F.struct(x["at"].alias("at"), value(x).alias("v"))), lambda x: x["at"] >= 0)), lambda x: x["v"])
+
+
+def among_base(candidates: Column, base: Column) -> Column:
+    """Per candidate, whether it is a base span of its kind; by one sort of both."""
+
+    def event(x: Column, kind: int, at: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("type"), at.alias("at"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, state, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    events = F.concat(F.transform(base, lambda x: event(x, 0, F.lit(-1))), F.transform(candidates, lambda x, i: event(x, 1, i)))
+
+    def marked(x: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("struct<kind:int,s:int,e:int,type:int,at:int>")), F.slice(x, F.lit(1), F.size(x) - 1))
+        same = lambda a, b: (a["kind"] == b["kind"]) & (a["s"] == b["s"]) & (a["e"] == b["e"]) & (b["type"] == 0)
+        pairs = F.zip_with(x, before, lambda a, b: F.struct(a["at"].alias("at"), F.coalesce(same(a, b), F.lit(False)).alias("is")))
+        return _answers(pairs, lambda e: e["is"])
+
+    none = F.transform(candidates, lambda x: F.lit(False))
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), bind(F.sort_array(events), marked)).otherwise(none)
+
+
+def touched_by_base(candidates: Column, base: Column) -> Column:
+    """Per candidate, whether it overlaps a base span of any kind: the furthest end of the base spans that start before its end is
+    beyond its start. One sort of both, then a running maximum."""
+
+    def event(pos: Column, kind: int, end: Column, at: Column, start: Column) -> Column:
+        return F.struct(pos.alias("pos"), F.lit(kind).alias("type"), end.alias("end"), at.alias("at"), start.alias("start"))
+
+    nothing = F.lit(-1)
+    events = F.concat(
+        F.transform(base, lambda x: event(x["s"], 1, x["e"], nothing, nothing)),
+        F.transform(candidates, lambda x, i: event(x["e"], 0, nothing, i, x["s"])),
+    )
+
+    def marked(x: Column) -> Column:
+        furthest = running(F.transform(x, lambda e: e["end"]), lambda a, b: F.greatest(a, b))
+        pairs = F.zip_with(x, furthest, lambda e, f: F.struct(e["at"].alias("at"), (f > e["start"]).alias("is")))
+        return _answers(pairs, lambda e: e["is"])
+
+    none = F.transform(candidates, lambda x: F.lit(False))
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), bind(F.sort_array(events), marked)).otherwise(none)
 
 
 def passes(kind: str, t: Column) -> Column:
@@ -162,32 +240,48 @@ def find(docs: DataFrame) -> DataFrame:
         *[located(text, WIDE[k]).alias(f"w_{k}") for k in KINDS],
     )
 
-    def placed(kind: str):
-        return lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
+    def placed(kind: str, with_text: bool):
+        def make(x: Column) -> Column:
+            text_of = [x["t"].alias("t")] if with_text else []
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), *text_of)
+
+        return make
+
+    spans = hits.select(
+        "doc_id",
+        F.concat(*[F.transform(f"b_{k}", placed(k, False)) for k in KINDS]).alias("base"),
+        F.concat(*[F.transform(f"w_{k}", placed(k, True)) for k in KINDS]).alias("wide"),
+        F.when(F.size(F.concat(*[F.col(f"w_{k}") for k in KINDS])) > 0, cut_text(text)).alias("pieces"),
+    )
+    flagged = spans.select("*", among_base(F.col("wide"), F.col("base")).alias("is_base"), touched_by_base(F.col("wide"), F.col("base")).alias("touched"))
+    together = F.zip_with(
+        "wide",
+        F.zip_with("is_base", "touched", lambda a, b: F.struct(a.alias("base"), b.alias("touched"))),
+        lambda x, f: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), f["base"].alias("base"), f["touched"].alias("touched")),
+    )
 
     def candidate(kind: str):
         def make(x: Column) -> Column:
-            words = F.lower(F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))))
-            base = F.exists(f"b_{kind}", lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"]))
-            touched = F.lit(False)
-            for k in KINDS:
-                touched = touched | F.exists(f"b_{k}", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            words = F.lower(part_of(F.col("pieces"), F.greatest(x["s"] - CONTEXT, F.lit(0)), F.least(x["s"], F.lit(CONTEXT))))
             return F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"),
+                x["kind"].alias("kind"),
                 x["s"].alias("s"),
                 x["e"].alias("e"),
-                base.alias("base"),
-                touched.alias("touched"),
-                votes(kind, x["t"], words, base).alias("votes"),
-                features(kind, x["t"], words, F.substring(text, x["e"] + 1, F.lit(1))).alias("features"),
+                x["base"].alias("base"),
+                x["touched"].alias("touched"),
+                votes(kind, x["t"], words, x["base"]).alias("votes"),
+                features(kind, x["t"], words, part_of(F.col("pieces"), x["e"], F.lit(1))).alias("features"),
             )
 
         return make
 
-    base = [F.transform(f"b_{k}", placed(k)) for k in KINDS]
-    return hits.select(
-        "doc_id", F.concat(*base).alias("base"), F.concat(*[F.transform(f"w_{k}", candidate(k)) for k in KINDS]).alias("candidates")
-    )
+    joined = flagged.select("doc_id", "base", "pieces", together.alias("all"))
+
+    def of_kind(kind: str):
+        return lambda x: x["kind"] == KINDS.index(kind)
+
+    per_kind = [F.transform(F.filter("all", of_kind(k)), candidate(k)) for k in KINDS]
+    return joined.select("doc_id", "base", F.concat(*per_kind).alias("candidates"))
 
 
 def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]]) -> dict[int, tuple[float, list[list[list[float]]]]]:

@@ -111,3 +111,47 @@ def test_edge_cases(spark, edge, nothing):
     docs = spark.createDataFrame([(1, "mail a@b.com or 10.0.0.1 😀"), (1, "mail a@b.com or 10.0.0.1 😀"), (None, None), (2, "none")], "doc_id long, text string")
     out = sorted(((r.doc_id or 0, r.text) for r in p.redact(docs).collect()), key=str)
     assert out == [(0, None), (1, "mail [email] or [ip] 😀"), (1, "mail [email] or [ip] 😀"), (2, "none")]
+
+
+def dense(n):
+    """A text of nothing but spans of several kinds."""
+    return " ".join(f"ab{k}@cd.org" if k % 4 else f"call 10.0.{k % 250}.7 or +49 30 {k:07d}" for k in range(n))
+
+
+def test_a_dense_long_text_by_brute_force(spark):
+    text = dense(12_000)
+    assert len(text) > 190_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = p.find(docs).first()
+    want = plain_spans(text)
+    assert [tuple(b) for b in got.base] == want
+    base = {x for x in want}
+    wide = {(c.kind, c.s, c.e): c for c in got.candidates}
+    assert {k for k, c in wide.items() if c.base} == {k for k in wide if k in base}
+    starts = sorted((s, e) for _, s, e in want)
+    for (_, s, e), c in list(wide.items())[::97]:
+        assert c.touched == any(a < e and s < b for a, b in starts)
+
+
+def test_time_grows_with_the_matches(spark):
+    import time
+
+    took = {}
+    for n in (8_000, 8_000, 16_000, 32_000):
+        docs = spark.createDataFrame([(1, dense(n))], "doc_id long, text string").coalesce(1)
+        start = time.time()
+        assert p.find(docs).selectExpr("size(candidates) as n").first().n > n
+        took[n] = time.time() - start
+    # Four times the matches; a quadratic pass would take sixteen times as long.
+    assert took[32_000] < 8 * took[8_000] + 2
+
+
+def test_running_and_parts(spark):
+    row = spark.range(1).select(
+        p.running(F.array(*map(F.lit, [3, 1, 4, 1, 5, 9, 2])), lambda a, b: a + b).alias("sum"),
+        p.running(F.array(*map(F.lit, [3, 1, 4, 1, 5, 9, 2])), lambda a, b: F.greatest(a, b)).alias("max"),
+        p.running(F.array().cast("array<int>"), lambda a, b: a + b).alias("none"),
+        p.part_of(p.cut_text(F.lit("é😀x" * 300)), F.lit(254), F.lit(5)).alias("part"),
+        p.part_of(p.cut_text(F.lit("abc")), F.lit(3), F.lit(1)).alias("end"),
+    ).first()
+    assert (row["sum"], row["max"], row["none"], row["part"], row["end"]) == ([3, 4, 8, 9, 14, 23, 25], [3, 3, 4, 4, 5, 9, 9], [], ("é😀x" * 300)[254:259], "")

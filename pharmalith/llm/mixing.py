@@ -4,8 +4,9 @@ Targets are shares of the corpus by weight, none above ``max_copies`` times its
 certain whole copies of every document of the source, and one more copy of a sample: every document gets a random
 number from a hash of its id and text, documents are ranked by its odds divided by their inclusion odds (Pareto
 sampling), and the sample is the head of that order that fits into the rest of the target, so its size is fixed, in
-words; two further rounds fill what the first document that did not fit left open. Inclusion odds differ from source to source, and from document to document where a column of
-``appeal`` multiplies them.
+words; two further rounds fill what the first document that did not fit left open (what they leave open stays so). Inclusion odds differ
+from source to source, and from document to document where an ``appeal`` multiplies them: a column, or a function of the size such as
+``by_length``.
 
 Only DataFrame functions are used. The order is never sorted as a whole: ranks fall into ``BUCKETS`` slices per
 source, words per slice are summed, and only the slice in which the target is reached is sorted. The result is a few
@@ -18,6 +19,8 @@ kept as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,20 @@ def random_unit(id_col: Column, text: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def by_length(size: Column) -> Column:
+    """Twice the odds for documents that are neither scraps nor whole books, in words."""
+    return F.when(size.between(50, 5000), F.lit(2.0)).otherwise(F.lit(1.0))
+
+
+Appeal = str | Callable[[Column], Column] | None
+
+
+def _appeal(appeal: Appeal, column: Callable[[str], Column], size: Column) -> Column:
+    if appeal is None:
+        return F.lit(1.0)
+    return appeal(size) if callable(appeal) else column(appeal).cast("double")
+
+
 def pareto_rank(unit: Column, inclusion: Column, appeal: Column | None = None) -> Column:
     """Random odds over inclusion odds; null if there are none."""
     odds = inclusion / (1.0 - inclusion)
@@ -137,17 +154,17 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: int = 42, appeal: str | None = None):
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: int = 42, appeal: Appeal = None):
     """Narrow rows (``doc_id, source, size, unit, appeal``) and one row per source with its target and threshold."""
     tune(docs.sparkSession)
-    rows = with_columns(docs, ["doc_id", "source", "text", *([appeal] if appeal else [])], {})
+    rows = with_columns(docs, ["doc_id", "source", "text", *([appeal] if isinstance(appeal, str) else [])], {})
     sized = through_storage(
         rows.select(
             "doc_id",
             "source",
             word_count(F.col("text")).alias("size"),
             random_unit(F.col("doc_id"), F.col("text"), seed).alias("unit"),
-            (F.col(f"`{appeal}`").cast("double") if appeal else F.lit(1.0)).alias("appeal"),
+            _appeal(appeal, lambda c: F.col(f"`{c}`"), word_count(F.col("text"))).alias("appeal"),
         ),
         "mix",
     )
@@ -176,7 +193,7 @@ def decisions(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = 42, appeal: str | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 42, appeal: Appeal = None, **options) -> DataFrame:
     """The mixed corpus: every row as often as it was drawn, with the columns it came with."""
     _, by_source = plan(docs, seed=seed, appeal=appeal, **options)
     named = by_source.withColumnRenamed("source", "p_source")
@@ -189,13 +206,14 @@ def mix(docs: DataFrame, seed: int = 42, appeal: str | None = None, **options) -
         field("source").alias("m_source"),
         random_unit(field("doc_id"), field("text"), seed).alias("m_unit"),
         word_count(field("text")).alias("m_size"),
-        (field(appeal).cast("double") if appeal else F.lit(1.0)).alias("m_appeal"),
+        _appeal(appeal, field, word_count(field("text"))).alias("m_appeal"),
     )
     joined = placed.join(named, F.col("m_source").eqNullSafe(F.col("p_source")))
     drawn = joined.select(whole, F.explode(F.array_repeat(F.lit(1), copies(F.col("m_unit"), F.col("m_appeal"), F.col("m_size")))).alias("m_copy"))
     return drawn.select(f"{whole}.*")
 
 
+# The mix of ``decisions(documents, appeal=by_length)``.
 ORACLE_SQL = r"""
 with d as (
     select doc_id, source,
@@ -221,30 +239,37 @@ t as (select source, source_size,
 r as (select *, case when source_size > 0 then target / source_size else 0 end as copies from t),
 p as (select *, floor(copies) as whole, copies - floor(copies) as part, target - floor(copies) * source_size as rest from r),
 q as (select d.doc_id, d.size, p.source_size, p.target, p.whole, p.part, p.rest, p.source,
-             case when p.part > 0 then (u / (1 - u)) / (p.part / (1 - p.part)) end as rnk
+             case when p.part > 0 then (u / (1 - u)) / (p.part / (1 - p.part) * case when size between 50 and 5000 then 2.0::double else 1.0::double end) end as rnk
       from d join p on d.source is not distinct from p.source),
-k1 as (select source, rnk, max(rest) as rest, sum(size) as words from q where part > 0 and size <= rest group by source, rnk),
+z as (select source, rest as room1, 0.0::double as start1, 0.0::double as last0 from p),
+k1 as (select q.source, rnk, max(room1) as rest, sum(size) as words
+       from q join z on q.source is not distinct from z.source
+       where part > 0 and rnk > start1 and size <= room1 group by q.source, rnk),
 c1 as (select *, sum(words) over (partition by source order by rnk) as upto from k1),
-l1 as (select p.source, p.rest as room1, coalesce(max(case when upto <= c1.rest then rnk end), 0) as last1,
-              p.rest - coalesce(max(case when upto <= c1.rest then upto end), 0) as room2
-       from p left join c1 on c1.source is not distinct from p.source group by p.source, p.rest),
+l1 as (select z.*, coalesce(max(case when upto <= c1.rest then rnk end), last0) as last1,
+              room1 - coalesce(max(case when upto <= c1.rest then upto end), 0) as room2,
+              coalesce(min(case when upto > c1.rest then rnk end), max(case when upto <= c1.rest then rnk end), start1) as start2
+       from z left join c1 on c1.source is not distinct from z.source group by z.source, room1, start1, last0),
 k2 as (select q.source, rnk, max(room2) as rest, sum(size) as words
        from q join l1 on q.source is not distinct from l1.source
-       where part > 0 and rnk > last1 and size <= room2 group by q.source, rnk),
+       where part > 0 and rnk > start2 and size <= room2 group by q.source, rnk),
 c2 as (select *, sum(words) over (partition by source order by rnk) as upto from k2),
-l2 as (select l1.source, room1, last1, room2, coalesce(max(case when upto <= c2.rest then rnk end), last1) as last2,
-              room2 - coalesce(max(case when upto <= c2.rest then upto end), 0) as room3
-       from l1 left join c2 on c2.source is not distinct from l1.source group by l1.source, room1, last1, room2),
+l2 as (select l1.*, coalesce(max(case when upto <= c2.rest then rnk end), last1) as last2,
+              room2 - coalesce(max(case when upto <= c2.rest then upto end), 0) as room3,
+              coalesce(min(case when upto > c2.rest then rnk end), max(case when upto <= c2.rest then rnk end), start2) as start3
+       from l1 left join c2 on c2.source is not distinct from l1.source group by l1.source, room1, start1, last0, last1, room2, start2),
 k3 as (select q.source, rnk, max(room3) as rest, sum(size) as words
        from q join l2 on q.source is not distinct from l2.source
-       where part > 0 and rnk > last2 and size <= room3 group by q.source, rnk),
+       where part > 0 and rnk > start3 and size <= room3 group by q.source, rnk),
 c3 as (select *, sum(words) over (partition by source order by rnk) as upto from k3),
-l3 as (select l2.source, room1, last1, room2, last2, room3, coalesce(max(case when upto <= c3.rest then rnk end), last2) as last3
-       from l2 left join c3 on c3.source is not distinct from l2.source group by l2.source, room1, last1, room2, last2, room3)
+l3 as (select l2.source, room1, start1, last1, room2, start2, last2, room3, start3,
+              coalesce(max(case when upto <= c3.rest then rnk end), last2) as last3
+       from l2 left join c3 on c3.source is not distinct from l2.source
+       group by l2.source, room1, start1, last1, room2, start2, last2, room3, start3)
 select q.doc_id, q.size::bigint as size, q.source_size, q.target,
-       (q.size * (q.whole + case when q.part > 0 and (rnk <= last1 and size <= room1
-                                                      or rnk > last1 and rnk <= last2 and size <= room2
-                                                      or rnk > last2 and rnk <= last3 and size <= room3)
+       (q.size * (q.whole + case when q.part > 0 and (rnk > start1 and rnk <= last1 and size <= room1
+                                                      or rnk > start2 and rnk <= last2 and size <= room2
+                                                      or rnk > start3 and rnk <= last3 and size <= room3)
                                  then 1 else 0 end))::bigint as taken
 from q join l3 on q.source is not distinct from l3.source
 """

@@ -75,8 +75,8 @@ ORACLES["op3_warc"] = warc_zstd.ORACLE_SQL
 
 @query
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, target of the source and words taken per document."""
-    drawn = mixing.decisions(table(spark, sf_dir, "documents"))
+    """Size, target of the source and words taken per document; documents of middle length have twice the odds."""
+    drawn = mixing.decisions(table(spark, sf_dir, "documents"), appeal=mixing.by_length)
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from pharmalith.llm import mixing as m
@@ -44,7 +45,7 @@ def test_targets_are_met(spark):
 
 
 def test_documents(spark, documents, sf):
-    rows = m.decisions(documents).collect()
+    rows = m.decisions(documents, appeal=m.by_length).collect()
     text = {r.doc_id: r for r in documents.collect()}
     sizes, taken = {}, {}
     for r in rows:
@@ -54,13 +55,31 @@ def test_documents(spark, documents, sf):
     expected = plain_targets(sizes)
     for r in rows:
         assert abs(r.target - expected[r.source]) < 1e-6 and taken[r.source] <= r.target + 1e-6
-    assert sorted(rows) == sorted(m.decisions(documents).collect())
+    assert sorted(rows) == sorted(m.decisions(documents, appeal=m.by_length).collect())
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     sql = con.execute(m.ORACLE_SQL).fetchall()
     assert sorted(sql) == sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in rows)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_sql_follows_the_operator_past_repeated_rows(spark, tmp_path, seed):
+    """A group of repeated rows in a source that is partly sampled, wherever it falls in the order."""
+    rows = [(-1, f"same {seed} " + "w " * (seed * 20), "b")] * 60 + [(k, f"x{k} " * (1 + k % 90), "abc"[k % 3]) for k in range(220)]
+    path = f"{tmp_path}/documents.parquet"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(path)
+    got = [(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in m.decisions(docs, appeal=m.by_length).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/*.parquet'")
+    assert sorted(con.execute(m.ORACLE_SQL).fetchall()) == sorted(got)
+    sums = {}
+    for _, _, _, target, taken in got:
+        sums[target] = sums.get(target, 0) + taken
+    # The group is drawn whole or not at all; its words bound the miss.
+    assert all(0 <= target - taken + 1e-6 <= max(90, 60 * (2 + seed * 20)) for target, taken in sums.items())
+
+
 def test_mixed_rows_follow_the_decisions(spark, documents):
     rows = m.mix(documents)
     assert rows.columns == documents.columns

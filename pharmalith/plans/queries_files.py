@@ -16,14 +16,23 @@ from pharmalith.operators.drugs import dedup_drugs
 from pharmalith.plans.queries_trials import ADVERSE_ORACLE, adverse_requests, reports
 from pharmalith.plans.registry import query
 from pharmalith.session import scratch_path, through_storage
-from pharmalith.sources import delimited, drug_xml, landed_json, tables
+from pharmalith.sources import charsets, delimited, drug_xml, landed_json, tables
 from pharmalith.sources.delimited import Layout, TableSpec
 
 
-def land(t, lines: DataFrame, head: list[str], folder: str, tail: list[str] = (), single_byte: bool = False) -> str:
-    """Write one-column ``lines`` as text files, ``head`` in the first and ``tail`` in the last."""
+def land(
+    t, lines: DataFrame, head: list[str], folder: str, tail: list[str] = (), single_byte: bool = False, everywhere: bool = False
+) -> str:
+    """Write one-column ``lines`` as text files, ``head`` in the first (or at the head of each, ``everywhere``) and ``tail`` in the last."""
     path = f"{scratch_path(t.spark, 'landed')}/{folder}"
     column = lines.columns[0]
+    if everywhere:
+        # The head joins the lines of each task and is sorted before them.
+        files = lines.withColumn("_file", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+        n = lines.rdd.getNumPartitions()
+        heads = t.spark.range(n).select(F.explode(F.array(*map(F.lit, head))).alias(column), F.col("id").cast("int").alias("_file"), (F.monotonically_increasing_id() - (1 << 60)).alias("_row"))
+        files.unionByName(heads).repartitionById(n, "_file").sortWithinPartitions("_row").select(column).write.text(path)
+        return path
     for part, first in ((head, True), (tail, False)):
         if part:
             extra = t.spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, part))).alias(column))
@@ -90,6 +99,44 @@ def src_charset(t):
     )
 
 
+# What only some charsets have, to tell them apart.
+_SIGNS = {"UTF-8": " è già", "ISO-8859-1": " è già", "windows-1252": " l’unità – 5 €", "UTF-16LE": " Ω"}
+
+
+def _write_encoded(lines: DataFrame, charset: str, path: str) -> None:
+    """One-column ``lines`` as text files in a charset."""
+    text = F.col(lines.columns[0])
+    if charset in charsets.UTF16:
+        lines.select(F.encode(text, charset).cast("string")).write.options(encoding=charset, lineSep="\n").text(path)
+    elif charset == "UTF-8":
+        lines.write.text(path)
+    else:
+        # One character per byte: what the charset has for a byte becomes the character of that number.
+        bytes_ = F.translate(text, charsets.alphabet(charset), "".join(map(chr, range(128, 256))))
+        lines.select(F.encode(bytes_, "ISO-8859-1").cast("string")).write.text(path)
+
+
+@query(
+    oracle="""
+    select charset, charset as found, c_custkey as codice_aic, concat('qualità più ', c_name, sign) as nota
+    from customer cross join (values ('UTF-8', ' è già'), ('ISO-8859-1', ' è già'), ('windows-1252', ' l’unità – 5 €'), ('UTF-16LE', ' Ω')) as s(charset, sign)"""
+)
+def src_charset_many(t):
+    """Files in four charsets, told apart by their bytes and read as one table."""
+    root = scratch_path(t.spark, "charsets")
+    for charset, sign in _SIGNS.items():
+        lines = t.sql(f"select concat_ws(';', c_custkey, concat('qualità più ', c_name, '{sign}'), '{charset}') as line from {{customer}}")
+        head = t.spark.range(0, 1, 1, 1).select(F.lit("AIC;Nota;Scritto").alias("line"))
+        _write_encoded(head.union(lines), charset, f"{root}/{charset}")
+    folders = [f"{root}/{charset}" for charset in _SIGNS]
+    folder = F.element_at(F.split("file", "/"), -2).alias("scritto")
+    # A file of a few short lines may hold nothing that tells; a folder takes what most of its lines say.
+    files = delimited.detect_charsets(t.spark, folders, threshold=None).select(folder, "charset", "n_lines")
+    found = files.groupBy("scritto").agg(F.max_by("charset", "n_lines").alias("found"))
+    rows = delimited.clean_table(delimited.read_delimited(t.spark, folders).rows)
+    return rows.join(found, "scritto").select(F.col("scritto").alias("charset"), "found", "codice_aic", "nota")
+
+
 @query(oracle="select p_partkey as codice_aic, p_name as farmaco, p_brand as ditta from part")
 def src_csv_header_repair(t):
     """A list with a quoted, padded header and rows wider than it."""

@@ -201,11 +201,15 @@ def profile_build(t):
     return t.spark.read.parquet(f"{folder}/profile.parquet").drop("file")
 
 
-@query(oracle="select concat('n ', cast(n_nationkey as varchar), ' ', n_name) as value from nation")
+@query(
+    oracle="""
+    select concat('c ', lpad(cast(c_custkey as varchar), 9, '0'), ' ', c_name) as value from customer order by c_custkey limit 50"""
+)
 def text_head(t):
-    """The first fifty lines of a small text file."""
+    """The first fifty lines of a text file written in order by many tasks."""
     path = scratch_path(t.spark, "text")
-    t.sql("select concat('n ', n_nationkey, ' ', n_name) as line from {nation}").coalesce(1).write.text(path)
+    lines = t.sql("select c_custkey, concat('c ', lpad(cast(c_custkey as string), 9, '0'), ' ', c_name) as line from {customer}")
+    lines.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select("line").write.text(path)
     return delimited.text_head(t.spark, path, 50)
 
 
@@ -233,14 +237,14 @@ def src_csv_preamble_repeat(t):
 )
 def src_csv_header_order(t):
     """Files of one folder with the same columns in another order."""
-    path = scratch_path(t.spark, "ordine")
-    for folder, head, sql in (
-        ("a", "AIC;Nome;Nota", "select concat_ws(';', c_custkey, c_name, c_mktsegment) as line from {customer}"),
-        ("b", "Nota;AIC;Nome", "select concat_ws(';', 'fornitore', s_suppkey, s_name) as line from {supplier}"),
-    ):
-        lines = t.spark.range(1).select(F.lit(head).alias("line")).unionByName(t.sql(sql)).coalesce(1)
-        lines.write.text(f"{path}/{folder}")
-    landed = delimited.read_delimited(t.spark, [f"{path}/a", f"{path}/b"])
+    folders = [
+        land(t, t.sql(sql), [head], folder, everywhere=True)
+        for folder, head, sql in (
+            ("a", "AIC;Nome;Nota", "select concat_ws(';', c_custkey, c_name, c_mktsegment) as line from {customer}"),
+            ("b", "Nota;AIC;Nome", "select concat_ws(';', 'fornitore', s_suppkey, s_name) as line from {supplier}"),
+        )
+    ]
+    landed = delimited.read_delimited(t.spark, folders)
     return delimited.clean_table(landed.rows)
 
 

@@ -11,6 +11,7 @@ import logging
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,14 +20,12 @@ from pyspark.sql import functions as F
 from pharmalith.functions.text import HEADER_DROPPED_PLAIN, KEY_NAME, clean_headers, is_price_column, number, price
 from pharmalith.schemas import MISSING_TEXTS
 from pharmalith.session import through_storage
-from pharmalith.sources import spanning
+from pharmalith.sources import charsets, spanning
+from pharmalith.sources.charsets import SINGLE_BYTE, UTF8
 
 log = logging.getLogger(__name__)
 
-# The charsets, the candidate separators in the order they are tried, and
-# the confidence a charset guess must exceed.
-UTF8 = "UTF-8"
-SINGLE_BYTE = "ISO-8859-1"
+# The candidate separators in the order they are tried, and the confidence a charset guess must exceed.
 SEPARATORS = (",", ";")
 CONFIDENCE = 0.7
 
@@ -57,9 +56,13 @@ class Landed:
     rejects: DataFrame
 
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
-    """Undecoded lines with the file they come from and their order in it (``start``, ``place``)."""
-    return spark.read.text(path).select(
+def read_lines(spark: SparkSession, path, charset: str | None = None) -> DataFrame:
+    """Undecoded lines with the file they come from and their order in it (``start``, ``place``).
+
+    ``charset`` names a charset of two bytes a character, whose line breaks are two bytes as well.
+    """
+    reader = spark.read.option("encoding", charset).option("lineSep", "\n") if charset else spark.read
+    return reader.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -76,6 +79,8 @@ def file_evidence(spark: SparkSession, path) -> DataFrame:
     valid = F.is_valid_utf8(value)
     return read_lines(spark, path).groupBy("file").agg(
         F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.octet_length(value)).alias("n_bytes"),
+        F.sum(F.when(F.contains(value, F.lit("\0")), F.octet_length(value) - F.octet_length(F.replace(value, F.lit("\0")))).otherwise(0)).alias("n_zeros"),
         F.bool_and(valid).alias("valid"),
         F.sum(F.when(valid, beyond).otherwise(0)).cast("bigint").alias("n_beyond_ascii"),
         F.min_by("value", F.struct("start", "place")).alias("first_line"),
@@ -94,36 +99,81 @@ def detect_charsets(spark: SparkSession, path, threshold: float | None = CONFIDE
     """Charset of each file, from all of its bytes.
 
     Text that is valid UTF-8 gains confidence with every character beyond ASCII; up to
-    ``threshold`` the file is taken as single-byte. None accepts any valid UTF-8.
+    ``threshold`` the file is taken as single-byte. None accepts any valid UTF-8. Of the single-byte charsets the one
+    whose characters fit best is taken, if the confidence in it exceeds the threshold too, else the first.
     """
-    seen = file_evidence(spark, path).withColumn(
-        "confidence", F.when(F.col("valid"), _trust(F.col("n_beyond_ascii"))).otherwise(F.lit(0.73))
+    return _with_charsets(spark, path, through_storage(file_evidence(spark, path), "files"), threshold)
+
+
+def _with_charsets(spark: SparkSession, path, files: DataFrame, threshold: float | None) -> DataFrame:
+    """The evidence of files with ``charset`` and ``confidence``; only files that are neither UTF-8 nor two-byte are read again."""
+    wide = charsets.two_byte_charset(F.col("first_line"), F.col("n_zeros"), F.col("n_bytes"))
+    seen = files.withColumn("wide", wide).withColumn("trust", F.when(F.col("valid"), _trust(F.col("n_beyond_ascii"))))
+    enough = F.lit(True) if threshold is None else F.col("trust") > threshold
+    other = seen.filter("wide is null and not valid").select("file")
+    if other.isEmpty():
+        scored = spark.createDataFrame([], "file string, single string, fit double")
+    else:
+        scores = charsets.pair_scores(spark, read_lines(spark, path).join(other, "file", "left_semi"))
+        scored = through_storage(charsets.best_single_byte(scores).toDF("file", "single", "fit"), "charsets")
+    guess = F.col("single") if threshold is None else F.when(F.col("fit") > threshold, F.col("single"))
+    charset = (
+        F.when(F.col("wide").isNotNull(), F.col("wide"))
+        .when(F.col("valid") & enough, F.lit(UTF8))
+        .otherwise(F.coalesce(guess, F.lit(SINGLE_BYTE)))
     )
-    enough = F.lit(True) if threshold is None else F.col("confidence") > threshold
-    charset = F.when(F.col("valid") & enough, F.lit(UTF8)).otherwise(F.lit(SINGLE_BYTE))
-    return seen.withColumn("charset", charset)
+    confidence = F.when(F.col("wide").isNotNull(), F.lit(0.99)).otherwise(F.coalesce("trust", "fit", F.lit(0.73)))
+    found = seen.join(scored, "file", "left").withColumn("charset", charset).withColumn("confidence", confidence)
+    return found.drop("wide", "trust", "single", "fit")
 
 
-def single_byte_rule(files: DataFrame, layout: Layout) -> bool | Column:
-    """Whether all files of a table are single-byte text, or a column on ``files`` (their evidence) that tells which are.
+def file_charsets(spark: SparkSession, path, files: DataFrame, layout: Layout) -> DataFrame:
+    """``file, charset`` of a table's files.
 
-    The files of one table share their evidence, as some may hold few characters beyond
-    ASCII or none.
+    The files of one table share their evidence for UTF-8, as some may hold few characters beyond
+    ASCII or none; without enough of it in all of them, all are single-byte text.
     """
     if layout.charset != "auto":
-        return layout.charset.upper() != UTF8
-    n_single, n_beyond = files.agg(F.count_if(~F.col("valid")), F.coalesce(F.sum("n_beyond_ascii"), F.lit(0))).first()
+        return files.select("file", F.lit(layout.charset.upper()).alias("charset"))
+    found = _with_charsets(spark, path, files, layout.threshold)
+    two_byte = F.col("charset").isin(*charsets.UTF16)
+    n_single, n_beyond = files.join(found.filter(two_byte).select("file"), "file", "left_anti").agg(
+        F.count_if(~F.col("valid")), F.coalesce(F.sum("n_beyond_ascii"), F.lit(0))
+    ).first()
     trusted = layout.threshold is None or _trust(n_beyond) > layout.threshold
     if n_single == 0:
-        return not trusted
-    return True if n_beyond == 0 or not trusted else ~F.col("valid")
-
-
-def decode_line(value: Column, single_byte: bool | Column) -> Column:
-    if single_byte is False:
-        return value
-    decoded = F.decode(value.cast("binary"), SINGLE_BYTE)
-    return decoded if single_byte is True else F.when(single_byte, decoded).otherwise(value)
+        plain = F.lit(UTF8 if trusted else SINGLE_BYTE)
+    elif n_beyond == 0 or not trusted:
+        plain = F.lit(SINGLE_BYTE)
+    else:
+        plain = F.lit(UTF8)
+    charset = F.when(two_byte | ~F.col("valid"), F.col("charset")).otherwise(plain)
+    return through_storage(found.select("file", charset.alias("charset")), "file-charsets")
+
+
+def decoded_lines(spark: SparkSession, path, found: DataFrame) -> DataFrame:
+    """Lines of all files (``file, start, place, line``) by the charsets found."""
+    kinds = [r.charset for r in found.select("charset").distinct().collect()]
+    parts = []
+    for charset in kinds:
+        if charset in charsets.UTF16:
+            wide = read_lines(spark, path, charset)
+            text = charsets.two_byte_text(F.col("value"), charset)
+            if len(kinds) > 1:
+                # A condition on both sides, so that no filter decodes the lines of other files.
+                wide = wide.join(found, "file").filter(F.col("charset") == charset)
+                text = F.when(F.col("charset") == charset, text)
+            parts.append(wide.withColumn("line", text))
+    narrow = [c for c in kinds if c not in charsets.UTF16]
+    if narrow:
+        raw = read_lines(spark, path)
+        if len(kinds) == 1:
+            parts.append(raw.withColumn("line", charsets.text_of(F.col("value"), F.lit(narrow[0]))))
+        else:
+            # One row per file; small beside the lines, so Spark sends it to them.
+            joined = raw.join(found.filter(F.col("charset").isin(narrow)), "file")
+            parts.append(joined.withColumn("line", charsets.text_of(F.col("value"), F.col("charset"))))
+    return reduce(DataFrame.unionByName, [p.select("file", "start", "place", "line") for p in parts])
 
 
 def count_fields(line: Column, sep: str) -> Column:
@@ -160,8 +210,12 @@ def column_names(fields: list[str]) -> list[str]:
 
 
 def text_head(spark: SparkSession, path, n: int = 50) -> DataFrame:
-    """The first ``n`` lines of a file; bytes that are not UTF-8 are dropped."""
-    return spark.read.text(path).limit(n).select(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd")).alias("value"))
+    """The first ``n`` lines of a file, or of the files of a folder by name; bytes that are not UTF-8 are dropped."""
+    lines = read_lines(spark, path)
+    if len(spark.read.text(path).inputFiles()) > 1:
+        # Every task keeps its first lines only.
+        lines = lines.orderBy("file", "start", "place")
+    return lines.limit(n).select(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd")).alias("value"))
 
 
 def _quoted(sep: str) -> tuple[str, str]:
@@ -197,26 +251,24 @@ def _joined_head(lines: list[str], sep: str) -> list[str]:
     return records
 
 
-def _as_column(rule: bool | Column) -> Column:
-    return F.lit(rule) if isinstance(rule, bool) else rule
-
-
-def _first_lines(spark: SparkSession, layout: Layout, files: DataFrame, rule: bool | Column) -> list[str]:
+def _first_lines(spark: SparkSession, layout: Layout, found: DataFrame) -> list[str]:
     """Preamble, header and first data line of the first files by name: the names depend on
     them. Later files may repeat what stands above the data."""
-    above, found = layout.preamble + 1, []
-    named = files.select("file", _as_column(rule).alias("latin")).orderBy("file")
-    for file, latin in named.toLocalIterator():
-        decoded = spark.read.text(file).select(decode_line(F.col("value"), latin))
+    above, known = layout.preamble + 1, []
+    for file, charset in found.select("file", "charset").orderBy("file").toLocalIterator():
+        wide = charset if charset in charsets.UTF16 else None
+        decoded = read_lines(spark, file, wide).select(
+            charsets.two_byte_text(F.col("value"), wide) if wide else charsets.text_of(F.col("value"), F.lit(charset))
+        )
         head = [r[0] for r in decoded.limit(above + 1).collect()]
         if layout.quoted_newlines:
             head = _first_records(decoded, head, layout, above + 1)
-        found += [line for line in head if line not in found[:above]] if len(found) >= above else head
-        if len(found) > above:
+        known += [line for line in head if line not in known[:above]] if len(known) >= above else head
+        if len(known) > above:
             break
-    if len(found) < above:
+    if len(known) < above:
         raise ValueError("no header line in the files")
-    return found[: above + 1]
+    return known[: above + 1]
 
 
 def _first_records(decoded: DataFrame, lines: list[str], layout: Layout, n: int) -> list[str]:
@@ -264,20 +316,15 @@ def read_delimited(spark: SparkSession, path, layout: Layout = Layout()) -> Land
     head stay, as often as they occur beyond it.
     """
     files = through_storage(file_evidence(spark, path), "files")
-    rule = single_byte_rule(files, layout)
-    lines = _first_lines(spark, layout, files, rule)
+    found = file_charsets(spark, path, files, layout)
+    lines = _first_lines(spark, layout, found)
     above, data = lines[: layout.preamble + 1], lines[layout.preamble + 1 :]
     sep = layout.sep or sniff_separator(above[-1])
     header = header_fields(above[-1], sep, layout.repair_header)
     width = len(header)
     if layout.repair_header and data:
         width = max(width, len(header_fields(data[0], sep)))
-    raw = read_lines(spark, path)
-    if not isinstance(rule, bool):
-        # One row per file; small beside the lines, so Spark sends it to them.
-        raw = raw.join(files.select("file", rule.alias("latin")), "file")
-        rule = F.col("latin")
-    decoded = raw.withColumn("line", decode_line(F.col("value"), rule)).select("file", "start", "place", "line")
+    decoded = decoded_lines(spark, path, found)
     unfinished = None
     if layout.quoted_newlines:
         records = whole_records(decoded, sep)

@@ -49,8 +49,8 @@ class Studies:
     sites: DataFrame
     conditions: DataFrame
     interventions: DataFrame
-    pages: DataFrame
-    rejects: DataFrame
+    pages: DataFrame | None = None
+    rejects: DataFrame | None = None
 
 
 @dataclass(frozen=True)

@@ -164,8 +164,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int
             "source",
             word_count(F.col("text")).alias("size"),
             random_unit(F.col("doc_id"), F.col("text"), seed).alias("unit"),
-            _appeal(appeal, lambda c: F.col(f"`{c}`"), word_count(F.col("text"))).alias("appeal"),
-        ),
+            *([F.col(f"`{appeal}`")] if isinstance(appeal, str) else []),
+        ).select("doc_id", "source", "size", "unit", _appeal(appeal, lambda c: F.col(f"`{c}`"), F.col("size")).alias("appeal")),
         "mix",
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -206,8 +206,7 @@ def mix(docs: DataFrame, seed: int = 42, appeal: Appeal = None, **options) -> Da
         field("source").alias("m_source"),
         random_unit(field("doc_id"), field("text"), seed).alias("m_unit"),
         word_count(field("text")).alias("m_size"),
-        _appeal(appeal, field, word_count(field("text"))).alias("m_appeal"),
-    )
+    ).withColumn("m_appeal", _appeal(appeal, field, F.col("m_size")))
     joined = placed.join(named, F.col("m_source").eqNullSafe(F.col("p_source")))
     drawn = joined.select(whole, F.explode(F.array_repeat(F.lit(1), copies(F.col("m_unit"), F.col("m_appeal"), F.col("m_size")))).alias("m_copy"))
     return drawn.select(f"{whole}.*")

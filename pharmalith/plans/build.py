@@ -13,6 +13,7 @@ from pharmalith.operators.packs import unified_view
 from pharmalith.operators.quality import head_rows, profile_columns
 from pharmalith.sources.delimited import Layout, exists, read_delimited, read_register
 from pharmalith.sources.drug_xml import NESTED_PATHS, drug_relations, read_records
+from pharmalith.sources.generations import Generation, publish, read, staged
 from pharmalith.sources.tables import create_view, write_relations
 
 VIEW = "farmaci_completi"
@@ -47,6 +48,25 @@ def build_register(
     return counts
 
 
+def rebuild_register(spark: SparkSession, paths: Mapping[str, str], root: str, view: bool = True) -> Generation:
+    """The same build as a generation below ``root``: readers see all of it once it is done, and the build before it until then."""
+    name, folder = staged(root)
+    register = read_register(spark, paths)
+    counts = write_relations(register.tables, folder)
+    rejected = write_relations({f"{n}{REJECTS}": df for n, df in register.rejects.items()}, folder)
+    _warn(rejected)
+    done = publish(spark, root, name, counts | rejected)
+    if view and "farmaci_anagrafica" in counts:
+        register_view(read(spark, root, list(counts), done.number))
+    return done
+
+
+def rebuild_drugs(spark: SparkSession, path: str, root: str, nested_paths: tuple[str, ...] = NESTED_PATHS) -> Generation:
+    """The drug relations as a generation below ``root``."""
+    name, folder = staged(root)
+    return publish(spark, root, name, build_drugs(spark, path, folder, nested_paths))
+
+
 def _warn(rejected: Mapping[str, int]) -> None:
     for name, n in rejected.items():
         if n:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pharmalith.operators import drugs, quality
+from pharmalith.operators.text_index import TextIndex
 from pharmalith.plans.registry import query
+from pharmalith.session import scratch_path
 
 
 @query(oracle="select * from drugs")
@@ -114,6 +116,27 @@ def synonym_contains(t):
     return drugs.synonyms_like(t.synonyms, "red|s.a")
 
 
+# A pattern per name of two words: its ends, either of its words, and the second word with a sign that may be missing.
+_PATTERNS = """
+    select concat('ends ', p_name) as request_id, concat('^', substr(p_name, 1, 3), '.*', substr(p_name, length(p_name) - 2, 3), '$') as pattern
+    from {part} group by p_name
+    union all select concat('either ', p_type), concat(lower(p_type), '|', 'wid.et') from {part} group by p_type
+    union all select concat('second ', p_name), concat('\\\\s', substr(p_name, length(p_name) - 3, 4), 's?$') from {part} group by p_name
+    union all select 'short', 'r.d'"""
+
+
+@query(
+    oracle=f"""
+    select r.request_id, r.pattern, s.drugbank_id, s.synonym from ({_PATTERNS.format(part="part").replace(chr(92) * 2, chr(92))}) r
+    join synonyms s on regexp_matches(lower(s.synonym), r.pattern)"""
+)
+def synonym_patterns(t):
+    """A table of patterns, each looked up by the texts that its matches must hold."""
+    index = TextIndex(t.spark, scratch_path(t.spark, "synonym-index"), "synonym")
+    index.add("synonyms", t.synonyms)
+    return index.search_patterns(t.sql(_PATTERNS), "pattern")
+
+
 _BRIDGE = """
     select c.atc_code, p.denominazione as nome_farmaco_aifa, d.name as principio_attivo_drugbank
     from atc_codes c join drugs d on c.drugbank_id = d.drugbank_id

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pharmalith.operators import packs, quality
+from pharmalith.operators.text_index import TextIndex
 from pharmalith.plans.registry import query
+from pharmalith.session import scratch_path
 
 OWN_CLASS = "classe_di_rimborsabilita"
 
@@ -206,6 +208,31 @@ def pack_search_many(t):
     return packs.search(t.sql(_MANY_TERMS), view, term="query")
 
 
+def _pack_index(t) -> TextIndex:
+    """Packs indexed in two batches, one of which is delivered twice and a third that is withdrawn again."""
+    view = t.view("v_farmaci_anagrafica").select("codice_aic", "denominazione")
+    index = TextIndex(t.spark, scratch_path(t.spark, "pack-index"), "denominazione")
+    index.add("even", view.filter("codice_aic % 2 = 0"))
+    index.add("odd", view)
+    index.add("again", view)
+    index.add("odd", view.filter("codice_aic % 2 <> 0"))
+    index.remove("again")
+    return index
+
+
+@query(
+    oracle=f"""
+    select r.request_id, r.query, v.codice_aic, v.denominazione
+    from ({_MANY_TERMS.format(customer="customer", part="part", supplier="supplier")}
+          union all select 5000000000000 + request_id, name from r_brands) r
+    join v_farmaci_anagrafica v on lower(v.denominazione) like concat('%', lower(r.query), '%')"""
+)
+def pack_search_indexed(t):
+    """The same search, and that of all brands, in a stored index that is kept by batch."""
+    brands = t.view("r_brands").select(F.col("request_id") + 5000000000000, "name")
+    return _pack_index(t).search(t.sql(_MANY_TERMS).union(brands), "query")
+
+
 @query(
     oracle=f"""
     with names as (select denominazione from ({_VIEW}))

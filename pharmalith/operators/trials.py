@@ -60,13 +60,7 @@ def matching_studies(
     """
     if match not in ("contains", "exact"):
         raise ValueError(f"match is 'contains' or 'exact', not {match!r}")
-    usable = studies.filter(F.col(STUDY).isNotNull())
-    if status is not None:
-        usable = usable.filter(F.col("overall_status") == status)
-    usable = usable.select(STUDY)
-    if sites is not None:
-        usable = usable.join(sites.filter(F.col("country") == country).select(STUDY), STUDY, "left_semi")
-    usable = through_storage(usable.distinct(), "usable-studies")
+    usable = through_storage(_usable(studies, sites, country, status), "usable-studies")
     # Each relation is read once and kept as distinct pairs of usable studies.
     treated = through_storage(
         interventions.select(STUDY, F.col("intervention").alias("value")).join(usable, STUDY, "left_semi").distinct(), "treated"
@@ -105,6 +99,64 @@ def matching_studies(
     return one.union(both).union(by_illness).distinct()
 
 
+def _usable(studies: DataFrame, sites: DataFrame | None, country: str, status: str | None) -> DataFrame:
+    """Ids of the studies that may be found."""
+    usable = studies.filter(F.col(STUDY).isNotNull())
+    if status is not None:
+        usable = usable.filter(F.col("overall_status") == status)
+    usable = usable.select(STUDY)
+    if sites is not None:
+        usable = usable.join(sites.filter(F.col("country") == country).select(STUDY), STUDY, "left_semi")
+    return usable.distinct()
+
+
+def _bits_of_terms(terms: DataFrame, relation: DataFrame, numbered: DataFrame, match: str) -> DataFrame:
+    """``term, block, bits``: the studies that have a value a term asks for, as bits of blocks of study numbers.
+
+    Studies are gathered per value, of the values some term asks for, and then per term; pairs of terms and studies are never made.
+    """
+    pairs = _pairs(terms, relation.select("value"), match)
+    held = relation.join(pairs.select("value").distinct(), "value", "left_semi").join(numbered, STUDY)
+    blocks = held.groupBy("value", F.bitmap_bucket_number("number").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    )
+    return pairs.join(blocks, "value").groupBy("term", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def count_studies(
+    requests: DataFrame,
+    studies: DataFrame,
+    conditions: DataFrame,
+    interventions: DataFrame,
+    sites: DataFrame | None = None,
+    country: str = COUNTRY,
+    status: str | None = RECRUITING,
+    match: str = "contains",
+) -> DataFrame:
+    """``request_id, n_studies``: how many studies ``matching_studies`` finds, zero included. ``request_id`` must be unique.
+
+    Counted from sets of study numbers per term; a question for both takes what the two sets share.
+    """
+    if match not in ("contains", "exact"):
+        raise ValueError(f"match is 'contains' or 'exact', not {match!r}")
+    usable = _usable(studies, sites, country, status)
+    numbered = through_storage(usable.withColumn("number", F.monotonically_increasing_id()), "numbered-studies")
+    asked = requests.select("request_id", F.nullif("intervention", F.lit("")).alias("_drug"), F.nullif("condition", F.lit("")).alias("_illness"))
+    asked = asked.filter("_drug is not null or _illness is not null")
+    sides = []
+    for column, relation, value in (("_drug", interventions, "intervention"), ("_illness", conditions, "condition")):
+        named = relation.select(STUDY, F.col(value).alias("value"))
+        bits = _bits_of_terms(asked.filter(F.col(column).isNotNull()).select(column), named, numbered, match)
+        both = F.col("_drug").isNotNull() & F.col("_illness").isNotNull()
+        sides.append(asked.withColumn("_both", both).join(bits.withColumnRenamed("term", column), column).select("request_id", "_both", "block", "bits"))
+    found = sides[0].unionByName(sides[1]).groupBy("request_id", "_both", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.bitmap_count(F.bitmap_and_agg("bits")).alias("n_studies")
+    )
+    # A block of a question for both counts if both sides have it.
+    counted = found.filter("not _both or n = 2").groupBy("request_id").agg(F.sum("n_studies").alias("n_studies"))
+    return requests.join(counted, "request_id", "left").select("request_id", F.coalesce("n_studies", F.lit(0)).alias("n_studies"))
+
+
 def latest(hits: DataFrame, studies: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` most recently updated studies of each request, with their details."""
     described = studies.select(

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pharmalith.operators import drugs, packs, quality, trials
 from pharmalith.plans.build import VIEW, build_profile, build_register, register_view
 from pharmalith.plans.queries_files import _pack_file, land
-from pharmalith.plans.queries_packs import _VIEW, OWN_CLASS, _parts
+from pharmalith.plans.queries_packs import _FOUND, _VIEW, OWN_CLASS, _parts
 from pharmalith.plans.queries_trials import HOME, _studies, reports
 from pharmalith.plans.registry import ORACLES, query
 from pharmalith.plans.tools import Tools
 from pharmalith.session import scratch_path
-from pharmalith.sources import delimited, tables
+from pharmalith.sources import catalog, delimited, generations, tables
 from pharmalith.sources.delimited import Layout, TableSpec
 from pharmalith.sources.landed_json import Studies
 
@@ -301,3 +305,106 @@ def result_rules(t):
 def ingredient_counts_ordered(t):
     """Packs by their number of ingredients."""
     return quality.most_ingredients_first(quality.ingredient_counts(t.view("v_principi_attivi")))
+
+
+_STORED = "farmaci_anagrafica principi_attivi farmaci_equivalenti classe_a classe_h farmaci_carenti".split()
+
+
+def _database(t) -> str:
+    """A database of its own with the register and the drug relations as tables over stored files."""
+    folder = scratch_path(t.spark, "tables")
+    relations = {n: t.view(f"v_{n}") for n in _STORED}
+    relations |= {"drugs": t.drugs, "interactions": t.interactions, "synonyms": t.synonyms, "atc_codes": t.atc_codes}
+    tables.write_relations(relations, folder)
+    name = f"pharma_{folder[-12:]}"
+    t.spark.sql(f"create database `{name}` location '{folder}/database'")
+    catalog.register_relations(t.spark, name, {n: f"{folder}/{n}.parquet" for n in relations})
+    catalog.create_register_view(t.spark, name, class_column=OWN_CLASS)
+    return name
+
+
+@query(oracle=_VIEW)
+def view_permanent(t):
+    """The unified view as the catalog keeps it, read from a second session."""
+    return t.spark.newSession().table(f"{_database(t)}.{catalog.VIEW}")
+
+
+@query(
+    oracle=f"""
+    select 'status' as question, name as request, stato_generale as a, null::varchar as b, n_attive as n, n_carenti as m from (
+        select nome_ricercato as name, count(*) filter (where not is_carente) as n_attive, count(*) filter (where is_carente) as n_carenti,
+               case when bool_and(is_carente) then 'Ritirato / Non Disponibile'
+                    when bool_or(is_carente) then 'Parzialmente Carente (alcune confezioni disponibili, altre no)' else 'Disponibile' end as stato_generale
+        from ({_FOUND}) group by nome_ricercato)
+    union all
+    select 'generics', name, denominazione_farmaco, azienda, codice_aic, cast(round(prezzo_pubblico * 100) as bigint) from ({ORACLES['pack_generics']})
+    union all
+    select 'interactions', n_name, source_drug_id, target_drug_id, null, null from nation join interactions
+        on source_drug_id in (concat('DB', n_nationkey), concat('DB', n_nationkey + 1), concat('DB', n_nationkey + 2))
+        and target_drug_id in (concat('DB', n_nationkey), concat('DB', n_nationkey + 1), concat('DB', n_nationkey + 2))
+        join drugs x on x.drugbank_id = source_drug_id join drugs y on y.drugbank_id = target_drug_id"""
+)
+def tool_sql(t):
+    """Status, generics and interactions as table functions in SQL, for whole tables of questions."""
+    name = _database(t)
+    catalog.create_functions(t.spark, name)
+    # Table functions are called by their plain names, so the database is the current one of a session of its own.
+    session = t.spark.newSession()
+    session.sql(f"use `{name}`")
+    brands = t.view("r_brands").select("name")
+    lists = t.sql("select n_name, array(concat('DB', n_nationkey), concat('DB', n_nationkey + 1), concat('DB', n_nationkey + 2)) as ids from {nation}")
+    for df, asked in ((brands, "brands"), (lists, "lists")):
+        path = scratch_path(t.spark, asked)
+        df.write.parquet(path)
+        session.read.parquet(path).createOrReplaceTempView(asked)
+    return session.sql(
+        """select 'status' as question, b.name as request, s.stato_generale as a, cast(null as string) as b, s.n_attive as n, s.n_carenti as m
+           from brands b, lateral drug_status(b.name) s
+           union all
+           select 'generics', b.name, g.denominazione_farmaco, g.azienda, g.codice_aic, cast(round(g.prezzo_pubblico * 100) as bigint)
+           from brands b, lateral drug_generics(b.name) g
+           union all
+           select 'interactions', l.n_name, i.source_drug_id, i.target_drug_id, cast(null as bigint), cast(null as bigint)
+           from lists l, lateral drug_interactions(l.ids) i"""
+    )
+
+
+@query(
+    oracle="""
+    select relation, kind, count(*) as n_columns from (values
+        ('drugs', 'EXTERNAL', 5), ('interactions', 'EXTERNAL', 3), ('synonyms', 'EXTERNAL', 2), ('atc_codes', 'EXTERNAL', 2), ('classe_a', 'EXTERNAL', 1),
+        ('classe_h', 'EXTERNAL', 1), ('farmaci_anagrafica', 'EXTERNAL', 4), ('farmaci_carenti', 'EXTERNAL', 4), ('farmaci_equivalenti', 'EXTERNAL', 5),
+        ('principi_attivi', 'EXTERNAL', 4), ('farmaci_completi', 'VIEW', 8)) v(relation, kind, n), range(1, 9) r(k) where k <= n group by relation, kind"""
+)
+def catalog_listing(t):
+    """Tables and views of a database with the number of their columns."""
+    return catalog.listing(t.spark, _database(t)).groupBy("relation", "kind").agg(F.count(F.lit(1)).alias("n_columns"))
+
+
+@query(
+    oracle="""
+    select 1 as generation, 'v_farmaci_anagrafica' as relation, count(*) as n_rows from part
+    union all select 1, 'v_classe_a', count(*) from part where p_size <= 15
+    union all select 2, 'v_farmaci_anagrafica', count(*) from part where p_size > 10
+    union all select 2, 'v_classe_a', count(*) from part where p_size between 11 and 15"""
+)
+def build_atomic(t):
+    """What readers see of a build after the next one broke off half-way, and after one that ended."""
+    root = scratch_path(t.spark, "generations")
+    first = {n: t.view(n) for n in ("v_farmaci_anagrafica", "v_classe_a")}
+    generations.build(t.spark, root, first)
+    torn = {**first, "v_classe_a": first["v_classe_a"].withColumn("torn", F.expr("raise_error(cast(codice_aic as string))"))}
+    try:
+        generations.build(t.spark, root, torn)
+    except PySparkException:
+        pass
+    seen = [(1, generations.read(t.spark, root))]
+    kept = t.table("part").filter("p_size > 10").select(F.col("p_partkey").alias("codice_aic"))
+    generations.build(t.spark, root, {n: df.join(kept, "codice_aic", "left_semi") for n, df in first.items()})
+    seen.append((2, generations.read(t.spark, root)))
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("generation"), F.lit(n).alias("relation"), "n_rows")
+        for k, relations in seen
+        for n, df in relations.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -96,7 +96,9 @@ def trials_recruiting_cities(t):
 )
 def trials_total(t):
     """Recruiting studies of each request in any country."""
-    return trials.total_studies(t.view("r_conditions"), _hits(t, country=None))
+    studies = _studies(t)
+    conditions = studies.select("nct_id", F.col("condition_name").alias("condition"))
+    return trials.count_studies(t.view("r_conditions"), studies, conditions, t.view("v_study_interventions"))
 
 
 _SITES = """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pharmalith.functions.text import present
+from pharmalith.functions.text import found_in, present
 from pharmalith.operators.joins import left_join
 from pharmalith.operators.matching import match_contains
 from pharmalith.schemas import (
@@ -23,6 +23,8 @@ from pharmalith.session import through_storage
 
 KEY = "codice_aic"
 NARROW_ROWS = 100_000
+# Keys of one question that are listed in a filter.
+FEW_KEYS = 1000
 _CHUNK = 4096
 
 
@@ -33,18 +35,24 @@ def unified_view(
     shortages: DataFrame | None = None,
     class_column: str = "classe_di_rimborsabilità",
     dedupe_right: bool = False,
+    colocated: bool = False,
 ) -> DataFrame:
     """Packs with reimbursement class and shortage status.
 
     A pack that is listed twice on the right comes out twice, as in a plain left join;
     ``dedupe_right`` keeps one class entry per pack instead. A table that is not there is
-    passed as None.
+    passed as None. ``colocated``: all tables are stored in buckets of the pack key, so that every join is done bucket by bucket
+    without a shuffle; a pack that is short very often then stays in the task of its bucket.
     """
     spark = packs.sparkSession
     if shortages is None:
         shortages = _no_rows(spark, SHORTAGES)
         class_column = "classe_di_rimborsabilità"
-    joined = _with_shortages(packs, shortages, class_column).join(_listings(packs, class_a, class_h), KEY, "left")
+    if colocated:
+        listed = packs.join(_counted(packs, class_a, "_in_a"), KEY, "left").join(_counted(packs, class_h, "_in_h"), KEY, "left")
+        joined = _marked(listed.join(_entries(shortages, class_column), KEY, "left"))
+    else:
+        joined = _with_shortages(packs, shortages, class_column).join(_listings(packs, class_a, class_h), KEY, "left")
     in_a, in_h = (F.coalesce(F.col(n), F.lit(0)) for n in ("_in_a", "_in_h"))
     reimbursement = (
         F.when(in_a > 0, F.lit(CLASS_A))
@@ -70,19 +78,31 @@ def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
     return spark.sql(f"select {columns} where false")
 
 
-def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -> DataFrame:
-    """Packs with their shortage rows; one pack may own a third of all of these."""
-    entries = shortages.select(
+def _entries(shortages: DataFrame, class_column: str) -> DataFrame:
+    return shortages.select(
         KEY,
         F.col(class_column).alias("_own_class"),
         F.lit(True).alias("is_carente"),
         F.col("data_inizio").alias("data_inizio_carenza"),
         F.col("motivazioni").alias("motivazioni_carenza"),
     )
-    joined = left_join(packs, entries, KEY)
+
+
+def _marked(joined: DataFrame) -> DataFrame:
     return joined.withColumn("is_carente", F.coalesce("is_carente", F.lit(False)))
 
 
+def _with_shortages(packs: DataFrame, shortages: DataFrame, class_column: str) -> DataFrame:
+    """Packs with their shortage rows; one pack may own a third of all of these."""
+    return _marked(left_join(packs, _entries(shortages, class_column), KEY))
+
+
+def _counted(packs: DataFrame, listed: DataFrame | None, name: str) -> DataFrame:
+    """How often each pack is on one list."""
+    rows = _no_rows(packs.sparkSession, f"{KEY} bigint") if listed is None else listed
+    return rows.filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias(name))
+
+
 def _listings(packs: DataFrame, class_a: DataFrame | None, class_h: DataFrame | None) -> DataFrame:
     """How often each pack is on the two class lists: one row per pack, one shuffle."""
     spark = packs.sparkSession
@@ -161,6 +181,28 @@ def status_packs(requests: DataFrame, packs: DataFrame, *lists: DataFrame | None
     return view.withColumnRenamed("denominazione", "denominazione_completa")
 
 
+def status_of_name(
+    name: str,
+    packs: DataFrame,
+    class_a: DataFrame | None = None,
+    class_h: DataFrame | None = None,
+    shortages: DataFrame | None = None,
+    colocated: bool = False,
+    **view_options,
+) -> DataFrame:
+    """The packs of one search term, for a single question: the term is part of the plan, so it is filtered as the packs are read,
+    and nothing is counted or stored on the way. Columns as in ``status_packs`` without the request."""
+    folded = F.lower(F.lit(name))
+    found = packs.filter(found_in(F.lower("denominazione"), folded, F.lit("%" in name or "_" in name)))
+    # A few keys are listed in the filters of the other tables, which spares their rows a shuffle; tables in buckets have none.
+    keys = None if colocated else [r[0] for r in found.select(KEY).limit(FEW_KEYS + 1).collect()]
+    if keys is not None and len(keys) <= FEW_KEYS:
+        wanted = F.col(KEY).isin(sorted({k for k in keys if k is not None}))
+        class_a, class_h, shortages = (None if t is None else t.filter(wanted) for t in (class_a, class_h, shortages))
+    view = unified_view(found, class_a, class_h, shortages, colocated=colocated, **view_options)
+    return view.withColumnRenamed("denominazione", "denominazione_completa")
+
+
 def _narrow(tables: list[DataFrame | None], found: DataFrame) -> list[DataFrame | None]:
     """The tables cut down to the packs found, if these are few.
 

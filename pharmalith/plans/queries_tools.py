@@ -33,6 +33,16 @@ def _tools(t) -> Tools:
     return Tools(t.spark, register, relations, landed, reports(t))
 
 
+def _stored_tools(t) -> Tools:
+    """The same over register tables stored in buckets of the pack key."""
+    folder = scratch_path(t.spark, "buckets")
+    name = f"register_{folder[-12:]}"
+    t.spark.sql(f"create database `{name}` location '{folder}'")
+    views = {n: df for n, df in _tools(t).register.items() if n != "farmaci_equivalenti"}
+    tables.write_bucketed(views, name, dict.fromkeys(views, "codice_aic"), 16)
+    return Tools(t.spark, {n: t.spark.table(f"{name}.{n}") for n in views}, colocated=True)
+
+
 def _one(t, sql: str):
     return t.sql(sql).first()[0]
 
@@ -408,3 +418,14 @@ def build_atomic(t):
         for n, df in relations.items()
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query(oracle=_VIEW)
+def pack_unified_stored(t):
+    """The unified view over tables in buckets of the pack key, joined bucket by bucket."""
+    folder = scratch_path(t.spark, "buckets")
+    name = f"buckets_{folder[-12:]}"
+    t.spark.sql(f"create database `{name}` location '{folder}'")
+    parts = ("farmaci_anagrafica", "classe_a", "classe_h", "farmaci_carenti")
+    tables.write_bucketed({n: t.view(f"v_{n}") for n in parts}, name, dict.fromkeys(parts, "codice_aic"), 16)
+    return packs.unified_view(*[t.spark.table(f"{name}.{n}") for n in parts], class_column=OWN_CLASS, colocated=True)

@@ -31,6 +31,8 @@ class Tools:
     relations: Mapping[str, DataFrame] = field(default_factory=dict)
     studies: Studies | None = None
     reports: DataFrame | None = None
+    # Whether the register tables are stored in buckets of the pack key.
+    colocated: bool = False
 
     @classmethod
     def open(cls, spark: SparkSession, register_folder: str, drug_folder: str, tables, **landed) -> Tools:
@@ -45,14 +47,8 @@ class Tools:
 
     def _found(self, name: str) -> DataFrame:
         r = self.register
-        return packs.status_packs(
-            self._ask(nome_ricercato=(name, "string")),
-            r["farmaci_anagrafica"],
-            r.get("classe_a"),
-            r.get("classe_h"),
-            r.get("farmaci_carenti"),
-            term="nome_ricercato",
-        )
+        found = packs.status_of_name(name, r["farmaci_anagrafica"], r.get("classe_a"), r.get("classe_h"), r.get("farmaci_carenti"), colocated=self.colocated)
+        return found.select(F.lit(name).alias("nome_ricercato"), "*")
 
     def get_drug_commercial_status(self, name: str) -> DataFrame:
         """Status and counts of the packs whose name contains ``name``; no row if none does."""
@@ -60,7 +56,7 @@ class Tools:
 
     def get_status_packs(self, name: str, short: bool | None = None) -> DataFrame:
         """The packs behind a status: all, only the short ones, or only the others."""
-        found = self._found(name).drop("request_id")
+        found = self._found(name)
         return found if short is None else found.filter(F.col("is_carente") == short)
 
     def get_status_ingredients(self, name: str) -> DataFrame:

@@ -37,6 +37,19 @@ def write_relations(relations: Mapping[str, DataFrame], folder: str, database: s
     return counts
 
 
+def write_bucketed(relations: Mapping[str, DataFrame], database: str, keys: Mapping[str, str], buckets: int = 64) -> None:
+    """Replace tables of a database, each in ``buckets`` of its key, sorted by it, with a bloom filter of the key per row group.
+
+    Tables in the same number of buckets join on their keys without a shuffle, and a question for one key reads one bucket. Each
+    bucket is written by one task: dealt by the same hash as the buckets, so a table has as many files as buckets.
+    """
+    for name, df in relations.items():
+        key = keys[name]
+        writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+        bloom = {f"parquet.bloom.filter.enabled#{key}": "true"}
+        writer.bucketBy(buckets, key).sortBy(key).options(**bloom).saveAsTable(f"{database}.{name}")
+
+
 def read_drug_relations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The four drug relations; a missing folder is an error at once."""
     return {

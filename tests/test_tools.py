@@ -99,3 +99,36 @@ def test_profile_of_delivered_files(spark, tools):
     assert rows(got, "column_name", "data_type")[::2] == [("codice_aic", "bigint"), ("quantita", "bigint")]
     head = spark.read.parquet(str(folder / "profile/head.parquet")).filter("file = 'principi_attivi'")
     assert '{"codice_aic":"1","principio_attivo":"Paracetamolo","quantita":"500","unita_misura":"mg"}' in [r.row for r in head.collect()]
+
+
+def test_stored_layout_joins_without_a_shuffle(spark, sf):
+    """Tables in buckets of the pack key: no exchange in the unified view, one bucket for one key, bloom filters in the files."""
+    import pyarrow.parquet as pq
+
+    from pharmalith.plans.bindings import Tables
+    from pharmalith.plans.catalog import QUERIES
+    from pharmalith.plans.queries_tools import _stored_tools
+    from tests.test_scale import LARGE, conf
+    from tests.test_text_index import scans
+
+    with conf(spark, LARGE):
+        view = QUERIES["pack_unified_stored"](spark, sf)
+        assert "Exchange" not in view._jdf.queryExecution().executedPlan().toString()
+    tools = _stored_tools(Tables(spark, sf))
+    one = tools.get_active_ingredients_by_aic(7)
+    assert sum(scans(one)) == 1
+    path = tools.register["principi_attivi"].inputFiles()[0].replace("file://", "").replace("file:", "")
+    column = next(c for c in map(pq.ParquetFile(path).metadata.row_group(0).column, range(4)) if c.path_in_schema == "codice_aic")
+    assert column.statistics.has_min_max
+
+
+def test_status_of_one_name_equals_the_batch(spark, sf):
+    from pharmalith.plans.bindings import Tables
+    from pharmalith.plans.queries_tools import _stored_tools, _tools
+
+    t = Tables(spark, sf)
+    for name in (r[0] for r in t.sql("select p_name from {part} group by p_name order by p_name limit 2").collect()):
+        plain, kept = _tools(t), _stored_tools(t)
+        assert rows(plain.get_status_packs(name)) == rows(kept.get_status_packs(name).select(*plain.get_status_packs(name).columns))
+        assert rows(plain.get_drug_commercial_status(name)) == rows(kept.get_drug_commercial_status(name))
+    assert rows(plain.get_drug_commercial_status("100% no such name")) == []

@@ -64,3 +64,29 @@ def test_edge_cases(spark, edge, nothing):
     assert s.shuffle_into_shards(maps, 3).count() == len(rows)
     sizes = edge.select("text", s.row_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("c")).collect()
     assert all(r.size == len((r.text or "").encode()) + 1 and r.c == zlib.crc32((r.text or "").encode()) for r in sizes)
+
+
+def test_copies_of_a_row_are_dealt_over_the_buckets(spark):
+    """A third of all rows is one row; no bucket holds more than its share, and reruns agree."""
+    rows = [(7, "the same text " * 10)] * 3000 + [(k, f"text {k} " * 15) for k in range(100, 6100)] + [(None, None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    size = 60_000
+    scattered, counts, n, buckets = s._scattered(docs, 42, size)
+    held = {r.b: r["count"] for r in scattered.groupBy("b").count().collect()}
+    assert held == {r.b: r.rows for r in counts.collect()} and sum(held.values()) == n == len(rows)
+    assert buckets > 15 and max(held.values()) < 2.5 * n / buckets
+    out = s.shuffle_into_shards(docs, 8, bucket_bytes=size).collect()
+    check_law(out, 8)
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(rows, key=str)
+    assert sorted(s.shuffle_into_shards(docs.repartition(3), 8, bucket_bytes=size).collect(), key=str) == sorted(out, key=str)
+    # Copies lie all over the order, not side by side.
+    order = [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    assert sum(a == b == 7 for a, b in zip(order, order[1:])) < 0.45 * 3000
+
+
+def test_more_copies_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(s, "CHUNK", 64)
+    docs = spark.createDataFrame([(7, "same")] * 1000 + [(8, "other")], "doc_id long, text string")
+    rows = s.shuffle_into_shards(docs, 3, bucket_bytes=500).collect()
+    check_law(rows, 3)
+    assert sorted(r.doc_id for r in rows) == [7] * 1000 + [8]

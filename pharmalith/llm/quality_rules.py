@@ -1,14 +1,15 @@
 """Quality rules: robust multivariate outliers among text statistics.
 
 Each text is read once, whole, and becomes one narrow row of counts. Per language and source the minimum
-covariance determinant estimate (location and scatter of the densest three quarters of the rows) is found by
-concentration steps, every one of which is a single grouped aggregation: squared distances fall into bins, each
+covariance determinant estimate (location and scatter of the densest three quarters of the rows) is approached from three
+starts by concentration steps, every one of which is a single grouped aggregation: squared distances fall into bins, each
 bin carries its count, sums and products, and the bins up to three quarters of the rows make the next
-estimate. Only per-group matrices (6 x 6) are handled by numpy, one row per group.
+estimate. The start that ends with the smallest determinant wins, and all rows that are no outliers to it make the final,
+reweighted estimate. Only per-group matrices (6 x 6) are handled by numpy, three rows per group.
 
 Defined results: a null or empty text has no words and fails the base rule. Null languages and sources are
-groups of their own. Repeated rows are judged alike. Groups with fewer than ``MIN_GROUP`` usable rows are pooled
-over the sources of their language, then over all; a pool that is still smaller gives no verdict, and its rows
+groups of their own. Repeated rows are judged alike. Groups with fewer than ``MIN_GROUP`` usable rows are judged by the estimate of
+all rows of their language, then of the whole table; only if that is smaller still there is no verdict, and its rows
 are kept unless the base rule fails. Other columns of the input are not read.
 """
 
@@ -34,8 +35,11 @@ FEATURES = ["x_word", "x_symbol", "x_upper", "x_mark", "x_repeat", "x_line"]
 FLOORS = [0.08, 0.06, 0.08, 0.08, 0.1, 0.12]
 MIN_WORDS = 50
 MIN_GROUP = 50
+ALL = "all"
 SUBSET = 0.75
 STEPS = 3
+# Rows up to this quantile make the last, reweighted estimate.
+REWEIGHT_QUANTILE = 0.975
 # A row is an outlier beyond this quantile of the chi-squared distribution, one degree per feature.
 CUTOFF_QUANTILE = 1 - 1e-5
 
@@ -123,21 +127,27 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 
 def assign_pools(rows: DataFrame, min_group: int) -> DataFrame:
-    """Language and source with the pool whose estimate judges them (null: too few rows anywhere)."""
+    """Language and source with the pool whose estimate judges them: their own, that of the whole language, or that of all rows."""
     sites = rows.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    sites = sites.withColumn("big", F.col("n") >= min_group)
-    small = sites.filter("not big")
-    by_lang = small.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("n_lang"))
+    by_lang = sites.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("n_lang"))
     joined = sites.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-    level = F.when(F.col("big"), "source").when(F.col("n_lang") >= min_group, "lang").otherwise("all")
-    return joined.select(
-        "lang",
-        "source",
-        F.when(level == "source", F.to_json(F.struct(F.lit("s").alias("k"), "lang", "source")))
-        .when(level == "lang", F.to_json(F.struct(F.lit("l").alias("k"), "lang")))
-        .otherwise("all")
-        .alias("pool"),
-    )
+    level = F.when(F.col("n") >= min_group, "source").when(F.col("n_lang") >= min_group, "lang").otherwise("all")
+    return joined.select("lang", "source", F.when(level == "source", _of_source()).when(level == "lang", _of_lang()).otherwise(ALL).alias("pool"))
+
+
+def _of_source() -> Column:
+    return F.to_json(F.struct(F.lit("s").alias("k"), "lang", "source"))
+
+
+def _of_lang() -> Column:
+    return F.to_json(F.struct(F.lit("l").alias("k"), "lang"))
+
+
+def members(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    """``pool`` and features: every usable row once for each pool it counts in, of those that judge some row. A pool of a language holds
+    all rows of the language, so that a small source is judged by its large neighbours too."""
+    usable = rows.filter("not base_failed").select(F.explode(F.array(_of_source(), _of_lang(), F.lit(ALL))).alias("pool"), *FEATURES)
+    return usable.join(pools.select("pool").distinct(), "pool", "left_semi")
 
 
 def _binned_median(rows: DataFrame, values: list[Column]) -> DataFrame:
@@ -153,20 +163,33 @@ def _binned_median(rows: DataFrame, values: list[Column]) -> DataFrame:
     )
 
 
+def _median_distance(rows: DataFrame) -> DataFrame:
+    """Median of the squared distance per pool, to a 64th of its size: logarithmic bins, so that far rows make few of them."""
+    bins = rows.select("pool", F.floor(F.log2(_distance() + 1e-6) * 64).alias("bin")).groupBy("pool", "bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("pool")
+    ranked = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    return ranked.filter("2 * upto >= total").groupBy("pool").agg(F.pow(F.lit(2.0), (F.min("bin") + 0.5) / 64).alias("middle"))
+
+
 def _precision(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Inverse of each pool's scatter, no direction of which is narrower than the floors."""
+    """Inverse and log determinant of each scatter, no direction of which is narrower than the floors."""
     d = len(FEATURES)
-    floor = np.square(FLOORS)
+    floor = np.diag(np.square(FLOORS))
     for f in frames:
-        inverse = []
-        for cov in f["cov"]:
-            c = np.asarray(cov, float).reshape(d, d)
-            inverse.append(np.linalg.inv(c + np.diag(floor)).ravel())
-        yield pd.DataFrame({"pool": f["pool"], "mean": f["mean"], "prec": inverse})
+        scatter = [np.asarray(c, float).reshape(d, d) + floor for c in f["cov"]]
+        yield pd.DataFrame(
+            {
+                "pool": f["pool"],
+                "start": f["start"],
+                "mean": f["mean"],
+                "prec": [np.linalg.inv(c).ravel() for c in scatter],
+                "det": [float(np.linalg.slogdet(c)[1]) for c in scatter],
+            }
+        )
 
 
 def _estimate(table: DataFrame) -> DataFrame:
-    return through_storage(table.mapInPandas(_precision, "pool string, mean array<double>, prec array<double>"), "mcd")
+    return through_storage(table.mapInPandas(_precision, "pool string, start int, mean array<double>, prec array<double>, det double"), "mcd")
 
 
 def _distance() -> Column:
@@ -184,24 +207,22 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Mean and scatter of the bins of distance that hold the nearest share of each pool."""
-    d = len(FEATURES)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    near = rows.join(estimate, "pool").withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 16))
-    bins = near.groupBy("pool", "bin").agg(
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+_SUMS = ["n", *[f"s{i}" for i in range(len(FEATURES))], *[f"p{i}_{j}" for i, j in _PAIRS]]
+
+
+def _moments() -> list[Column]:
+    """Count, sums and products of the features."""
+    return [
         F.count("*").alias("n"),
         *[F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)],
-        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in pairs],
-    )
-    w = Window.partitionBy("pool")
-    upto = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    inside = bins.withColumn("before", F.coalesce(upto, F.lit(0))).withColumn("total", F.sum("n").over(w))
-    sums = (
-        inside.filter(F.col("before") < SUBSET * F.col("total"))
-        .groupBy("pool")
-        .agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(d)], *[f"p{i}_{j}" for i, j in pairs]]])
-    )
+        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in _PAIRS],
+    ]
+
+
+def _location(sums: DataFrame) -> DataFrame:
+    """Mean and scatter of grouped moments."""
+    d = len(FEATURES)
 
     def cov(i: int, j: int) -> Column:
         i, j = min(i, j), max(i, j)
@@ -209,46 +230,87 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
     return sums.select(
         "pool",
+        "start",
         F.array(*[F.col(f"s{i}") / F.col("n") for i in range(d)]).alias("mean"),
         F.array(*[cov(i, j) for i in range(d) for j in range(d)]).alias("cov"),
     )
 
 
-def mcd_estimates(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Per pool: ``mean``, ``prec`` (inverse scatter) and ``scale``, which puts the median distance where it belongs.
+def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Mean and scatter of the bins of distance that hold the nearest share of each pool, from each start."""
+    near = rows.join(estimate, "pool").withColumn("bin", F.floor(F.log2(_distance() + 1e-3) * 16))
+    bins = near.groupBy("pool", "start", "bin").agg(*_moments())
+    w = Window.partitionBy("pool", "start")
+    upto = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    inside = bins.withColumn("before", F.coalesce(upto, F.lit(0))).withColumn("total", F.sum("n").over(w))
+    return _location(inside.filter(F.col("before") < SUBSET * F.col("total")).groupBy("pool", "start").agg(*[F.sum(c).alias(c) for c in _SUMS]))
 
-    ``rows`` has a pool and the features, base failures left out.
-    """
+
+def starts(rows: DataFrame, min_group: int) -> DataFrame:
+    """Three first estimates per pool, all around the medians: median deviations alone, and with the correlations of squashed
+    values (hyperbolic tangent) and of directions (spatial signs), both of which far rows cannot pull far."""
     d = len(FEATURES)
-    values = [F.col(x) for x in FEATURES]
-    mid = through_storage(_binned_median(rows, values).filter(F.col("n") >= min_group), "mcd")
-    spread = _binned_median(
-        rows.join(mid.select("pool", "mid"), "pool"), [F.abs(F.col(x) - F.col("mid")[i]) for i, x in enumerate(FEATURES)]
-    )
-    start = mid.select("pool", F.col("mid").alias("mean")).join(spread.select("pool", "mid"), "pool")
+    mid = through_storage(_binned_median(rows, [F.col(x) for x in FEATURES]).filter(F.col("n") >= min_group), "mcd")
+    away = [F.abs(F.col(x) - F.col("mid")[i]) for i, x in enumerate(FEATURES)]
+    spread = _binned_median(rows.join(mid.select("pool", "mid"), "pool"), away).select("pool", F.col("mid").alias("mad"))
     # 1.4826 turns a median deviation into a standard deviation.
-    estimate = _estimate(
-        start.select(
-            "pool",
-            "mean",
-            F.array(
-                *[F.pow(1.4826 * F.col("mid")[i], 2) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
-            ).alias("cov"),
-        )
+    width = F.array(*[F.greatest(1.4826 * F.col("mad")[i], F.lit(FLOORS[i])) for i in range(d)])
+    first = through_storage(mid.select("pool", F.col("mid").alias("mean")).join(spread, "pool").select("pool", "mean", width.alias("width")), "mcd")
+    scaled = rows.join(first, "pool").select("pool", *[((F.col(x) - F.col("mean")[i]) / F.col("width")[i]).alias(f"z{i}") for i, x in enumerate(FEATURES)])
+    squares = F.lit(0.0)
+    for i in range(d):
+        squares = squares + F.col(f"z{i}") * F.col(f"z{i}")
+    pulled = scaled.withColumn("far", F.greatest(F.sqrt(squares), F.lit(1e-9)))
+    together = pulled.groupBy("pool").agg(
+        *[F.corr(F.tanh(f"z{i}"), F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS if i < j],
+        *[F.sum(F.col(f"z{i}") * F.col(f"z{j}") / (F.col("far") * F.col("far"))).alias(f"u{i}_{j}") for i, j in _PAIRS],
     )
+
+    def entry(kind: int, i: int, j: int) -> Column:
+        low, high = min(i, j), max(i, j)
+        if i == j:
+            share = F.lit(1.0)
+        elif kind == 0:
+            share = F.lit(0.0)
+        elif kind == 1:
+            share = F.nanvl(F.coalesce(F.col(f"t{low}_{high}"), F.lit(0.0)), F.lit(0.0))
+        else:
+            both = F.sqrt(F.col(f"u{i}_{i}") * F.col(f"u{j}_{j}"))
+            share = F.when(both > 0, F.col(f"u{low}_{high}") / both).otherwise(F.lit(0.0))
+        # Less than one, so that the scatter has an inverse.
+        return (share if i == j else 0.99 * share) * F.col("width")[i] * F.col("width")[j]
+
+    kinds = [F.array(*[entry(kind, i, j) for i in range(d) for j in range(d)]) for kind in range(3)]
+    return first.join(together, "pool").select("pool", "mean", F.posexplode(F.array(*kinds)).alias("start", "cov")).select("pool", "start", "mean", "cov")
+
+
+def _scaled(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """The estimate with ``scale``, which puts the median distance where it belongs."""
+    d = len(FEATURES)
+    expected = d * (1 - 2 / (9 * d)) ** 3  # median of a chi-squared variable with d degrees
+    middle = _median_distance(rows.join(estimate, "pool"))
+    return through_storage(estimate.join(middle.select("pool", F.greatest(F.col("middle") / expected, F.lit(1.0)).alias("scale")), "pool"), "mcd")
+
+
+def mcd_estimates(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """Per pool: ``mean``, ``prec`` (inverse scatter) and ``scale``.
+
+    ``rows`` has a pool and the features, base failures left out. From each start the densest subset is approached by concentration
+    steps; the one of smallest determinant wins, and the rows it does not reject make the final estimate.
+    """
+    estimate = _estimate(starts(rows, min_group))
     for _ in range(STEPS):
         estimate = _estimate(_concentrate(rows, estimate))
-    middle = _binned_median(rows.join(estimate, "pool"), [_distance()])
-    expected = d * (1 - 2 / (9 * d)) ** 3  # median of a chi-squared variable with d degrees
-    return through_storage(
-        estimate.join(middle.select("pool", F.greatest(F.col("mid")[0] / expected, F.lit(1.0)).alias("scale")), "pool"), "mcd"
-    )
+    least = estimate.groupBy("pool").agg(F.min(F.struct("det", "start", "mean", "prec")).alias("best")).select("pool", "best.*")
+    raw = _scaled(rows, least)
+    near = rows.join(raw, "pool").filter(_distance() / F.col("scale") <= cutoff(REWEIGHT_QUANTILE))
+    return _scaled(rows, _estimate(_location(near.groupBy("pool", "start").agg(*_moments()))))
 
 
-def cutoff() -> float:
+def cutoff(quantile: float = CUTOFF_QUANTILE) -> float:
     """Squared distance of the quantile, by Wilson and Hilferty."""
     d = len(FEATURES)
-    return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(CUTOFF_QUANTILE) * math.sqrt(2 / (9 * d))) ** 3
+    return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(quantile) * math.sqrt(2 / (9 * d))) ** 3
 
 
 def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -261,7 +323,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         F.col("lang").eqNullSafe(F.col("p_lang")) & F.col("source").eqNullSafe(F.col("p_source")),
         "left",
     ).drop("p_lang", "p_source")
-    usable = through_storage(keyed.filter("not base_failed").select("pool", *FEATURES), "usable")
+    usable = through_storage(members(rows, pools), "usable")
     estimate = mcd_estimates(usable, min_group)
     judged = keyed.join(estimate, "pool", "left").withColumn("distance", _distance() / F.col("scale"))
     return judged.select(

@@ -82,6 +82,58 @@ def test_each_feature_alone_rejects(spark):
     assert all(judged[k].kept for k in range(300))
 
 
+def plain_mcd(x, tries=200):
+    """Location and scatter of the densest three quarters by many random starts, rows one by one."""
+    rng = np.random.default_rng(9)
+    floor = np.diag(np.square(q.FLOORS))
+    h, best = int(np.ceil(q.SUBSET * len(x))), (np.inf, None)
+    for _ in range(tries):
+        subset = x[rng.choice(len(x), 12, replace=False)]
+        for _ in range(12):
+            mean, cov = subset.mean(0), np.cov(subset.T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            subset = x[np.argsort(d, kind="stable")[:h]]
+        det = np.linalg.slogdet(np.cov(subset.T, bias=True) + floor)[1]
+        if det < best[0]:
+            best = (det, subset)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_estimate_against_brute_force(spark, seed):
+    """The determinant comes within a few hundredths of the best of many random starts, and the same rows are outliers."""
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(0, 1, (6, 6)) * 0.4 + np.eye(6)
+    good = rng.normal(0, 1, (400, 6)) @ mix.T
+    far = rng.normal(0, 0.3, (90, 6)) + rng.choice([-7, 7], 6)
+    x = np.vstack([good, far])
+    frame = spark.createDataFrame([("p", *map(float, r)) for r in x], "pool string, " + ", ".join(f"{c} double" for c in q.FEATURES))
+    estimate = q._estimate(q.starts(frame, 50))
+    assert estimate.count() == 3
+    for _ in range(q.STEPS):
+        estimate = q._estimate(q._concentrate(frame, estimate))
+    found = min(r.det for r in estimate.collect())
+    best, subset = plain_mcd(x)
+    assert found <= best + 0.35
+    final = q.mcd_estimates(frame).first()
+    prec = np.array(final["prec"]).reshape(6, 6)
+    d = np.einsum("ij,jk,ik->i", x - final["mean"], prec, x - final["mean"]) / final["scale"]
+    assert (d[400:] > q.cutoff()).all() and (d[:400] > q.cutoff()).sum() <= 2
+    assert np.allclose(final["mean"], good.mean(0), atol=0.35)
+
+
+def test_small_sources_are_judged_by_their_language(spark):
+    base = [("en", "big", False, *map(float, np.random.default_rng(k).normal(1, 0.2, 6))) for k in range(300)]
+    odd = [("en", "tiny", False, *[9.0] * 6), ("en", "tiny", False, *[1.0] * 6)]
+    rows = spark.createDataFrame(base + odd, "lang string, source string, base_failed boolean, " + ", ".join(f"{c} double" for c in q.FEATURES))
+    pools = q.assign_pools(rows, 50)
+    held = q.members(rows, pools)
+    count = {r.pool: r["count"] for r in held.groupBy("pool").count().collect()}
+    assert sorted(count.values()) == [300, 302]
+    estimate = {r.pool: r for r in q.mcd_estimates(held).collect()}
+    assert set(estimate) == set(count)
+
+
 def test_sparse_groups_are_pooled(spark):
     rows = [("en", "big", False)] * 60 + [("en", f"s{k}", False) for k in range(55)] + [("de", "x", False)] * 3
     pools = {(r.lang, r.source): r.pool for r in q.assign_pools(spark.createDataFrame(rows, "lang string, source string, base_failed boolean"), 50).collect()}

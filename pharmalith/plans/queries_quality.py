@@ -145,11 +145,12 @@ def _stock(t):
 
 
 def _sold(t):
+    """Offers of the packs on the list of class H, some of them without their company."""
     return t.sql(
         """select l_partkey as codice_aic, upper(p_name) as farmaco,
                   case when l_returnflag = 'R' then null else p_brand end as ditta
-           from {lineitem} join {part} on l_partkey = p_partkey where p_size <= 30"""
-    )
+           from {lineitem} join {part} on l_partkey = p_partkey"""
+    ).join(t.view("v_classe_h"), "codice_aic", "left_semi")
 
 
 _RECONCILED = """
@@ -161,7 +162,7 @@ _RECONCILED = """
     from {source} s left join (
         select l_partkey as codice_aic, upper(p_name) as farmaco,
                case when l_returnflag = 'R' then null else p_brand end as ditta
-        from lineitem join part on l_partkey = p_partkey where p_size <= 30) l on s.p_partkey = l.codice_aic"""
+        from lineitem join part on l_partkey = p_partkey where l_partkey in (select codice_aic from v_classe_h)) l on s.p_partkey = l.codice_aic"""
 
 
 @query(oracle=_RECONCILED.format(source="part"))

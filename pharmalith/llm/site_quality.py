@@ -3,8 +3,8 @@
 A logistic classifier over text statistics gives every document its evidence. Two levels of sites, hosts and paths below
 them, give priors: the mean quality of a host is shrunk toward that of all documents, that of a path toward its host's, each
 with a strength found from the data (method of moments on the spread of the means beyond what their sizes
-explain). The posterior of a document adds the prior odds of its path to the evidence. Site means are grouped sums over
-all documents; labelled documents count with their label.
+explain). The posterior of a document adds the prior odds of its path to the evidence; the means leave the document itself out.
+Site means are grouped sums over all documents; labelled documents count with their label.
 
 The classifier is fitted on at most ``FIT_ROWS`` labelled documents (smallest hash of the id first); everything else covers all rows.
 
@@ -123,19 +123,22 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
     everywhere = total["s"] / total["n"] if total["n"] else 0.5
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in "nsq"]).withColumn("all_mean", F.lit(float(everywhere)))
     k = strength(hosts, "all_mean")
-    hosts = through_storage(hosts.select(F.col("host").alias("h_host"), ((F.col("s") + k * everywhere) / (F.col("n") + k)).alias("host_mean")), "hosts")
+    shrunk = lambda s, n, k, prior: (s + k * prior) / (n + k)
+    hosts = through_storage(
+        hosts.select(
+            F.col("host").alias("h_host"), F.col("s").alias("h_s"), F.col("n").alias("h_n"), shrunk(F.col("s"), F.col("n"), k, F.lit(float(everywhere))).alias("host_mean")
+        ),
+        "hosts",
+    )
     below = paths.join(hosts, F.col("host").eqNullSafe(F.col("h_host")))
-    k = strength(below, "host_mean")
+    j = strength(below, "host_mean")
     priors = through_storage(
-        below.select(
-            F.col("host").alias("p_host"),
-            F.col("path").alias("p_path"),
-            "host_mean",
-            ((F.col("s") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean"),
-        ),
-        "priors",
+        below.select(F.col("host").alias("p_host"), F.col("path").alias("p_path"), "h_s", "h_n", F.col("s").alias("p_s"), F.col("n").alias("p_n")), "priors"
     )
     out = judged.join(priors, F.col("host").eqNullSafe(F.col("p_host")) & F.col("path").eqNullSafe(F.col("p_path")))
+    # What a document's site says is said by the others there: its own chance would count twice beside its evidence.
+    out = out.withColumn("host_mean", shrunk(F.col("h_s") - F.col("chance"), F.col("h_n") - 1, k, F.lit(float(everywhere))))
+    out = out.withColumn("path_mean", shrunk(F.col("p_s") - F.col("chance"), F.col("p_n") - 1, j, F.col("host_mean")))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("path_mean")))))
     return out.select("doc_id", "host", "path", "evidence", "host_mean", "path_mean", posterior.alias("posterior")).withColumn(
         "kept", F.col("posterior") >= 0.5

@@ -48,6 +48,76 @@ def test_strength_follows_the_spread(spark):
     assert s.strength(groups(0.3), "m") < 6 < 60 < s.strength(groups(0.02), "m")
 
 
+def brute(rows, labels):
+    """Means, strengths and posteriors from the evidence, document by document."""
+    chance, marks = {}, {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            marks.setdefault(d, []).append(q)
+    base = np.mean([round(np.mean(q)) for q in marks.values()])
+    logit = lambda p: float(np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))))
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    for k, r in enumerate(rows):
+        chance[k] = float(np.mean(marks[r.doc_id])) if r.doc_id in marks else squash(r.evidence + logit(base))
+    everywhere = np.mean(list(chance.values()))
+
+    def strength(groups, centre):
+        n, g = sum(map(len, groups.values())), len(groups)
+        if n <= g:
+            return 1.0
+        within = max(sum(sum((x - np.mean(v)) ** 2 for x in v) for v in groups.values()) / (n - g), 1e-9)
+        true = (sum(len(v) * (np.mean(v) - centre(key)) ** 2 for key, v in groups.items()) - g * within) / n
+        return 1e6 if true <= 0 else min(1e6, max(1.0, within / true))
+
+    hosts, paths = {}, {}
+    for k, r in enumerate(rows):
+        hosts.setdefault(r.host, []).append(chance[k])
+        paths.setdefault((r.host, r.path), []).append(chance[k])
+    a = strength(hosts, lambda h: everywhere)
+    whole = {h: (sum(v) + a * everywhere) / (len(v) + a) for h, v in hosts.items()}
+    b = strength(paths, lambda p: whole[p[0]])
+    out = []
+    for k, r in enumerate(rows):
+        v = hosts[r.host]
+        host = (sum(v) - chance[k] + a * everywhere) / (len(v) - 1 + a)
+        v = paths[r.host, r.path]
+        path = (sum(v) - chance[k] + b * host) / (len(v) - 1 + b)
+        out.append((host, path, squash(r.evidence + logit(path))))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    # Sites of very different quality: bad documents gather on two of them.
+    sites = docs.join(labels, "doc_id", "left").withColumn(
+        "source", F.when((F.col("quality") == 0) & (F.col("doc_id") % 3 > 0), F.lit("bad")).otherwise(F.col("source"))
+    ).drop("quality", "toxic")
+    half = labels.filter("doc_id % 2 = 0")
+    rows = s.score(sites, half).collect()
+    want = brute(rows, [(r.doc_id, r.quality) for r in half.collect()])
+    assert np.allclose([(r.host_mean, r.path_mean, r.posterior) for r in rows], want, atol=1e-6)
+
+
+def test_sites_change_verdicts(spark):
+    """Documents between good and bad go with their site, and a document of its own does not make its site."""
+    good = " ".join(f"word{k}" for k in range(80))
+    bad = " ".join("#%d!" % k for k in range(80))
+    between = lambda share: " ".join(f"word{k}" if k >= share * 2 else "#%d!" % k for k in range(80))
+    rows, marks = [], []
+    for k in range(800):
+        host = "poor" if k % 2 else "fine"
+        kind = (bad if k % 2 else good) if k % 10 < 8 else (good if k % 2 else bad)
+        rows.append((k, kind + f" n{k}", host, "p"))
+        marks.append((k, int(kind is good)))
+    rows += [(2000 + k, between(k // 2) + f" n{k}", "poor" if k % 2 else "fine", "p") for k in range(80)]
+    out = {r.doc_id: r for r in s.score(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    assert out[0].path_mean > 0.7 > 0.3 > out[1].path_mean
+    same = [(out[2000 + k], out[2001 + k]) for k in range(0, 80, 2)]
+    assert all(a.posterior >= b.posterior for a, b in same)
+    assert any(a.kept and not b.kept for a, b in same)
+
+
 def test_address_parts(spark):
     rows = [("http://www.A.com/x/y?z",), ("https://u@b.org:8080",), (None,), ("no address",)]
     host, path = s.site_of_url(F.col("url"))

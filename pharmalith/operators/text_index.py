@@ -7,7 +7,7 @@ added, replaced or removed without touching the others. A search reads the bucke
 found, and tries each candidate; so its answer is that of a scan. Distinct texts are indexed once; buckets are rebalanced when they
 are written, so a frequent gram or a text that many rows share is many files.
 
-Terms shorter than a gram have nothing to look up and scan the rows.
+Terms shorter than a gram have nothing to look up here and are searched without the index.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pharmalith.functions.text import found_in, is_like_pattern
-from pharmalith.operators.matching import _grams
+from pharmalith.operators.matching import PAIR_TERMS, _grams, match_contains
 from pharmalith.session import _folder, through_storage
 
 GRAM = 3
@@ -192,14 +192,18 @@ class TextIndex:
         parts = [self._at(stored, _ID, long).filter(hit)]
         short = terms.filter(F.length("_piece") < GRAM)
         if not short.isEmpty():
-            parts.append(stored.join(short.select("_term"), hit))
+            # Counted there, and tried on rows, on distinct texts or looked up by shorter grams.
+            asked_short = short.select(F.col("_term").alias("_asked"))
+            tried = match_contains(asked_short, "_asked", stored.select(*columns), self.text, self.ignore_case)
+            parts.append(tried.withColumnRenamed("_asked", "_term"))
         found = reduce(DataFrame.unionByName, [p.select("_term", *columns) for p in parts])
         return found.join(asked, "_term").select(*requests.columns, *columns)
 
     def search_patterns(self, requests: DataFrame, pattern: str) -> DataFrame:
         """Every request beside the rows whose folded text matches its regular expression.
 
-        A pattern is looked up by texts that each match of it holds; only patterns that do not tell any are tried on every row.
+        A pattern is looked up by texts that each match of it holds; only patterns that do not tell any are tried on every row, in
+        blocks of about ``PAIR_TERMS``.
         """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +221,9 @@ class TextIndex:
         hit = F.rlike(self._fold(F.col(self.text)), F.col(_PATTERN))
         parts = [self._at(stored, _ID, known).filter(hit)]
         mute = told.filter("literals is null").select(_PATTERN)
-        if not mute.isEmpty():
-            parts.append(stored.join(mute, hit))
+        blocks = -(-mute.count() // PAIR_TERMS)
+        for block in range(blocks):
+            some = mute.filter(F.pmod(F.xxhash64(_PATTERN), F.lit(blocks)) == block)
+            parts.append(stored.join(F.broadcast(some), hit))
         found = reduce(DataFrame.unionByName, [p.select(_PATTERN, *columns) for p in parts])
         return found.join(asked, _PATTERN).select(*requests.columns, *columns)

@@ -15,7 +15,7 @@ from pharmalith.plans.queries_packs import _FOUND, _VIEW, OWN_CLASS, _parts
 from pharmalith.plans.queries_trials import HOME, _studies, reports
 from pharmalith.plans.registry import ORACLES, query
 from pharmalith.plans.tools import Tools
-from pharmalith.session import scratch_path
+from pharmalith.session import scratch_path, sibling
 from pharmalith.sources import catalog, delimited, generations, tables
 from pharmalith.sources.delimited import Layout, TableSpec
 from pharmalith.sources.landed_json import Studies
@@ -336,7 +336,7 @@ def _database(t) -> str:
 @query(oracle=_VIEW)
 def view_permanent(t):
     """The unified view as the catalog keeps it, read from a second session."""
-    return t.spark.newSession().table(f"{_database(t)}.{catalog.VIEW}")
+    return sibling(t.spark).table(f"{_database(t)}.{catalog.VIEW}")
 
 
 @query(
@@ -359,7 +359,7 @@ def tool_sql(t):
     name = _database(t)
     catalog.create_functions(t.spark, name)
     # Table functions are called by their plain names, so the database is the current one of a session of its own.
-    session = t.spark.newSession()
+    session = sibling(t.spark)
     session.sql(f"use `{name}`")
     brands = t.view("r_brands").select("name")
     lists = t.sql("select n_name, array(concat('DB', n_nationkey), concat('DB', n_nationkey + 1), concat('DB', n_nationkey + 2)) as ids from {nation}")

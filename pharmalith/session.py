@@ -42,6 +42,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def sibling(spark: SparkSession) -> SparkSession:
+    """Another session of the application, with its own current database and views and the same settings."""
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    return other
+
+
 def _folder(spark: SparkSession, path: str):
     """A folder and its file system, as the JVM sees them."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -143,7 +143,7 @@ def test_a_text_that_many_rows_share_is_many_files(spark, tmp_path):
     assert index.search(asked, "name").count() == 13334
 
 
-def test_patterns_equal_a_scan(spark, tmp_path):
+def test_patterns_equal_a_scan(spark, tmp_path, monkeypatch):
     names = table(spark).withColumnRenamed("denominazione", "synonym")
     index = TextIndex(spark, str(tmp_path), "synonym")
     index.add("a", names)
@@ -151,5 +151,7 @@ def test_patterns_equal_a_scan(spark, tmp_path):
     asked = spark.createDataFrame(list(enumerate(patterns)), "request_id long, pattern string")
     want = names.join(F.broadcast(asked), F.rlike(F.lower("synonym"), F.col("pattern"))).select(*asked.columns, *names.columns)
     assert rows(index.search_patterns(asked, "pattern")) == rows(want)
+    monkeypatch.setattr(text_index, "PAIR_TERMS", 2)
+    assert rows(index.search_patterns(asked, "pattern")) == rows(want)
     told = asked.filter("request_id in (0, 1, 4)")
     assert "NestedLoop" not in index.search_patterns(told, "pattern")._jdf.queryExecution().executedPlan().toString()

@@ -7,6 +7,7 @@ the character that the charset makes of the byte is behind the character before
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 from functools import cache
 
@@ -38,6 +39,15 @@ WEIGHTS = {
 ZEROS = 0.2
 
 
+def known(name: str) -> str:
+    """The name used here of a charset that is given by any of its names."""
+    names = {codecs.lookup(n).name: n for n in (UTF8, *UTF16)} | {codecs.lookup(python).name: n for n, python in SINGLE.items()}
+    found = names.get(codecs.lookup(name).name)
+    if found is None:
+        raise ValueError(f"unknown charset {name!r}")
+    return found
+
+
 def _kind(character: str) -> str:
     """Kind of a character beyond ASCII."""
     if character in ITALIAN:

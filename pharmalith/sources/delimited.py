@@ -134,7 +134,7 @@ def file_charsets(spark: SparkSession, path, files: DataFrame, layout: Layout) -
     ASCII or none; without enough of it in all of them, all are single-byte text.
     """
     if layout.charset != "auto":
-        return files.select("file", F.lit(layout.charset.upper()).alias("charset"))
+        return files.select("file", F.lit(charsets.known(layout.charset)).alias("charset"))
     found = _with_charsets(spark, path, files, layout.threshold)
     two_byte = F.col("charset").isin(*charsets.UTF16)
     n_single, n_beyond = files.join(found.filter(two_byte).select("file"), "file", "left_anti").agg(

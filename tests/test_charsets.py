@@ -87,3 +87,17 @@ def test_pairs_overlap(spark):
     lines = spark.createDataFrame([("f", bytearray("àè x°".encode("latin-1")))], "file string, value binary")
     got = {(r.a, r.b): r.n for r in charsets.pair_counts(lines).collect()}
     assert got == {(" ", "à"): 1, ("à", "è"): 1, ("x", "°"): 1}
+
+
+@pytest.mark.parametrize("name, codec", [("windows-1252", "cp1252"), ("latin-1", "latin-1"), ("utf8", "utf-8"), ("utf-16-be", "utf-16-be"), ("cp850", "cp850")])
+def test_a_charset_that_is_named(spark, tmp_path, name, codec):
+    path = tmp_path / "n.csv"
+    path.write_bytes("AIC;Nota\n1;già é\n".encode(codec))
+    assert rows(delimited.read_delimited(spark, str(path), Layout(charset=name)).rows) == [("1", "già é")]
+
+
+def test_an_unknown_charset_is_an_error(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("AIC\n1\n")
+    with pytest.raises((ValueError, LookupError)):
+        delimited.read_delimited(spark, str(path), Layout(charset="koi8-r"))

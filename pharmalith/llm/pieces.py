@@ -36,7 +36,7 @@ NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 
 # What a process remembers at most: twice so many words of up to ``LONGEST`` characters, and pairs.
-WORDS, PAIRS, LONGEST = 1 << 17, 1 << 19, 48
+WORDS, PAIRS, LONGEST = 1 << 18, 1 << 19, 48
 # Rows that are coded at a time.
 ROWS = 512
 
@@ -106,7 +106,8 @@ class PieceCodec:
 
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece goes on behind a space mark")
-        joined = {c for p in self.score if len(p) > 1 for c in p}
+        self._joins = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        joined = {c for p in self._joins for c in p}
         alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)
         self.words = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         # Pieces by number: their ids, then a number for each character that is no piece.
@@ -169,7 +170,15 @@ class PieceCodec:
         return last
 
     def word_ids(self, word: str) -> bytes:
-        """Packed ids of a word, read backwards from its prefix table."""
+        """Packed ids of a word, read backwards from its prefix table.
+
+        Last characters that no piece holds behind the one before, such as a full stop, stand alone after the rest.
+        """
+        cut = len(word)
+        while cut > 1 and word[cut - 2 : cut] not in self._joins:
+            cut -= 1
+        if cut < len(word):
+            return self._known[word[:cut]] + b"".join([self._known[c] for c in word[cut:]])
         last, at, out = self.prefix_table(word), len(word) - 1, []
         while at >= 0:
             number = last[at]

@@ -26,7 +26,7 @@ def both(library, text):
     return library.encode(text, add_bos=True, add_eos=True)
 
 
-FIXED = ["", " ", "   a  b ", "a\x00b", "▁x▁", "日本語 и слов 😀é", "<s>x</s><unk>", "<0x0A>\n\r\n", "1234 5,6", "  x", "aaaaaaaaaaaaaaa", " " * 40]
+FIXED = ["", " ", "漢😀" * 3000, "a——b—" * 2000, "end.", "x,;.", "   a  b ", "a\x00b", "▁x▁", "日本語 и слов 😀é", "<s>x</s><unk>", "<0x0A>\n\r\n", "1234 5,6", "  x", "aaaaaaaaaaaaaaa", " " * 40]
 
 
 @pytest.mark.parametrize("text", FIXED)

@@ -366,6 +366,27 @@ def test_scratch_folder_is_removed(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "scratch").exists()
 
 
+@pytest.mark.parametrize("named", ["spark.checkpoint.dir", "spark.sql.warehouse.dir"])
+def test_a_cluster_may_share_a_mounted_folder(spark, tmp_path, monkeypatch, named):
+    from pharmalith import session
+
+    monkeypatch.delitem(session._scratch, spark.sparkContext.applicationId, raising=False)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    get = type(spark.conf).get
+    # Only the folder named is set; it has the scheme of a mount.
+    held = {"spark.checkpoint.dir": None, named: f"file://{tmp_path}/shared"}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: held[key] if key in held else get(self, key, *a))
+    df = session.through_storage(spark.range(5), "probe")
+    assert str(tmp_path) in session._scratch[spark.sparkContext.applicationId]
+    assert df.count() == 5
+    session.clear_scratch(spark)
+    # A folder in which the driver does not find what the tasks write is refused before anything is stored there.
+    monkeypatch.setattr(session, "_reaches_all", lambda *_: False)
+    with pytest.raises(RuntimeError, match="does not see"):
+        session.scratch_path(spark, "probe")
+
+
 def test_settings_of_the_session_are_respected(spark):
     from pharmalith.session import RUNTIME_CONF, tune
 

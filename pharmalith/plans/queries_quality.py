@@ -145,12 +145,12 @@ def _stock(t):
 
 
 def _sold(t):
-    """Offers of the packs on the list of class H, some of them without their company."""
+    """Offers of all packs, some of them without their company."""
     return t.sql(
         """select l_partkey as codice_aic, upper(p_name) as farmaco,
                   case when l_returnflag = 'R' then null else p_brand end as ditta
            from {lineitem} join {part} on l_partkey = p_partkey"""
-    ).join(t.view("v_classe_h"), "codice_aic", "left_semi")
+    )
 
 
 _RECONCILED = """
@@ -162,10 +162,10 @@ _RECONCILED = """
     from {source} s left join (
         select l_partkey as codice_aic, upper(p_name) as farmaco,
                case when l_returnflag = 'R' then null else p_brand end as ditta
-        from lineitem join part on l_partkey = p_partkey where l_partkey in (select codice_aic from v_classe_h)) l on s.p_partkey = l.codice_aic"""
+        from lineitem join part on l_partkey = p_partkey{listed}) l on s.p_partkey = l.codice_aic"""
 
 
-@query(oracle=_RECONCILED.format(source="part"))
+@query(oracle=_RECONCILED.format(source="part", listed=""))
 def reconcile_all(t):
     """Every source row next to the loaded rows of its key, with the columns that differ."""
     return quality.reconcile(_stock(t), _sold(t), "codice_aic")
@@ -173,9 +173,11 @@ def reconcile_all(t):
 
 @query(
     oracle=_RECONCILED.format(
-        source="(select * from part order by md5(concat('7:', cast(p_partkey as varchar))), p_partkey limit 2)"
+        source="(select * from part order by md5(concat('7:', cast(p_partkey as varchar))), p_partkey limit 2)",
+        listed=" where l_partkey in (select codice_aic from v_classe_h)",
     )
 )
 def reconcile_sample(t):
-    """The same for two sampled source rows."""
-    return quality.reconcile(quality.sample_rows(_stock(t), "codice_aic", 2, 7), _sold(t), "codice_aic")
+    """The same for two sampled source rows, next to the offers of the packs on the list of class H."""
+    sold = _sold(t).join(t.view("v_classe_h"), "codice_aic", "left_semi")
+    return quality.reconcile(quality.sample_rows(_stock(t), "codice_aic", 2, 7), sold, "codice_aic")

@@ -36,6 +36,19 @@ def test_reconcile(spark):
     assert rows(quality.missing_keys(source, loaded, "k")) == [(3,)]
 
 
+def test_offers_of_every_size_are_reconciled(spark, tmp_path):
+    from pharmalith.plans import catalog
+
+    parts = [(k, "red pen", "brand", "SMALL", size) for k, size in ((1, 1), (2, 20), (3, 50))] + [(4, "old pen", "brand", "SMALL", 50)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    sold = [(1, "N"), (2, "R"), (3, "R"), (3, "N")]
+    spark.createDataFrame(sold, "l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["reconcile_all"](spark, str(tmp_path))
+    assert rows(found, "codice_aic", "found", "differs") == [
+        (1, True, ""), (2, True, "ditta"), (3, True, ""), (3, True, "ditta"), (4, False, ""),
+    ]
+
+
 def test_sample_is_repeatable(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     first = rows(quality.sample_rows(df, "k", 5, seed=1))

@@ -52,6 +52,8 @@ LEFT_OUT = 0.3
 # A word outside the vocabulary counts in the length of a window with this share of a mean index term of the item.
 OTHER_SHARE = 0.25
 CHUNK = 400_000
+# Cells of a table of passages by units, or of words by dimensions, that a task holds at a time.
+CELLS = 1 << 21
 LANES = 16
 
 _PLAIN = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
@@ -66,11 +68,9 @@ def common_subsequence(bits: dict[int, int], length: int, region: list[int]) ->
     """Length of the longest common subsequence; ``bits`` holds the places of each code in the pattern."""
     full = (1 << length) - 1
     row = full
-    for code in region:
-        hit = bits.get(code, 0)
-        if hit:
-            both = row & hit
-            row = ((row + both) | (row - both)) & full
+    for hit in [bits[c] for c in region if c in bits]:
+        both = row & hit
+        row = ((row + both) | (row - both)) & full
     return length - bin(row).count("1")
 
 
@@ -127,15 +127,16 @@ def code_documents(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, k_hash long, codes binary")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
-    """(batch, first row, codes, tokens per row, piece of ``width`` words of each token, pieces per row) of bounded size."""
+def chunks(batches: Iterator[pa.RecordBatch], width: int, most: int = CHUNK) -> Iterator[tuple]:
+    """(batch, first row, codes, tokens per row, piece of ``width`` words of each token, pieces per row); ``most`` words, if it is
+    more than one row, where a row counts as one piece at least."""
     for batch in batches:
         buffers = batch.column(batch.schema.get_field_index("codes")).to_pylist()
         at = 0
         while at < len(buffers):
             end, size = at, 0
-            while end < len(buffers) and (end == at or size + len(buffers[end]) // 4 <= CHUNK):
-                size += len(buffers[end]) // 4
+            while end < len(buffers) and (end == at or size + max(width, len(buffers[end]) // 4) <= most):
+                size += max(width, len(buffers[end]) // 4)
                 end += 1
             codes = np.frombuffer(b"".join(buffers[at:end]), "<i4")
             lengths = np.array([len(b) // 4 for b in buffers[at:end]], np.int64)
@@ -192,7 +193,7 @@ def gram_product(coded: DataFrame, units: list[Unit], scale: np.ndarray, x: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, m = shared.value
         out = np.zeros((terms, wide), np.float32)
-        for _, _, codes, _, piece, _ in chunks(batches, PASSAGE):
+        for _, _, codes, _, piece, _ in chunks(batches, PASSAGE, 8 * CELLS // wide):
             gram_times(codes, piece, s, m, out)
         seen = np.flatnonzero(out.any(axis=1)).astype(np.int32)
         for lane in range(wide // LANES):
@@ -258,24 +259,26 @@ def shared_words(units: list[Unit], df: np.ndarray) -> Shared:
 
 def sharing(index: Shared, codes: np.ndarray, piece: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Windows times units plus unit, of all pairs that share the words needed; ``row`` is the document of a piece."""
-    units = len(index.need)
+    units, n = len(index.need), len(row)
     many = index.first[codes + 1] - index.first[codes]
     at = np.flatnonzero(many)
     many = many[at]
     entry = np.repeat(index.first[codes[at]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    pair, times = np.unique(np.repeat(piece[at], many) * units + index.unit[entry], return_counts=True)
-    p, u = pair // units, pair % units
-    keys, counts = [], []
-    # A window is two pieces; its region takes in those on each side.
-    for k in range(-1 - int(index.side.max()), int(index.side.max()) + 1):
-        w = p + k
-        ok = np.flatnonzero((k >= -1 - index.side[u]) & (k <= index.side[u]) & (w >= 0) & (w < len(row)))
-        ok = ok[row[w[ok]] == row[p[ok]]]
-        keys.append(w[ok] * units + u[ok])
-        counts.append(times[ok])
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(key))
-    return key[total >= index.need[key % units]]
+    held = np.bincount(np.repeat(piece[at], many) * units + index.unit[entry], minlength=n * units).reshape(n, units)
+    upto = np.zeros((n + 1, units), np.int32)
+    np.cumsum(held, axis=0, out=upto[1:])
+    # A window is two pieces; its region takes in those on each side, within the document.
+    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    size = np.diff(np.r_[heads, n])
+    begin, end = np.repeat(heads, size), np.repeat(heads + size, size)
+    w = np.arange(n)
+    found = []
+    for side in np.unique(index.side):
+        of = np.flatnonzero(index.side == side)
+        low, high = np.maximum(w - side, begin), np.minimum(w + side + 2, end)
+        win, unit = np.nonzero(upto[high][:, of] - upto[low][:, of] >= index.need[of])
+        found.append(win * units + of[unit])
+    return np.sort(np.concatenate(found))
 
 
 def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.ndarray, index: Shared) -> DataFrame:
@@ -286,40 +289,44 @@ def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.nd
     lengths = np.array([np.sqrt((weight[u.codes] ** 2).sum()) for u in units], np.float32)
     vectors /= np.maximum(lengths, 1e-9)[:, None]
     other = OTHER_SHARE * np.array([np.mean(weight[[c for c in set(u.codes) if weight[c] > 0]] ** 2) for u in units], np.float32)
-    shared = spark.sparkContext.broadcast((projected, vectors, weight**2, other, units, index))
+    # A window's product with a unit is the sum of its words' products; only indexed words have one.
+    indexed = np.flatnonzero(weight > 0)
+    products = projected[indexed] @ vectors.T
+    shared = spark.sparkContext.broadcast((indexed, products, (weight**2).astype(np.float32), other, units, index))
     fields = "doc_id long, k_hash long, item string, cosine double, common int, n_words int, answer double, verbatim boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, v, sq, extra, asked, words = shared.value
-        indexed = sq > 0
+        own, q, sq, extra, asked, words = shared.value
+        place = np.full(len(sq), -1, np.int32)
+        place[own] = np.arange(len(own))
         patterns = [(places(u.codes), places(u.answer)) for u in asked]
-        for batch, at, codes, sizes, piece, pieces in chunks(batches, STRIDE):
+        block = max(1, CELLS // (STRIDE * len(asked)))
+        for batch, at, codes, sizes, piece, pieces in chunks(batches, STRIDE, min(CHUNK, max(1, CELLS // len(asked)) * STRIDE)):
             n = int(pieces.sum())
             if not n:
                 continue
-            mass = np.bincount(piece, weights=sq[codes], minlength=n).astype(np.float32)
-            strange = np.bincount(piece[codes == 0], minlength=n).astype(np.float32)
-            known = np.flatnonzero(indexed[codes])
-            z = np.zeros((n, p.shape[1]), np.float32)
-            if len(known):
-                starts = np.flatnonzero(np.r_[True, piece[known][1:] != piece[known][:-1]])
-                z[piece[known][starts]] = np.add.reduceat(p[codes[known]], starts, axis=0)
+            whole = np.bincount(piece, weights=sq[codes], minlength=n).astype(np.float32)
+            others = np.bincount(piece[codes == 0], minlength=n).astype(np.float32)
+            known = np.flatnonzero(place[codes] >= 0)
+            inside, term = piece[known], place[codes[known]]
+            starts = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]]) if len(known) else known
+            z = np.zeros((n, len(asked)), np.float32)
+            for k in range(0, len(starts), block):
+                here = starts[k : k + block]
+                upto = starts[k + block] if k + block < len(starts) else len(known)
+                z[inside[here]] = np.add.reduceat(q[term[here[0] : upto]], here - here[0], axis=0)
             # A window is a stride and the next of the same document; the last one of a document stands alone.
             row = np.repeat(np.arange(len(sizes)), pieces)
             follows = np.flatnonzero(row[1:] == row[:-1])
-            z[follows] += z[follows + 1]
-            whole, others = mass.copy(), strange.copy()
-            whole[follows] += mass[follows + 1]
-            others[follows] += strange[follows + 1]
-            live = np.flatnonzero(z.any(axis=1))
-            length = whole[live][:, None] + others[live][:, None] * extra
-            cosine = (z[live] @ v.T) / np.sqrt(np.maximum(length, 1e-12))
-            win, unit = np.nonzero(cosine >= MIN_COSINE)
-            pairs = np.union1d(live[win] * len(asked) + unit, sharing(words, codes, piece, row))
+            for table in (z, whole, others):
+                table[follows] += table[follows + 1]
+            # Words outside the vocabulary only lengthen a window, so few pairs have to be divided.
+            win, unit = np.nonzero(z >= 0.999 * MIN_COSINE * np.sqrt(np.maximum(whole, 1e-12))[:, None])
+            cosine = z[win, unit] / np.sqrt(np.maximum(whole[win] + others[win] * extra[unit], 1e-12))
+            near = cosine >= MIN_COSINE
+            pairs = np.union1d(win[near] * len(asked) + unit[near], sharing(words, codes, piece, row))
             if not len(pairs):
                 continue
-            scored = np.full(n, -1)
-            scored[live] = np.arange(len(live))
             first_piece, first_code = np.cumsum(pieces) - pieces, np.cumsum(sizes) - sizes
             best: dict[tuple, tuple] = {}
             for w, u in zip((pairs // len(asked)).tolist(), (pairs % len(asked)).tolist()):
@@ -327,7 +334,7 @@ def search(coded: DataFrame, units: list[Unit], weight: np.ndarray, basis: np.nd
                 start = int(w - first_piece[r]) * STRIDE
                 verdict = check(codes[first_code[r] : first_code[r] + sizes[r]], start, asked[u], *patterns[u])
                 if verdict:
-                    score = (float(cosine[scored[w], u]) if scored[w] >= 0 else 0.0, *verdict)
+                    score = (float(z[w, u] / np.sqrt(max(whole[w] + others[w] * extra[u], 1e-12))), *verdict)
                     key = (r, asked[u].item)
                     if key not in best or verdict[0] / verdict[1] > best[key][1] / best[key][2]:
                         best[key] = score
@@ -373,6 +380,9 @@ def check(codes: np.ndarray, start: int, unit: Unit, pattern: dict[int, int], an
     if m < SHORT:
         found = any(region[i : i + m] == unit.codes for i in range(len(region) - m + 1))
         return (m, m, 1.0, True) if found else None
+    # No subsequence is longer than the words the region has of the passage.
+    if sum(c in pattern for c in region) < PARAPHRASE * m:
+        return None
     common = common_subsequence(pattern, m, region)
     if common < PARAPHRASE * m:
         return None

@@ -21,6 +21,33 @@ def test_common_subsequence():
         assert d.common_subsequence(d.places(a), len(a), b) == plain_lcs(a, b)
 
 
+def test_windows_that_share_words_are_those_of_a_plain_count():
+    rng = np.random.default_rng(2)
+    units = [d.Unit(str(k), (c := rng.integers(1, 40, m).tolist()), c[-2:]) for k, m in enumerate((3, 9, 30, 48, 71))]
+    index = d.shared_words(units, rng.integers(1, 50, 40).astype(float))
+    pieces = np.array([1, 4, 0, 7])
+    row = np.repeat(np.arange(4), pieces)
+    piece = np.repeat(np.arange(12), d.STRIDE)
+    codes = rng.integers(0, 40, len(piece)) * (rng.random(len(piece)) < 0.7)
+    expected = []
+    for w in range(12):
+        for u, (need, side) in enumerate(zip(index.need, index.side)):
+            held = [p for p in range(w - side, w + side + 2) if 0 <= p < 12 and row[p] == row[w]]
+            words = codes[np.isin(piece, held)]
+            if sum(u in index.unit[index.first[c] : index.first[c + 1]] for c in words) >= need:
+                expected.append(w * len(units) + u)
+    assert d.sharing(index, codes, piece, row).tolist() == expected
+
+
+def test_short_rows_count_as_a_piece_of_a_chunk():
+    import pyarrow as pa
+
+    # A task holds a table of pieces by units, so rows of one word must not make a chunk of any number of pieces.
+    batch = pa.RecordBatch.from_arrays([pa.array([b"\1\0\0\0"] * 100, pa.binary())], ["codes"])
+    taken = [len(sizes) for _, _, _, sizes, _, _ in d.chunks(iter([batch]), d.STRIDE, 10 * d.STRIDE)]
+    assert taken == [10] * 10
+
+
 def test_gram_product_and_vectors(spark):
     rng = np.random.default_rng(1)
     codes = [rng.integers(0, 12, rng.integers(1, 200)) for _ in range(30)]

@@ -157,6 +157,18 @@ def test_gram_search_is_an_equi_join(large):
     assert all("Inner" in j or "LeftSemi" in j for j in re.findall(r"SortMergeJoin.*", plan))
 
 
+def test_interactions_are_read_once_and_merged_to_small_tasks(large, tmp_path):
+    from pharmalith.session import RUNTIME_CONF
+
+    large.createDataFrame([("a", "b", "x")], "source_drug_id string, target_drug_id string, description string").write.parquet(f"{tmp_path}/interactions.parquet")
+    requests = large.createDataFrame([(1, "a"), (1, "b")], "request_id int, drugbank_id string")
+    known = large.createDataFrame([("a", "A"), ("b", "B")], "drugbank_id string, name string")
+    found = drugs.interactions_among(requests, large.read.parquet(f"{tmp_path}/interactions.parquet"), known)
+    assert planned(found).count("FileScan parquet") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, "a", "A", "b", "B", "x")]
+    assert RUNTIME_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "8m"
+
+
 def test_a_hot_gram_is_split(large):
     """One term in every text: the rows of its gram are dealt over many tasks."""
     texts = stored(large, large.range(0, 60000, 1, 16).selectExpr("id", "concat('common term ', md5(cast(id as string)), md5(cast(id + 1 as string))) as text"), "t")

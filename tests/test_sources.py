@@ -387,6 +387,31 @@ def test_a_cluster_may_share_a_mounted_folder(spark, tmp_path, monkeypatch, name
         session.scratch_path(spark, "probe")
 
 
+def test_executors_of_a_local_cluster_get_a_folder_that_all_share(spark, tmp_path, monkeypatch):
+    from pharmalith import session
+
+    monkeypatch.delitem(session._scratch, spark.sparkContext.applicationId, raising=False)
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,4,10240]")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr("tempfile.mkdtemp", lambda **_: pytest.fail("a temporary folder of the driver"))
+    get = type(spark.conf).get
+    held = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": f"file://{tmp_path}/warehouse"}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: held[key] if key in held else get(self, key, *a))
+    assert session.through_storage(spark.range(5), "probe").count() == 5
+    assert str(tmp_path / "warehouse") in session._scratch[spark.sparkContext.applicationId]
+    session.clear_scratch(spark)
+    # A folder that is set but not shared, or cannot be written, is passed over for the next one.
+    reaches = session._reaches_all
+    held["spark.checkpoint.dir"] = f"{tmp_path}/own"
+    monkeypatch.setattr(session, "_reaches_all", lambda s, path: "/own/" not in path and reaches(s, path))
+    assert session.through_storage(spark.range(5), "probe").count() == 5
+    assert str(tmp_path / "warehouse") in session._scratch[spark.sparkContext.applicationId]
+    assert not any((tmp_path / "own").glob("*"))
+    session.clear_scratch(spark)
+    (tmp_path / "file").write_text("")
+    assert not reaches(spark, f"file://{tmp_path}/file/probe")
+
+
 def test_settings_of_the_session_are_respected(spark):
     from pharmalith.session import RUNTIME_CONF, tune
 

@@ -128,3 +128,36 @@ def test_copies_are_those_of_the_view(spark, register):
     short = frame([1, 1, 1, 3, None]).selectExpr("codice_aic", "'x' as data_inizio", "'y' as motivazioni", "'C' as c")
     view = packs.unified_view(base, class_a, class_h, short, class_column="c").groupBy("denominazione").count()
     assert rows(packs.pack_copies(base, class_a, class_h, short), "denominazione", "n") == rows(view)
+
+
+def test_status_tells_the_packs_and_their_ingredients(spark, register):
+    """The whole answer: both lists of packs, repeats kept, and the ingredients of all of them; a request without an id counts too."""
+    asked = spark.createDataFrame([(7, "oki"), (None, "aspirina"), (8, "brufen"), (9, "nulla")], "request_id int, name string")
+    found = packs.status_packs(asked, register["packs"], register["a"], register["h"], register["short"])
+    got = packs.status_answer(found, register["ingredients"], ["request_id", "name"])
+    assert rows(got.select("request_id", "name", "n_attive", "n_carenti").distinct()) == [
+        (None, "aspirina", 0, 1), (7, "oki", 3, 2), (8, "brufen", 2, 0),
+    ]
+    assert rows(got.filter("name = 'oki'"), "lista", "codice_aic", "classe_rimborsabilita", "data_inizio_carenza", "principio_attivo") == [
+        ("confezioni_attive", None, "C", None, None),
+        ("confezioni_attive", 1, "A", None, None),
+        ("confezioni_attive", 1, "A", None, None),
+        ("confezioni_carenti_o_ritirate", 2, "H", "2024", None),
+        ("confezioni_carenti_o_ritirate", 2, "H", "2025", None),
+        ("principi_attivi_rilevati", None, None, None, "Alcol"),
+        ("principi_attivi_rilevati", None, None, None, "Ketoprofene"),
+    ]
+    assert rows(got.filter("name = 'aspirina'"), "lista", "denominazione_completa", "motivazioni_carenza", "is_carente") == [
+        ("confezioni_carenti_o_ritirate", "Aspirina", None, True)
+    ]
+
+
+def test_the_query_of_status_tells_everything(spark, sf):
+    from pharmalith.plans.catalog import QUERIES
+
+    got = QUERIES["pack_status"](spark, sf)
+    lists = {"confezioni_attive", "confezioni_carenti_o_ritirate", "principi_attivi_rilevati"}
+    assert {r.lista for r in got.select("lista").distinct().collect()} == lists
+    assert got.filter("lista <> 'principi_attivi_rilevati'").count() == QUERIES["pack_status_packs"](spark, sf).count()
+    assert got.filter("lista = 'principi_attivi_rilevati'").count() == QUERIES["pack_status_ingredients"](spark, sf).count()
+    assert got.select("request_id", "nome_ricercato", "n_attive", "n_carenti", "stato_generale").distinct().count() == got.select("request_id").distinct().count()
